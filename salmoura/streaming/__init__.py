@@ -1,0 +1,4 @@
+"""No streaming jobs: every input of this workload is a set of files read once.
+
+Batch scoring (``salmoura.operators.scoring``) is stateless per row.
+"""
