@@ -207,3 +207,13 @@ def _bracketed(
     return ends.groupBy(*by).agg(
         *[F.max(F.when(F.col("_out") == out, value)).alias(out) for out in percentiles]
     )
+
+
+def whole_table(
+    df: DataFrame, percentiles: dict[str, tuple[str, float]], hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Exact percentiles over all rows, as one row."""
+    keyed = df.withColumn("_all", F.lit(1))
+    return grouped(keyed, ["_all"], [], percentiles, hot_groups(keyed, ["_all"], hot_rows)).drop(
+        "_all"
+    )
