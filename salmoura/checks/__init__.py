@@ -1,0 +1,12 @@
+"""Queries over the test tables, each next to the SQL it must agree with."""
+
+
+def all_entries():
+    from salmoura.checks import (  # noqa: F401
+        cleaning_queries,
+        model_queries,
+        platform_queries,
+        registry,
+    )
+
+    return registry.ENTRIES

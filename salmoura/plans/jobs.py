@@ -94,7 +94,7 @@ def clean_water(raw: DataFrame) -> DataFrame:
     """Water tests with valid dates and numeric measurements."""
     df = C.parse_dates(C.drop_empty_columns(raw), N.DATE, None)
     df = C.numeric_columns(C.drop_invalid_dates(df), water_files.NUMERIC)
-    missing = [c for c in (N.FIELD, N.WATER_RATE, N.OIL_RATE, N.BSW) if c not in df.columns]
+    missing = [c for c in (N.FIELD, *water_files.NUMERIC) if c not in df.columns]
     kinds = {c: "string" if c == N.FIELD else "double" for c in missing}
     return df.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items()}) if missing else df
 

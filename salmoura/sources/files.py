@@ -89,7 +89,9 @@ def read_table(
 
 def write_csv(df: DataFrame, path: str) -> str:
     """Overwrite a folder of CSV part files with headers."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    writer.options(**blanks).csv(path)
     return path
 
 
