@@ -63,14 +63,14 @@ def _(spark, d):
 @query("m3_m4_final_fit")
 def _(spark, d):
     data = materialise(model_data(spark, d))
-    scored = S.score_batch(data.drop(N.RATIO), L.train_final(data))
+    scored = S.score_batch(data, L.train_final(data).numbers)
     return shown(scored, plat=N.PLATFORM, predicao="PREDICAO_NORM", prob=r("PROB_NORM", 4))
 
 
 @query("m5_coefficients")
 def _(spark, d):
     model = L.train_final(materialise(model_data(spark, d)))
-    table = L.coefficients(spark, model)
+    table = L.coefficients(spark, model.numbers)
     return shown(table, variavel="VARIAVEL", coeficiente=r("COEFICIENTE_PADRONIZADO", 4),
                  odds=r("ODDS_RATIO", 4))
 
@@ -273,7 +273,7 @@ SCORED_OUT = f"""plat, {D('mes')} AS mes, {R('ratio')} AS ratio, (prob > 0.5)::I
 @query("m17_score_batch", TEMPORAL_SQL + f"""
 SELECT {SCORED_OUT} FROM (SELECT *, {PROB_SQL} AS prob FROM temporal WHERE elegivel)""")
 def _(spark, d):
-    scored = S.score_with(T.scoring_input(temporal(spark, d), ordered=False), GIVEN)
+    scored = S.score_batch(T.scoring_input(temporal(spark, d), ordered=False), GIVEN)
     return shown(scored, plat=N.SITE, mes=day(N.MONTH), ratio=r(N.RATIO),
                  predicao="PREDICAO_NORM", prob=r("PROB_NORM"))
 
@@ -298,8 +298,8 @@ def _(spark, d):
 def _(spark, d):
     data = materialise(model_data(spark, d))
     path = f"{shared_folder(spark)}/modelo_norm"
-    files.save_model(L.train_final(data), path)
-    scored = S.score_batch(data.drop(N.RATIO), files.load_model(path))
+    files.save_model(L.train_final(data).pipeline, path)
+    scored = S.score_batch(data, files.load_model(path))
     return shown(scored, plat=N.PLATFORM, predicao="PREDICAO_NORM", prob=r("PROB_NORM", 4))
 
 
@@ -328,7 +328,7 @@ def _(spark, d):
 SELECT coluna, linha::BIGINT AS linha, {R('sal', 3)} AS sal, {R('ba', 4)} AS ba, {R('sr', 4)} AS sr
 FROM grid""")
 def _(spark, d):
-    grid = G.feature_grid(model_data(spark, d), N.FEATURES)
+    grid = G.feature_grid(materialise(model_data(spark, d)), N.FEATURES)
     return shown(grid, coluna="coluna", linha=F.col("linha").cast("long"),
                  sal=r("SALINIDADE", 3), ba=r("BARIO", 4), sr=r("ESTRONCIO", 4))
 
@@ -336,7 +336,7 @@ def _(spark, d):
 @query("m19_g11_probability_surface", P.WITH_WINDOW[:-1] + f""", {GRID_SQL}
 SELECT coluna, linha::BIGINT AS linha, {R(PROB_SQL)} AS prob FROM grid""")
 def _(spark, d):
-    surface = G.probability_surface(model_data(spark, d), GIVEN, N.FEATURES)
+    surface = G.probability_surface(materialise(model_data(spark, d)), GIVEN, N.FEATURES)
     return shown(surface, coluna="coluna", linha=F.col("linha").cast("long"), prob=r("PROB_NORM"))
 
 
@@ -383,7 +383,7 @@ SELECT plat, CASE tem_norm WHEN 1 THEN 'Com NORM' ELSE 'Sem NORM' END AS norm, {
   {_z('mediana_salinidade')} AS sal_z, {_z('ba_sr')} AS ratio_z, {_z('media_bsw')} AS bsw_z
 FROM scored WHERE prob IS NOT NULL AND mediana_salinidade IS NOT NULL AND ba_sr IS NOT NULL""")
 def _(spark, d):
-    rows = G.chemistry_3d(scored_analysis(spark, d))
+    rows = G.chemistry_3d(materialise(scored_analysis(spark, d)))
     return shown(rows, plat=N.PLATFORM, norm="NORM", prob=r("PROB_NORM"),
                  massa_t=r("MASSA_CLASSIFICADA_T"), tamanho=r("TAMANHO_MARCADOR"),
                  sal_z=r("SALINIDADE_Z"), ratio_z=r("RELACAO_BA_SR_Z"), bsw_z=r("BSW_Z"))
@@ -414,7 +414,7 @@ SELECT grupo, variavel, n, {R('q1', 4)} AS q1, {R('mediana', 4)} AS mediana, {R(
   {R('max(valor) FILTER (WHERE valor <= q3 + 1.5 * (q3 - q1))', 4)} AS superior
 FROM long JOIN boxes USING (grupo, variavel) GROUP BY grupo, variavel, n, q1, mediana, q3""")
 def _(spark, d):
-    boxes = G.boxplots(analysis(spark, d))
+    boxes = G.boxplots(materialise(analysis(spark, d)))
     return shown(boxes, grupo="GRUPO", variavel="VARIAVEL", n="n", q1=r("q1", 4),
                  mediana=r("mediana", 4), q3=r("q3", 4), inferior=r("haste_inferior", 4),
                  superior=r("haste_superior", 4))

@@ -103,7 +103,7 @@ SELECT plat, {D('mes')} AS mes, poco, campo, {R('qw')} AS qw, {R('qo')} AS qo, {
   {R('ba')} AS ba, {R('sr')} AS sr, {R('sal')} AS sal FROM wells""")
 def _(spark, d):
     tests = P.water(spark, d)
-    wells = Wt.well_months(tests, Wt.profile_tests(tests).hot_wells)
+    wells = Wt.well_months(tests, Wt.hot_wells(tests).wells)
     return shown(wells, plat=N.CODE, mes=day(N.MONTH), poco=N.WELL, campo=N.FIELD,
                  qw=r(N.WATER_RATE), qo=r(N.OIL_RATE), bsw=r(N.BSW), ba=r("BÁRIO"),
                  sr=r("ESTRÔNCIO"), sal=r("SALINIDADE"))
@@ -147,9 +147,7 @@ def _(spark, d):
 @query("w1_carry_forward", P.WITH_WATER + f"SELECT {MONTH_OUT} FROM months")
 def _(spark, d):
     tests = P.water(spark, d)
-    seen = Wt.profile_tests(tests)
-    sparse = Wt.platform_totals(Wt.well_months(tests))
-    dense = Wt.dense_calendar(sparse, seen.first_month, seen.last_month)
+    dense = Wt.dense_calendar(Wt.platform_totals(Wt.well_months(tests)), tests)
     return shown(Wt.carry_forward(dense), **month_columns())
 
 
@@ -279,7 +277,7 @@ SELECT count(*) AS linhas, strftime(max(mes), '%Y-%m-%d') AS ultimo_mes FROM was
 def _(spark, d):
     watched, seen = jobs.counted(P.waste(spark, d), "waste", F.max(N.MONTH).alias("last"))
     files.write_stage(watched, shared_folder(spark), "waste")
-    found = seen.get
+    found = jobs.observed(seen)
     return spark.createDataFrame(
         [(found["rows"], str(found["last"]))], "linhas long, ultimo_mes string"
     )

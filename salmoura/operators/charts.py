@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from salmoura import names as N
@@ -24,7 +23,7 @@ from salmoura.operators import metrics as M
 from salmoura.operators.analysis import NEAREST, WINDOW
 from salmoura.operators.cleaning import complete_cases, numeric_columns
 from salmoura.operators.modelling import MODEL_COLUMNS, Evaluation
-from salmoura.operators.scoring import LogisticModel
+from salmoura.operators.scoring import LogisticModel, with_probability_of
 
 CHEMISTRY = [
     "MEDIANA_BARIO_PLAT", "MEDIANA_ESTRONCIO_PLAT",
@@ -292,12 +291,7 @@ def probability_surface(
 ) -> DataFrame:
     """Probability of class 1 at every point of the feature grid."""
     grid = feature_grid(data, features, size)
-    if isinstance(model, LogisticModel):
-        return grid.withColumn("PROB_NORM", model.probability())
-    scored = model.transform(grid)
-    return scored.select(
-        *grid.columns, finite(vector_to_array("probability")[1]).alias("PROB_NORM")
-    )
+    return with_probability_of(grid, model)
 
 
 def metric_heatmap(models: DataFrame) -> DataFrame:

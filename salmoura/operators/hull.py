@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from salmoura import names as N
 from salmoura.functions.columns import all_positive
 from salmoura.operators.cleaning import complete_cases
 
+# the few functions below that run in Python workers are sent there by value, so that
+# the package need not be installed on every machine
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TOLERANCE = 1e-9
 MIDDLE_PARTITIONS = 32
 POINT = "x double, y double"
@@ -123,8 +129,13 @@ def mark_similar(analysis: DataFrame, x: str, y: str) -> DataFrame:
     rows = similarity_rows(analysis, x, y)
     corners = polygon(convex_hull(log_points(rows.filter(F.col(N.TARGET) == 1), x, y)))
     clean = rows.filter(F.col(N.TARGET) == 0)
-    inside = inside_polygon(F.log10(N.col(x)), F.log10(N.col(y)), corners)
-    return clean.withColumn("PERFIL_SEMELHANTE", inside)
+    # a scalar subquery may not stand inside forall(), hence a column of its own
+    inside = inside_polygon(F.log10(N.col(x)), F.log10(N.col(y)), F.col("_corners"))
+    return (
+        clean.withColumn("_corners", corners)
+        .withColumn("PERFIL_SEMELHANTE", inside)
+        .drop("_corners")
+    )
 
 
 def similar_platforms(analysis: DataFrame) -> DataFrame:

@@ -70,45 +70,48 @@ def roc_points(scored: DataFrame, actual: str, score: str, by: Sequence[str] = (
     return origin.unionByName(points)
 
 
-def youden_threshold(
+def curve_summary(
     scored: DataFrame,
     actual: str,
     score: str,
     by: Sequence[str] = (),
     splits: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Score with the largest tpr - fpr; the highest such score if several are best."""
-    points = threshold_points(cumulated_scores(scored, actual, score, by, splits), by)
-    best = F.max(F.struct((F.col("tpr") - F.col("fpr")).alias("j"), "limiar")).alias("_best")
-    found = points.filter(F.col("tpr").isNotNull() & F.col("fpr").isNotNull())
-    grouped = found.groupBy(*[col(b) for b in by]).agg(best)
-    return grouped.select(
-        *[col(b) for b in by],
-        F.col("_best.limiar").alias("LIMIAR_YOUDEN"),
-        F.col("_best.j").alias("J_YOUDEN"),
-    )
-
+    """Youden threshold and area under the ROC curve, from one cumulation of the scores.
 
-def auc(
-    scored: DataFrame,
-    actual: str,
-    score: str,
-    by: Sequence[str] = (),
-    splits: Sequence[float] | None = None,
-) -> DataFrame:
-    """Area under the ROC curve: share of (positive, negative) pairs in the right order, ties
-    counting half. Null where a class is absent."""
+    The threshold is the score with the largest tpr - fpr, the highest one if several are
+    best. The area is the share of (positive, negative) pairs in the right order, ties
+    counting half. Both are null where a class is absent.
+    """
     cumulated = cumulated_scores(scored, actual, score, by, splits)
+    positives, negatives = (F.col(f"{c}_below_all").cast("double") for c in ("pos", "neg"))
+    tpr = F.try_divide((F.col("pos_below_all") - F.col("pos_below")).cast("double"), positives)
+    fpr = F.try_divide((F.col("neg_below_all") - F.col("neg_below")).cast("double"), negatives)
     pairs = F.col("pos").cast("double") * (
         F.col("neg_below").cast("double") + F.col("neg").cast("double") / 2
     )
-    positives = F.max("pos_below_all").cast("double")
-    negatives = F.max("neg_below_all").cast("double")
+    j = tpr - fpr
     return cumulated.groupBy(*[col(b) for b in by]).agg(
-        F.try_divide(F.sum(pairs), positives * negatives).alias("AUC")
+        F.max(F.when(j.isNotNull(), F.struct(j.alias("j"), "limiar"))).alias("_best"),
+        F.try_divide(F.sum(pairs), F.max(positives) * F.max(negatives)).alias("AUC"),
+    ).select(
+        *[col(b) for b in by],
+        F.col("_best.limiar").alias("LIMIAR_YOUDEN"),
+        F.col("_best.j").alias("J_YOUDEN"),
+        "AUC",
     )
 
 
+def youden_threshold(
+    scored: DataFrame, actual: str, score: str, by: Sequence[str] = ()
+) -> DataFrame:
+    return curve_summary(scored, actual, score, by).drop("AUC")
+
+
+def auc(scored: DataFrame, actual: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    return curve_summary(scored, actual, score, by).drop("LIMIAR_YOUDEN", "J_YOUDEN")
+
+
 def confusion_aggregates(actual: Column, predicted: Column) -> list[Column]:
     def count(a: int, p: int, name: str) -> Column:
         hit = (actual == a) & (predicted == p)

@@ -23,7 +23,8 @@ from salmoura.session import materialise
 
 SEED = 42
 FOLDS = 4
-FITS_AT_ONCE = 4
+FITS_AT_ONCE = 8
+Moments = list[tuple[float, float]]
 
 # fixed values: statistics of the analysis table -> feature names
 MODEL_COLUMNS = {
@@ -112,44 +113,58 @@ def _regression(rows: int) -> LogisticRegression:
     return LogisticRegression(
         featuresCol="_z", labelCol=N.TARGET, weightCol="_weight", family="binomial",
         regParam=1.0 / rows, elasticNetParam=0.0, standardization=False,
-        maxIter=5000, tol=1e-10,
+        maxIter=5000, tol=1e-6,
     )
 
 
-def _standardised(features: Sequence[str], means, deviations) -> SQLTransformer:
-    scores = ", ".join(
-        f"(log10(`{f}`) - {m!r}D) / {s!r}D AS _z{i}"
-        for i, (f, m, s) in enumerate(zip(features, means, deviations))
+def _assembler(features: Sequence[str]) -> VectorAssembler:
+    return VectorAssembler(
+        inputCols=[f"_z{i}" for i in range(len(features))], outputCol="_z", handleInvalid="keep"
     )
-    return SQLTransformer(statement=f"SELECT *, {scores} FROM __THIS__")
 
 
-def _stages(features: Sequence[str], means, deviations, rows: int) -> Pipeline:
-    assembled = VectorAssembler(
-        inputCols=[f"_z{i}" for i in range(len(features))], outputCol="_z", handleInvalid="keep"
+def _z_sql(features: Sequence[str], moments: Moments) -> str:
+    return ", ".join(
+        f"(log10(`{f}`) - {m!r}D) / {s!r}D AS _z{i}"
+        for i, (f, (m, s)) in enumerate(zip(features, moments))
     )
-    return Pipeline(stages=[
-        _standardised(features, means, deviations), assembled, _regression(rows)
-    ])
+
+
+@dataclass(frozen=True)
+class Fitted:
+    """A fitted pipeline to be saved, and its numbers for scoring as plain columns."""
+
+    pipeline: PipelineModel
+    numbers: LogisticModel
 
 
 def fit(
-    train: DataFrame, features: Sequence[str], moments=None, counts: dict[int, int] | None = None
-) -> PipelineModel:
+    train: DataFrame,
+    features: Sequence[str],
+    moments: Moments | None = None,
+    counts: dict[int, int] | None = None,
+) -> Fitted:
     """Fit log10 -> z-score -> balanced L2 logistic regression on all rows of ``train``."""
     counts = counts or class_counts(train)
     if moments is None:
         row = train.agg(*_log_moments(features, F.lit(True))).first()
-        moments = [(row[f"_m{i}"], row[f"_s{i}"] or 1.0) for i in range(len(features))]
-    means, deviations = zip(*moments)
-    weighted = train.select(N.TARGET, *[N.col(f) for f in features]).withColumn(
-        "_weight", balanced_weight(counts)
+        moments = _moments(row, features)
+    standardise = SQLTransformer(statement=f"SELECT *, {_z_sql(features, moments)} FROM __THIS__")
+    weighted = train.select(
+        N.TARGET, *[N.col(f) for f in features], balanced_weight(counts).alias("_weight")
     )
-    return _stages(features, means, deviations, sum(counts.values())).fit(weighted)
+    pipeline = Pipeline(
+        stages=[standardise, _assembler(features), _regression(sum(counts.values()))]
+    ).fit(weighted)
+    return Fitted(pipeline, _numbers(pipeline.stages[-1], features, moments))
 
 
-def model_numbers(model: PipelineModel, features: Sequence[str], moments) -> LogisticModel:
-    regression = model.stages[-1]
+def _moments(row, features: Sequence[str]) -> Moments:
+    """(mean, deviation) per feature; a constant feature is only centred."""
+    return [(row[f"_m{i}"], row[f"_s{i}"] or 1.0) for i in range(len(features))]
+
+
+def _numbers(regression, features: Sequence[str], moments: Moments) -> LogisticModel:
     means, deviations = zip(*moments)
     return LogisticModel(
         tuple(features), means, deviations,
@@ -175,11 +190,8 @@ def fit_folds(data: DataFrame, features: Sequence[str], folds: int) -> list[Logi
 
     def one(k: int) -> LogisticModel:
         row = seen[f"k{k}"]
-        moments = [(row[f"_m{i}"], row[f"_s{i}"] or 1.0) for i in range(len(features))]
-        model = fit(
-            data.filter(others[k]), features, moments, {0: row["_c0"], 1: row["_c1"]}
-        )
-        return model_numbers(model, features, moments)
+        counts = {0: row["_c0"], 1: row["_c1"]}
+        return fit(data.filter(others[k]), features, _moments(row, features), counts).numbers
 
     with ThreadPoolExecutor(min(folds, FITS_AT_ONCE)) as pool:
         return list(pool.map(inheritable_thread_target(data.sparkSession)(one), range(folds)))
@@ -219,7 +231,7 @@ def fold_metrics(predictions: DataFrame, splits: Sequence[float] | None = None)
         *M.confusion_aggregates(F.col(N.TARGET), F.col("CLASSE_PREVISTA")),
     )
     total = predictions.agg(F.count(F.lit(1)).alias("n")).scalar()
-    areas = M.auc(predictions, N.TARGET, "PROB_NORM", ["FOLD"], splits)
+    areas = M.curve_summary(predictions, N.TARGET, "PROB_NORM", ["FOLD"], splits)
     return (
         M.with_rates(counted)
         .join(areas, "FOLD")
@@ -242,24 +254,29 @@ def evaluate(
 
 
 def evaluate_prepared(data: DataFrame, features: Sequence[str], folds: int) -> Evaluation:
+    """Evaluate on rows that have their fold. The metric tables hold one row per fold and one
+    row in all, so they are fetched once and kept as literal rows."""
+    spark = data.sparkSession
     models = fit_folds(data, features, folds)
     scored = data.withColumn("PROB_NORM", held_out_probability(models))
     splits = equal_splits(scored, "PROB_NORM")
-    best = M.youden_threshold(scored, N.TARGET, "PROB_NORM", splits=splits).first()
-    if best is None or best["LIMIAR_YOUDEN"] is None:
+    curve = M.curve_summary(scored, N.TARGET, "PROB_NORM", splits=splits).first()
+    if curve is None or curve["LIMIAR_YOUDEN"] is None:
         raise ValueError("no valid Youden threshold")
-    threshold = best["LIMIAR_YOUDEN"]
+    threshold = curve["LIMIAR_YOUDEN"]
     predictions = scored.withColumn(
         "CLASSE_PREVISTA", (F.col("PROB_NORM") >= F.lit(threshold)).cast("int")
     )
-    pooled = M.with_rates(
-        M.confusion(predictions, N.TARGET, F.col("CLASSE_PREVISTA"))
-    ).withColumns({
-        "AUC": M.auc(predictions, N.TARGET, "PROB_NORM", splits=splits).scalar(),
-        "LIMIAR_YOUDEN": F.lit(threshold),
-    })
+    metrics = fold_metrics(predictions, splits)
+    rows = metrics.collect()
+    counts = {c: sum(row[c] for row in rows) for c in M.COUNTS}
+    pooled = spark.createDataFrame(
+        [(*counts.values(), curve["AUC"], threshold)],
+        ", ".join(f"{c} long" for c in counts) + ", AUC double, LIMIAR_YOUDEN double",
+    )
     return Evaluation(
-        list(features), folds, threshold, predictions, fold_metrics(predictions, splits), pooled
+        list(features), folds, threshold, predictions,
+        spark.createDataFrame(rows, metrics.schema), M.with_rates(pooled),
     )
 
 
@@ -285,26 +302,28 @@ def compare_models(
 ) -> tuple[DataFrame, dict[str, Evaluation]]:
     """Metric table (best AUC first) and the evaluation of each model, on the same folds."""
     prepared, folds = with_folds(data, n_splits, seed)
-    results = {
-        name: evaluate_prepared(prepared, features, folds)
-        for name, features in (models or MODELS).items()
-    }
+    models = models or MODELS
+
+    def one(features: list[str]) -> Evaluation:
+        return evaluate_prepared(prepared, features, folds)
+
+    with ThreadPoolExecutor(len(models)) as pool:
+        shared = inheritable_thread_target(data.sparkSession)(one)
+        results = dict(zip(models, pool.map(shared, models.values())))
     rows = [comparison_row(name, result) for name, result in results.items()]
     return M.best_first(reduce(DataFrame.unionByName, rows)), results
 
 
-def train_final(data: DataFrame, features: Sequence[str] = N.FEATURES) -> PipelineModel:
+def train_final(data: DataFrame, features: Sequence[str] = N.FEATURES) -> Fitted:
     """Model fitted on all rows."""
     return fit(data, list(features))
 
 
-def coefficients(
-    spark: SparkSession, model: PipelineModel, features: Sequence[str] = N.FEATURES
-) -> DataFrame:
+def coefficients(spark: SparkSession, model: LogisticModel) -> DataFrame:
     """Standardised coefficients and odds ratios, one row per feature."""
-    weights = [float(w) for w in model.stages[-1].coefficients]
     table = spark.createDataFrame(
-        list(zip(features, weights)), "VARIAVEL string, COEFICIENTE_PADRONIZADO double"
+        list(zip(model.features, model.weights)),
+        "VARIAVEL string, COEFICIENTE_PADRONIZADO double",
     )
     return table.withColumn("ODDS_RATIO", F.exp("COEFICIENTE_PADRONIZADO"))
 

@@ -37,30 +37,30 @@ class LogisticModel:
         return finite(1 / (1 + F.exp(-self.margin())))
 
 
-def add_scores(df: DataFrame, probability: Column) -> DataFrame:
-    """Add Ba/Sr ratio, predicted class (strictly above one half) and probability."""
-    return df.withColumns({
-        N.RATIO: ratio(F.col("BARIO"), F.col("ESTRONCIO")),
-        "PROB_NORM": probability,
-    }).select(
-        *[N.col(c) for c in df.columns if c not in (N.RATIO, "PROB_NORM")],
-        N.RATIO,
+def add_scores(scored: DataFrame) -> DataFrame:
+    """Add Ba/Sr ratio and predicted class (probability strictly above one half)."""
+    return scored.select(
+        *[N.col(c) for c in scored.columns if c not in (N.RATIO, "PROB_NORM")],
+        ratio(F.col("BARIO"), F.col("ESTRONCIO")).alias(N.RATIO),
         (F.col("PROB_NORM") > 0.5).cast("int").alias("PREDICAO_NORM"),
         "PROB_NORM",
     )
 
 
-def score_with(df: DataFrame, model: LogisticModel) -> DataFrame:
-    """Score every row with a model given by its numbers."""
-    return add_scores(df, model.probability())
+def with_probability_of(
+    df: DataFrame, model: PipelineModel | LogisticModel, name: str = "PROB_NORM"
+) -> DataFrame:
+    """Add the probability of class 1, by the numbers of a model or by a loaded pipeline."""
+    if isinstance(model, LogisticModel):
+        return df.withColumn(name, model.probability())
+    given = [N.col(c) for c in df.columns if c != name]
+    probability = finite(vector_to_array("probability")[1])
+    return model.transform(df.drop(name)).select(*given, probability.alias(name))
 
 
-def score_batch(df: DataFrame, model: PipelineModel) -> DataFrame:
-    """Score every row with a fitted or loaded pipeline."""
-    scored = model.transform(df)
-    given = [N.col(c) for c in df.columns]
-    probability = finite(vector_to_array("probability")[1])
-    return add_scores(scored.select(*given, probability.alias("PROB_NORM")), F.col("PROB_NORM"))
+def score_batch(df: DataFrame, model: PipelineModel | LogisticModel) -> DataFrame:
+    """Score every row: Ba/Sr ratio, predicted class, probability."""
+    return add_scores(with_probability_of(df, model))
 
 
 def score_requests(
@@ -69,10 +69,7 @@ def score_requests(
     """(answers, rejected requests). An answer holds the class and both probabilities, rounded
     to four decimals."""
     usable, rejected = split_inputs(df, features)
-    scored = (
-        score_with(usable, model) if isinstance(model, LogisticModel) else score_batch(usable, model)
-    )
-    answers = scored.withColumns({
+    answers = score_batch(usable, model).withColumns({
         "PROB_SEM_NORM": F.round(1 - F.col("PROB_NORM"), 4),
         "PROB_COM_NORM": F.round("PROB_NORM", 4),
     }).drop("PROB_NORM")

@@ -8,9 +8,8 @@ wells of its platform.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date
 
-from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from salmoura import names as N
 from salmoura.functions.columns import finite
@@ -36,39 +35,30 @@ def _known_wells(tests: DataFrame) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class TestProfile:
-    """What must be known of the water tests before they are planned."""
+class HotWells:
+    """Well-months with very many tests and platform-months with very many wells."""
 
-    first_month: date | None
-    last_month: date | None
-    hot_wells: HotGroups | None = None
-    hot_months: HotGroups | None = None
+    wells: HotGroups | None = None
+    months: HotGroups | None = None
 
 
-def profile_tests(tests: DataFrame, hot_rows: int = HOT_ROWS) -> TestProfile:
-    """Month span, well-months with very many tests, platform-months with very many wells.
+def hot_wells(tests: DataFrame, hot_rows: int = HOT_ROWS) -> HotWells:
+    """Both kinds of hot groups from one small job over a sample of the key columns.
 
-    One job over the key columns: the span is observed on all rows while only a
-    sample of them is counted.
+    Usually there are none; only if there are, a second look lists the wells.
     """
-    span = Observation()
-    known = (
-        _known_wells(tests)
-        .select(*WELL_MONTH)
-        .observe(span, F.min(N.MONTH).alias("first"), F.max(N.MONTH).alias("last"))
+    sample, least = sampled_keys(_known_wells(tests), WELL_MONTH, hot_rows)
+    wells = sample.groupBy(*WELL_MONTH).agg(F.count(F.lit(1)).alias("_tests"))
+    months = wells.groupBy(*PLATFORM_MONTH).agg(
+        F.count(F.lit(1)).alias("_wells"), F.max("_tests").alias("_most")
     )
-    sample, least = sampled_keys(known, WELL_MONTH, hot_rows)
-    wells = sample.groupBy(*WELL_MONTH).agg(F.count(F.lit(1)).alias("_n"))
-    months = wells.groupBy(*PLATFORM_MONTH).agg(F.count(F.lit(1)).alias("_n"))
-    found = wells.unionByName(months, allowMissingColumns=True).filter(F.col("_n") >= least)
-    hot = fixed_groups(found.drop("_n"))
-    seen = span.get
-    if hot is None:
-        return TestProfile(seen["first"], seen["last"])
-    of_wells = hot.keys.filter(N.col(N.WELL).isNotNull())
-    of_months = hot.keys.filter(N.col(N.WELL).isNull()).drop(N.WELL)
-    return TestProfile(
-        seen["first"], seen["last"], HotGroups(of_wells, hot.small), HotGroups(of_months, hot.small)
+    suspects = fixed_groups(months.filter(F.greatest("_wells", "_most") >= least))
+    if suspects is None:
+        return HotWells()
+    crowded = suspects.keys.filter(F.col("_wells") >= least).select(*PLATFORM_MONTH)
+    return HotWells(
+        fixed_groups(wells.filter(F.col("_tests") >= least).select(*WELL_MONTH)),
+        fixed_groups(crowded),
     )
 
 
@@ -132,17 +122,16 @@ def platform_totals(wells: DataFrame, hot: HotGroups | None = None) -> DataFrame
     )
 
 
-def dense_calendar(
-    months: DataFrame, first: date | None = None, last: date | None = None
-) -> DataFrame:
-    """Every platform gets every month from ``first`` to ``last``, by default the span of all rows.
+def dense_calendar(months: DataFrame, span: DataFrame | None = None) -> DataFrame:
+    """Every platform gets every month between the first and last month of ``span``.
 
     Each row emits itself and the empty months up to the platform's next row; the
     first row of a platform also emits the empty months before it. That needs one
-    shuffle by platform and no join against a calendar.
+    shuffle by platform and no join against a calendar; the span is a scalar subquery.
     """
-    start = F.lit(first) if first else months.agg(F.min(N.MONTH).alias("m")).scalar()
-    end = F.lit(last) if last else months.agg(F.max(N.MONTH).alias("m")).scalar()
+    span = months if span is None else span
+    start = span.agg(F.min(N.MONTH).alias("m")).scalar()
+    end = span.agg(F.max(N.MONTH).alias("m")).scalar()
     along = Window.partitionBy(N.CODE).orderBy(N.MONTH)
     following = F.lead(N.MONTH).over(along)
     from_month = F.when(F.row_number().over(along) == 1, start).otherwise(F.col(N.MONTH))
@@ -181,6 +170,8 @@ def chemical_loads(months: DataFrame) -> DataFrame:
 
 def platform_months(tests: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Dense platform-month table of water tests."""
-    seen = profile_tests(tests, hot_rows)
-    sparse = platform_totals(well_months(tests, seen.hot_wells), seen.hot_months)
-    return chemical_loads(carry_forward(dense_calendar(sparse, seen.first_month, seen.last_month)))
+    hot = hot_wells(tests, hot_rows)
+    sparse = platform_totals(well_months(tests, hot.wells), hot.months)
+    # months of the wells are months of the tests: read from the key columns of the source
+    dense = dense_calendar(sparse, span=_known_wells(tests))
+    return chemical_loads(carry_forward(dense))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from salmoura import names as N
@@ -38,10 +38,18 @@ def counted(df: DataFrame, name: str, *more: Column) -> tuple[DataFrame, Observa
     return df.observe(seen, F.count(F.lit(1)).alias("rows"), *more), seen
 
 
+def observed(seen: Observation) -> dict:
+    """Observed counts; none where an empty plan was optimised away with its counters."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return {}
+
+
 def _staged(df: DataFrame, out: str, name: str, *more: Column) -> DataFrame:
     watched, seen = counted(df, name, *more)
     written = files.write_stage(watched, out, name)
-    log.info("%s: %s, %d columns", name, seen.get, len(df.columns))
+    log.info("%s: %s, %d columns", name, observed(seen), len(df.columns))
     return written
 
 
@@ -164,10 +172,10 @@ def analysis_job(
     chosen = results[final_model]
     scored = modelling.with_probability(analysis, chosen.predictions)
     model = modelling.train_final(data)
-    files.save_model(model, f"{out}/modelo_norm")
+    files.save_model(model.pipeline, f"{out}/modelo_norm")
 
     tables = {
-        "coeficientes": modelling.coefficients(spark, model),
+        "coeficientes": modelling.coefficients(spark, model.numbers),
         "metricas_folds": _per_fold(results),
         "01_bsw_plataforma": charts.bsw_bars(scored, mode),
         "02_scatter_matrix": charts.scatter_matrix(scored),
@@ -179,7 +187,9 @@ def analysis_job(
         "07_curva_roc": charts.M.roc_points(best.predictions, N.TARGET, "PROB_NORM"),
         "07_medidas": charts.regression_rates(best.predictions),
         "08_heatmap_metricas": charts.metric_heatmap(comparison),
-        "09_superficie_probabilidade": charts.probability_surface(data, model, N.FEATURES),
+        "09_superficie_probabilidade": charts.probability_surface(
+            data, model.numbers, N.FEATURES
+        ),
     }
     written = {name: files.write_stage(df, out, name) for name, df in tables.items()}
     return {**written, ANALYSIS: analysis, "comparacao_modelos": comparison}
@@ -199,7 +209,7 @@ def training_job(
     out: str,
     mode: str = NEAREST,
     features: Sequence[str] = tuple(N.FEATURES),
-) -> PipelineModel:
+) -> modelling.Fitted:
     """Clean, build the analysis table, fit on all of it and save the model."""
     clean_sources(spark, raw, out)
     analysis = analysis_table(
@@ -207,7 +217,7 @@ def training_job(
     )
     data = files.write_stage(modelling.model_table(analysis), out, "base_treino")
     model = modelling.train_final(data, features)
-    files.save_model(model, f"{out}/modelo_norm")
+    files.save_model(model.pipeline, f"{out}/modelo_norm")
     return model
 
 
