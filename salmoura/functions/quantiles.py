@@ -199,11 +199,15 @@ def _bracketed(
     )
     reached = steps.withColumn("_upto", F.sum("_c").over(upward))
     below, above = F.floor("_pos"), F.ceil("_pos")
+    skipped = F.coalesce(F.sum(F.when(F.col("_value").isNull(), F.col("_c"))), F.lit(0))
     ends = reached.groupBy(*by, "_out", "_pos").agg(
+        ((skipped <= below) & (F.max("_upto") > above)).alias("_holds"),
         F.min(F.when(F.col("_upto") > below, F.col("_value"))).alias("_a"),
         F.min(F.when(F.col("_upto") > above, F.col("_value"))).alias("_b"),
     )
-    value = _between(F.col("_pos"), F.col("_a"), F.col("_b"))
+    value = F.when(F.col("_holds"), _between(F.col("_pos"), F.col("_a"), F.col("_b"))).otherwise(
+        F.raise_error(F.lit("percentile outside its bracket: use a smaller accuracy"))
+    )
     return ends.groupBy(*by).agg(
         *[F.max(F.when(F.col("_out") == out, value)).alias(out) for out in percentiles]
     )
