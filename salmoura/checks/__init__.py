@@ -4,6 +4,7 @@
 def all_entries():
     from salmoura.checks import (  # noqa: F401
         cleaning_queries,
+        job_queries,
         model_queries,
         platform_queries,
         registry,

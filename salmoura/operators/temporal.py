@@ -25,24 +25,25 @@ CONTEXT_COLUMNS = [
 ]
 
 
-def monthly_class(waste: DataFrame) -> DataFrame:
-    """1 per platform-month with contaminated sludge, 0 with only oily sludge, no row otherwise."""
+def _classed_months(waste: DataFrame) -> DataFrame:
+    """As :func:`monthly_class`, with one row more for the undated records of a platform."""
     kind = N.col(N.WASTE_TYPE)
-    classed = waste.filter(is_contaminated(kind) | is_oily(kind)).dropna(
-        subset=[N.PLATFORM, N.MONTH]
-    )
+    classed = waste.filter(is_contaminated(kind) | is_oily(kind)).dropna(subset=[N.PLATFORM])
     return classed.groupBy(N.col(N.PLATFORM), N.MONTH).agg(
         F.max(is_contaminated(kind).cast("int")).alias("TEM_NORM_MES")
     )
 
 
+def monthly_class(waste: DataFrame) -> DataFrame:
+    """1 per platform-month with contaminated sludge, 0 with only oily sludge, no row otherwise."""
+    return _classed_months(waste).dropna(subset=[N.MONTH])
+
+
 def platform_class(waste: DataFrame) -> DataFrame:
     """Class and first contaminated month of every platform with classed waste."""
-    kind = N.col(N.WASTE_TYPE)
-    classed = waste.filter(is_contaminated(kind) | is_oily(kind)).dropna(subset=[N.PLATFORM])
-    return classed.groupBy(N.col(N.PLATFORM)).agg(
-        F.max(is_contaminated(kind).cast("int")).alias("TEM_NORM"),
-        F.min(F.when(is_contaminated(kind), F.col(N.MONTH))).alias("DATA_PRIMEIRO_NORM"),
+    return _classed_months(waste).groupBy(N.col(N.PLATFORM)).agg(
+        F.max("TEM_NORM_MES").alias("TEM_NORM"),
+        F.min(F.when(F.col("TEM_NORM_MES") == 1, F.col(N.MONTH))).alias("DATA_PRIMEIRO_NORM"),
     )
 
 
@@ -55,13 +56,17 @@ def first_occurrence(monthly: DataFrame) -> DataFrame:
 
 def temporal_table(months: DataFrame, waste: DataFrame, ordered: bool = True) -> DataFrame:
     """Platform-months with the class of the month, of the platform, and the way to its first
-    contaminated month. Months without a classed record keep a missing class."""
+    contaminated month. Months without a classed record keep a missing class.
+
+    The join by platform comes first: the series is partitioned by platform already. Both
+    class tables stand on the same aggregate of the waste, which is shuffled once.
+    """
     series = months.select(*[N.col(c) for c in SERIES_COLUMNS if c in months.columns])
     month, first = F.col(N.MONTH), F.col("DATA_PRIMEIRO_NORM")
     table = (
         series.withColumn(N.RATIO, ratio(F.col("BARIO"), F.col("ESTRONCIO")))
-        .join(monthly_class(waste), [N.PLATFORM, N.MONTH], "left")
         .join(platform_class(waste), N.PLATFORM, "left")
+        .join(_classed_months(waste), [N.PLATFORM, N.MONTH], "left")
         .withColumns({
             "PRIMEIRO_NORM": same_month_flag(month, first),
             "MESES_ATE_NORM": months_between(first, month),

@@ -134,9 +134,11 @@ def water_job(
 
 
 def integrated_waste(spark: SparkSession, out: str) -> DataFrame:
-    """Both waste logs, cut over at the last month of the first one."""
+    """Both waste logs, cut over at the last month of the first one. The table is not sorted:
+    nothing reads it in order."""
     both = append_newer(
-        files.read_stage(spark, out, WASTE_A), files.read_stage(spark, out, WASTE_B)
+        files.read_stage(spark, out, WASTE_A), files.read_stage(spark, out, WASTE_B),
+        ordered=False,
     )
     return _staged(both, out, WASTE)
 
