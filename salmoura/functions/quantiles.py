@@ -86,10 +86,12 @@ def _ranked(
     aggregates: Sequence[Column],
     percentiles: dict[str, tuple[str, float]],
 ) -> DataFrame:
-    by = [col(k) for k in keys]
+    # long keys often share their first bytes; a leading hash lets sorting compare numbers
+    by = [F.col("_hash"), *[col(k) for k in keys]]
     group = Window.partitionBy(*by)
     variables = {c: i for i, c in enumerate(sorted({c for c, _ in percentiles.values()}))}
-    ranked = df.withColumns({
+    hashed = df.withColumn("_hash", F.xxhash64(*[col(k) for k in keys]))
+    ranked = hashed.withColumns({
         f"_n{i}": F.count(col(c)).over(group) for c, i in variables.items()
     }).withColumns({
         f"_i{i}": F.row_number().over(group.orderBy(col(c).asc_nulls_last())) - 1
@@ -98,17 +100,20 @@ def _ranked(
 
     def exact(variable: str, p: float) -> Column:
         i = variables[variable]
-        position = (F.col(f"_n{i}") - 1) * F.lit(float(p))
-        value, rank = col(variable).cast("double"), F.col(f"_i{i}")
+        value, rank, last = col(variable).cast("double"), F.col(f"_i{i}"), F.col(f"_n{i}") - 1
+        if p == 0.5:  # one middle value, or half of each of two
+            off_centre = F.abs(rank * 2 - last)
+            return F.sum(F.when(off_centre == 0, value).when(off_centre == 1, value * 0.5))
+        position = last * F.lit(float(p))
         return _between(
-            F.max((F.col(f"_n{i}") - 1) * F.lit(float(p))),
+            F.max(position),
             F.max(F.when(rank == F.floor(position), value)),
             F.max(F.when(rank == F.ceil(position), value)),
         )
 
     return ranked.groupBy(*by).agg(
         *aggregates, *[exact(c, p).alias(out) for out, (c, p) in percentiles.items()]
-    )
+    ).drop("_hash")
 
 
 def grouped(

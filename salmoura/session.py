@@ -16,6 +16,8 @@ def build_session(app: str = "salmoura", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # call sites are looked up for every column expression otherwise
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # percentile() aggregates by object hash; the default of 128 groups sorts too early
         .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "8192")
     )
