@@ -13,7 +13,7 @@ equally exact way:
 2. rows are counted per distinct value (hashed by group *and* value, so the
    group spreads over the cluster);
 3. all values below the bracket fold into one counter, all above are not
-   needed, and only the narrow bracket is put in order.
+   needed, and only the narrow bracket is put in order, in many parts.
 
 The sample decides nothing but the way of computing: a hot group that it misses
 is still answered, and answered exactly, by the ordinary way.
@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from salmoura.functions.running import BUCKET, running_totals
 from salmoura.names import col
 from salmoura.session import materialise
 
@@ -33,6 +34,7 @@ HOT_ROWS = 2_000_000      # rows from which on a group is computed spread out
 SAMPLED_PER_HOT = 2_000   # sampled rows expected from a group of that size
 BROADCAST_GROUPS = 10_000 # hot lists up to this length are literal rows and broadcast
 ACCURACY = 10_000         # sketch accuracy; the bracket spans 4/ACCURACY of a group
+BRACKET_BUCKETS = 256     # parts into which a bracket is cut for ordering
 
 
 @dataclass(frozen=True)
@@ -54,7 +56,8 @@ def sampled_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[Dat
 
 
 def fixed_groups(found: DataFrame) -> HotGroups | None:
-    """Pin a list of hot keys, so that all its uses agree; None if it is empty.
+    """Pin a list of hot keys (and what belongs to them), so that all its uses agree; None if
+    it is empty.
 
     A list too long to be literal is written to the shared folder and joined by shuffle.
     """
@@ -141,14 +144,13 @@ def grouped(
         F.count(F.lit(1)).alias("_rows"), *aggregates
     )
     spread = counted.drop("_rows").join(
-        _bracketed(large, keys, percentiles, accuracy, hot), list(keys), "left"
+        _bracketed(large, keys, percentiles, accuracy), list(keys), "left"
     )
     return ordinary.unionByName(spread)
 
 
 def _bracketed(
-    df: DataFrame, keys: Sequence[str], percentiles: dict[str, tuple[str, float]], accuracy: int,
-    hot: HotGroups,
+    df: DataFrame, keys: Sequence[str], percentiles: dict[str, tuple[str, float]], accuracy: int
 ) -> DataFrame:
     by = [col(k) for k in keys]
     variables = sorted({c for c, _ in percentiles.values()})
@@ -181,28 +183,35 @@ def _bracketed(
             F.col("_marks")[high].alias("_high"),
         )
 
-    # one row per hot group and percentile, so as bounded as the list of hot groups
-    brackets = (
+    # one row per hot group and percentile, so as bounded as the list of hot groups; pinned,
+    # since a sketch may come out differently when it is computed again
+    brackets = fixed_groups(
         sketch.select(*by, "_var", F.inline(F.array(
             *[bracket(out, c, p) for out, (c, p) in percentiles.items()]
         )))
         .filter(F.col("_for") == F.col("_var"))
         .drop("_for")
     )
+    if brackets is None:
+        nothing = {out: F.lit(None).cast("double") for out in percentiles}
+        return df.select(*by).limit(0).withColumns(nothing)
     distinct = values.groupBy(*by, "_var", "_value").agg(F.count(F.lit(1)).alias("_c"))
+    # place within the bracket: an order-preserving bucket, the counter of skipped values first
+    value, low, high = F.col("_value"), F.col("_low"), F.col("_high")
+    place = F.floor(F.try_divide(value - low, high - low) * BRACKET_BUCKETS).cast("int")
     steps = (
-        distinct.join(hot.hint(brackets), [*keys, "_var"])
-        .filter(F.col("_value") <= F.col("_high"))
-        .withColumn("_value", F.when(F.col("_value") >= F.col("_low"), F.col("_value")))
-        .groupBy(*by, "_out", "_pos", "_value")
+        distinct.join(brackets.hint(brackets.keys), [*keys, "_var"])
+        .filter(value <= high)
+        .withColumns({
+            BUCKET: F.when(value >= low, F.coalesce(place, F.lit(0))).otherwise(-1),
+            "_value": F.when(value >= low, value),
+        })
+        .groupBy(*by, "_out", "_pos", BUCKET, "_value")
         .agg(F.sum("_c").alias("_c"))
     )
-    upward = (
-        Window.partitionBy(*by, F.col("_out"))
-        .orderBy(F.col("_value").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    reached = steps.withColumn("_upto", F.sum("_c").over(upward))
+    reached = running_totals(
+        steps, [*keys, "_out"], [value.asc_nulls_first()], {"_before": "_c"}
+    ).withColumn("_upto", F.col("_before") + F.col("_c"))
     below, above = F.floor("_pos"), F.ceil("_pos")
     skipped = F.coalesce(F.sum(F.when(F.col("_value").isNull(), F.col("_c"))), F.lit(0))
     ends = reached.groupBy(*by, "_out", "_pos").agg(

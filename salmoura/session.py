@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,15 +29,17 @@ def build_session(app: str = "salmoura", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="salmoura-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh sub-folder of the folder the cluster names in ``spark.checkpoint.dir``.
 
     Only where no such folder is set (single-machine tests) a local one is made.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="salmoura-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
     return f"{root.rstrip('/')}/salmoura-{uuid.uuid4().hex}"
 
 

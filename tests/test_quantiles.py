@@ -69,3 +69,10 @@ def test_whole_table(spark, hot_rows):
     pdf = skewed()
     row = whole_table(frame(spark, pdf), {"m": ("x", 0.5)}, hot_rows).first()
     assert row.m == pytest.approx(pdf.x.median(), rel=1e-12)
+
+
+def test_hot_group_without_values(spark):
+    df = spark.range(2_000).select(F.lit(1).alias("k"), F.lit(None).cast("double").alias("x"))
+    rows = grouped(df, ["k"], [F.count("k").alias("n")], {"m": ("x", 0.5)},
+                   hot_groups(df, ["k"], 1_000), accuracy=100).collect()
+    assert [tuple(r) for r in rows] == [(1, 2_000, None)]
