@@ -410,8 +410,8 @@ BOX_SQL = """long AS (UNPIVOT (SELECT CASE tem_norm WHEN 1 THEN 'Com NORM' ELSE
 
 @query("a21_g3_boxplots", P.WITH_WINDOW[:-1] + f""", {BOX_SQL}
 SELECT grupo, variavel, n, {R('q1', 4)} AS q1, {R('mediana', 4)} AS mediana, {R('q3', 4)} AS q3,
-  {R('min(valor) FILTER (WHERE valor >= q1 - 1.5 * (q3 - q1))', 4)} AS inferior,
-  {R('max(valor) FILTER (WHERE valor <= q3 + 1.5 * (q3 - q1))', 4)} AS superior
+  {R('least(min(valor) FILTER (WHERE valor >= q1 - 1.5 * (q3 - q1)), q1)', 4)} AS inferior,
+  {R('greatest(max(valor) FILTER (WHERE valor <= q3 + 1.5 * (q3 - q1)), q3)', 4)} AS superior
 FROM long JOIN boxes USING (grupo, variavel) GROUP BY grupo, variavel, n, q1, mediana, q3""")
 def _(spark, d):
     boxes = G.boxplots(materialise(analysis(spark, d)))

@@ -89,7 +89,8 @@ def chemistry_3d(analysis: DataFrame) -> DataFrame:
 
 def boxplots(analysis: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Quartiles and whiskers per class and variable: the furthest values within 1.5
-    interquartile ranges of the box."""
+    interquartile ranges of the box, or the edge of the box where that is further out (an
+    interpolated quartile may lie beyond the last value that is no outlier)."""
     present = {c: v for c, v in MODEL_COLUMNS.items() if c in analysis.columns}
     if not present:
         raise ValueError("no chemistry variable available")
