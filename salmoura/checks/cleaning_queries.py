@@ -65,7 +65,7 @@ WATER_HEADERS = {
 }
 
 
-def _water_files(spark: SparkSession, d: str, name: str) -> DataFrame:
+def _water_files(spark: SparkSession, d: str) -> DataFrame:
     """The water proxy cut into the seventeen files, with the headers such files have."""
     folder = shared_folder(spark)
     lines = P.water(spark, d).withColumn(
@@ -84,7 +84,7 @@ SELECT l_orderkey % 17 AS arquivo, plat, poco, campo, {D('dt')} AS data, {R('qw'
   {R('qo')} AS qo, {R('bsw')} AS bsw, {R('ba')} AS ba,
   CASE WHEN l_orderkey % 17 <> 13 THEN {R('sr')} END AS sr, {R('sal')} AS sal FROM water""")
 def _(spark, d):
-    tests = _water_files(spark, d, "s3")
+    tests = _water_files(spark, d)
     position = F.array_position(
         F.array(*[F.lit(f + ".parquet") for f in water_files.WATER_FILES]), F.col(N.SOURCE_FILE)
     ) - 1

@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from salmoura import names as N
 from salmoura.operators import charts as G, hull as H
