@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from salmoura.llm import benchmark_scan, bpe
+from salmoura.llm import benchmark_scan, bpe, line_dedup, near_dup, quality
 from salmoura.llm.registry import ENTRIES, Entry, query, table
 
 __all__ = ["ENTRIES", "Entry"]
@@ -16,6 +16,16 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op2_quality")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classified(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op4_hamming_join")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, folder, "documents"), words=2, percent=80)
+
+
 @query("op5_bpe")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encoded(table(spark, folder, "documents"), word_vocabulary(), with_ids=False)
@@ -55,3 +65,36 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return benchmark_scan.flagged(
         benchmark_scan.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     )
+
+
+_ENDS = "' ' || chr(9) || chr(13) || chr(11) || chr(12)"
+
+
+@query("op8_line_dedup", f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS site, text FROM documents),
+pages AS (SELECT DISTINCT site, text FROM d WHERE text IS NOT NULL),
+totals AS (SELECT site, count(*) AS pages FROM pages GROUP BY site),
+listed AS (
+  SELECT site, line FROM (
+    SELECT DISTINCT site, text, trim(unnest(string_split(text, chr(10))), {_ENDS}) AS line FROM pages)
+  JOIN totals USING (site) WHERE line <> '' GROUP BY site, line, pages
+  HAVING count(*) >= {line_dedup.LEAST} AND count(*) * 100 > pages * {line_dedup.PERCENT}),
+lines AS (
+  SELECT doc_id, site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM d WHERE text IS NOT NULL),
+marked AS (
+  SELECT l.doc_id, l.line, l.i, b.line IS NULL AS kept
+  FROM lines l LEFT JOIN listed b ON l.site = b.site AND trim(l.line, {_ENDS}) = b.line),
+joined AS (
+  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (kept), '') AS text,
+    count(*) AS n_lines, count(*) FILTER (NOT kept) AS n_dropped
+  FROM marked GROUP BY doc_id)
+SELECT d.doc_id, j.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
+FROM d LEFT JOIN joined j USING (doc_id)
+""")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return line_dedup.cleaned(documents).select(
+        F.col("_0").alias("doc_id"), F.col("__text").alias("text"), F.col("__lines").alias("n_lines"),
+        F.col("__dropped").alias("n_dropped"),
+    )
