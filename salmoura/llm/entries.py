@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from salmoura.llm import benchmark_scan, bpe, line_dedup, near_dup, quality
+from salmoura.llm import benchmark_scan, bpe, fingerprints, line_dedup, near_dup, quality, secrets, shards
 from salmoura.llm.registry import ENTRIES, Entry, query, table
 
 __all__ = ["ENTRIES", "Entry"]
@@ -16,6 +16,11 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op1_fingerprints")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprinted(table(spark, folder, "documents"))
+
+
 @query("op2_quality")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classified(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -98,3 +103,13 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
         F.col("_0").alias("doc_id"), F.col("__text").alias("text"), F.col("__lines").alias("n_lines"),
         F.col("__dropped").alias("n_dropped"),
     )
+
+
+@query("op9_shards")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.sharded(table(spark, folder, "documents"))
+
+
+@query("op10_secrets")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scanned(table(spark, folder, "documents"))
