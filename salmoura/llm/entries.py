@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from salmoura.llm import benchmark_scan, bpe, fingerprints, line_dedup, near_dup, quality, secrets, shards
+from salmoura.llm import benchmark_scan, bpe, fingerprints, html_text, line_dedup, near_dup, quality, secrets, shards, warc
 from salmoura.llm.registry import ENTRIES, Entry, query, table
 
 __all__ = ["ENTRIES", "Entry"]
@@ -26,6 +26,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classified(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op3_main_text")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extracted(table(spark, folder, "pages"))
+
+
 @query("op4_hamming_join")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, folder, "documents"), words=2, percent=80)
@@ -36,6 +41,18 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encoded(table(spark, folder, "documents"), word_vocabulary(), with_ids=False)
 
 
+@query("op6_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT page_id, html, CAST(strlen(html) AS BIGINT) AS payload_bytes, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes, sha256(html) AS payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+""")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, folder, "pages"))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = (
     f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), "
