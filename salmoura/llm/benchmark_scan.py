@@ -34,7 +34,7 @@ _KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz"
 _TABLE = bytes(
     c if c in _KEPT or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256)
 )
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # before lower-casing
 
 _HITS = "array<struct<first:bigint,last:bigint>>"
 

@@ -72,8 +72,10 @@ def passages(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     marks[begins] = 1
     byte_row = np.cumsum(marks[:-1]) - 1
     kind = _KIND[data]
+    inside = np.ones(len(data), bool)
+    inside[text_at + np.array([len(t) for t in encoded], np.int64)] = False  # nothing follows a text's end
     pair = byte_row[:-1] * (KINDS * KINDS) + kind[:-1] * KINDS + kind[1:]
-    follows = np.bincount(pair, minlength=rows * KINDS * KINDS).reshape(rows, -1).astype(np.float32)
+    follows = np.bincount(pair[inside[:-1]], minlength=rows * KINDS * KINDS).reshape(rows, -1).astype(np.float32)
     sizes = np.maximum(1.0, follows.sum(axis=1, keepdims=True))
     words = np.bincount(word_row, minlength=rows).astype(np.float32)
     some = np.maximum(1.0, words)
