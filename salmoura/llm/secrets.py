@@ -3,11 +3,11 @@
 The patterns are assignments to a secret's name, access keys and long hexadecimal runs; each is matched from the
 left without overlap, matches that are too short are dropped.
 
-The battery takes every run of at least ``RUN`` letters, digits and ``+/_=-``, and infers its encoding (decimal,
-hexadecimal, base 32, else base 64). A run is added if it passes for random and cannot be prose:
+The battery takes every run of at least ``RUN`` letters, digits and ``+/_=-``, and infers its encoding (hexadecimal,
+base 32, else base 64). A run is added if it passes for random and cannot be prose:
 
-* random: chi-squared test of four equal parts of the alphabet, test of the number of runs above and below its
-  middle, and serial correlation of neighbours, combined by Fisher's rule, give no p-value below ``LEAST_P``;
+* random: chi-squared tests of eight equal parts of the alphabet and of its upper case, lower case and other
+  letters, test of the number of runs above and below its middle, and serial correlation of neighbours, combined by Fisher's rule, give no p-value below ``LEAST_P``;
 * not prose: in prose, neighbours seldom differ in kind (lower, upper, digit, sign). The chance that prose changes
   kind so often is bounded by Chernoff, and Benjamini-Hochberg keeps the expected share of false finds below
   ``FALSE_SHARE`` among the runs of each length class of the whole corpus. Longer runs are a class of their own,
@@ -41,6 +41,7 @@ CHANGE = 0.05       # chance that neighbours in prose differ in kind
 FALSE_SHARE = 0.01
 LEAST_P = 0.001
 STEPS = 400
+PARTS = 8
 KINDS = ("assign", "access", "hex", "random")
 _BLOCK = 128
 
@@ -95,17 +96,21 @@ def _erfc(x: Column) -> Column:
 
 
 def random_p(run: Column) -> Column:
-    """Combined p-value of the three tests against a uniformly random string."""
+    """Combined p-value of the four tests against a uniformly random string."""
     lower = "0123456789abcdef"
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     base64 = upper + upper.lower() + "0123456789+/"
 
     def read_as(letters: str, text: Column) -> Column:
-        return F.struct(F.lit(letters).alias("letters"), text.alias("text"))
+        # how many of 64 letters are upper case, lower case and others
+        shares = [64 * sum(c in kind for c in letters) / len(letters) for kind in (upper, upper.lower())]
+        return F.struct(
+            F.lit(letters).alias("letters"), text.alias("text"),
+            F.array(*map(F.lit, [*shares, 64.0 - sum(shares)])).alias("shares"),
+        )
 
     encoding = (
-        F.when(run.rlike("^[0-9]+$"), read_as("0123456789", run))
-        .when(run.rlike("^([0-9a-f]+|[0-9A-F]+)$"), read_as(lower, F.lower(run)))
+        F.when(run.rlike("^([0-9a-f]+|[0-9A-F]+)$"), read_as(lower, F.lower(run)))
         .when(run.rlike("^[A-Z2-7]+=*$"), read_as(upper + "234567", F.rtrim(run, F.lit("="))))
         .otherwise(read_as(base64, F.rtrim(F.translate(run, "-_", "+/"), F.lit("="))))
     )
@@ -116,7 +121,12 @@ def random_p(run: Column) -> Column:
             F.transform(F.split(e["text"], ""), lambda c: F.when(c != "", F.instr(e["letters"], c))),
             lambda c: c > 0,
         )
-        return let(F.struct(codes.alias("codes"), size.cast("double").alias("size")), tests)
+        upper_case = F.regexp_count(e["text"], F.lit("[A-Z]"))
+        lower_case = F.regexp_count(e["text"], F.lit("[a-z]"))
+        kinds = F.array(upper_case, lower_case, F.length(e["text"]) - upper_case - lower_case)
+        return let(F.struct(
+            codes.alias("codes"), size.cast("double").alias("size"), e["shares"].alias("shares"), kinds.alias("kinds")
+        ), tests)
 
     def tests(s: Column) -> Column:
         codes, size = s["codes"], s["size"]
@@ -125,9 +135,9 @@ def random_p(run: Column) -> Column:
         def total(values: Column) -> Column:
             return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
-        quarter = F.transform(codes, lambda c: F.floor((c - 1) * 4 / size).cast("int"))
-        chi = let(quarter, lambda q: total(F.transform(F.array(*map(F.lit, range(4))), lambda k: let(
-            F.size(F.filter(q, lambda x: x == k)) - n / 4, lambda d: d * d / (n / 4)))))
+        part = F.transform(codes, lambda c: F.floor((c - 1) * PARTS / size).cast("int"))
+        chi = let(part, lambda q: total(F.transform(F.array(*map(F.lit, range(PARTS))), lambda k: let(
+            F.size(F.filter(q, lambda x: x == k)) - n / PARTS, lambda d: d * d / (n / PARTS)))))
         pairs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes)),
                            lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         middle, spread = (size + 1) / 2, (size * size - 1) / 12
@@ -139,10 +149,16 @@ def random_p(run: Column) -> Column:
             F.abs((c["runs"] - (n - 1) / 2) / F.sqrt((n - 1) / 4)).alias("runs"),
             F.abs(c["serial"] / F.sqrt(n - 1)).alias("serial"),
         ))
-        chi_p = let(chi, lambda x: _erfc(F.sqrt(x / 2)) + F.sqrt(x * (2 / math.pi)) * F.exp(-x / 2))
+        # upper tail with PARTS - 1 = 7 degrees of freedom
+        chi_p = let(chi, lambda x: _erfc(F.sqrt(x / 2)) + F.sqrt(x * (2 / math.pi)) * F.exp(-x / 2) * (
+            1 + x / 3 + x * x / 15))
+        off = total(F.zip_with(s["kinds"], s["shares"], lambda found, share: F.when(
+            share > 0, let(found - n * share / 64, lambda d: d * d / (n * share / 64))).otherwise(F.lit(0.0))))
+        three = F.size(F.filter(s["shares"], lambda share: share > 0)) == 3
+        kinds_p = let(off, lambda x: F.when(three, F.exp(-x / 2)).otherwise(_erfc(F.sqrt(x / 2))))
         rest = let(z, lambda v: F.array(_erfc(v["runs"] / math.sqrt(2)), _erfc(v["serial"] / math.sqrt(2))))
-        half = -total(F.transform(F.concat(F.array(chi_p), rest), lambda p: F.ln(F.greatest(p, F.lit(1e-300)))))
-        fisher = let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))
+        half = -total(F.transform(F.concat(F.array(chi_p, kinds_p), rest), lambda p: F.ln(F.greatest(p, F.lit(1e-300)))))
+        fisher = let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2 + h * h * h / 6))
         return F.when(n >= RUN // 2, fisher).otherwise(F.lit(0.0))
 
     return let(encoding, battery)
