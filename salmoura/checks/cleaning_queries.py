@@ -44,17 +44,40 @@ def _(spark, d):
 
 
 @query("s2_latin1_fallback", r"""
-SELECT doc_id, regexp_replace(regexp_replace(text, '[\n\r]', ' ', 'g'),
-                              '[^\x{00}-\x{FF}]', '?', 'g') AS texto FROM documents""")
+SELECT doc_id, regexp_replace(text, '[^\x{00}-\x{FF}]', '?', 'g') AS texto FROM documents""")
 def _(spark, d):
     path = f"{shared_folder(spark)}/documents.csv"
-    text = F.regexp_replace(F.regexp_replace("text", r"[\n\r]", " "), r"[^\x{00}-\x{FF}]", "?")
+    text = F.regexp_replace("text", r"[^\x{00}-\x{FF}]", "?")
     P.table(spark, d, "documents").select("doc_id", text.alias("texto")).write.option(
         "header", True
     ).option("encoding", "ISO-8859-1").option("escape", '"').option(
         "ignoreLeadingWhiteSpace", False
     ).option("ignoreTrailingWhiteSpace", False).csv(path)
-    return files.read_table(spark, path, "doc_id long, texto string")
+    return files.read_table(spark, path, "doc_id long, texto string", multi_line=True)
+
+
+@query("s1_csv_line_breaks", "SELECT doc_id, text AS texto FROM documents")
+def _(spark, d):
+    path = f"{shared_folder(spark)}/documents.csv"
+    files.write_csv(P.table(spark, d, "documents").select("doc_id", F.col("text").alias("texto")), path)
+    return files.read_table(spark, path, "doc_id long, texto string", multi_line=True)
+
+
+@query("s1_parquet_markers", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'NA' WHEN 1 THEN 'None'
+  ELSE text END AS texto FROM documents""")
+def _(spark, d):
+    path = f"{shared_folder(spark)}/documents.parquet"
+    text = F.expr("CASE doc_id % 3 WHEN 0 THEN 'NA' WHEN 1 THEN 'None' ELSE text END")
+    P.table(spark, d, "documents").select("doc_id", text.alias("texto")).write.parquet(path)
+    return files.read_table(spark, path)
+
+
+@query("s2_utf8_with_replacement_character", "SELECT doc_id, chr(65533) || ' Água ' || text AS texto FROM documents")
+def _(spark, d):
+    path = f"{shared_folder(spark)}/documents.csv"
+    text = F.concat(F.lit("\ufffd Água "), "text")
+    files.write_csv(P.table(spark, d, "documents").select("doc_id", text.alias("texto")), path)
+    return files.read_table(spark, path, "doc_id long, texto string", multi_line=True)
 
 
 WATER_HEADERS = {
@@ -95,13 +118,29 @@ def _(spark, d):
     )
 
 
-@query("s5_header_names", "SELECT 10 AS usadas, count(*) AS linhas FROM lineitem")
+HEADED_SQL = " UNION ALL ".join(
+    f"SELECT {i} AS posicao, '{h}' AS cabecalho, '{c}' AS coluna, count({s}) AS preenchidos FROM water"
+    for s, c, h, i in (
+        ("campo", N.FIELD, "Nome do Campo", 2), ("poco", N.WELL, "Nome do Poço", 1),
+        ("plat", N.CODE, "Sigla da Plataforma", 0), ("dt", N.DATE, "Data", 3),
+        ("qw", N.WATER_RATE, "Qw (m³/d)", 4), ("qo", N.OIL_RATE, " Qo (m³/d) ", 5),
+        ("bsw", N.BSW, "BSW (%)", 6), ("ba", "BÁRIO", "Teor [BÁRIO] mg/L", 7),
+        ("sr", "ESTRÔNCIO", "[ESTRÔNCIO]", 8),
+        ("sal", "SALINIDADE", "Água [SALINIDADE DA ÁGUA (MG DE NACL/L)]", 9),
+    )
+)
+
+
+@query("s5_header_names", P.WITH_LINES[:-1] + f", {P.WATER_SQL} {HEADED_SQL}")
 def _(spark, d):
-    headed = P.water(spark, d).withColumnsRenamed(WATER_HEADERS)
+    tests = P.water(spark, d).drop(N.MONTH, N.INGEST_ORDER).withColumn("Ensaio [BÁRIO]", F.lit(1))
+    headed = tests.withColumnsRenamed(WATER_HEADERS)
     found = water_files.used_columns(headed.columns)
-    return headed.agg(
-        F.lit(len(found)).alias("usadas"), F.count(F.lit(1)).alias("linhas")
-    )
+    return headed.agg(F.array(*[
+        F.struct(F.lit(i).alias("posicao"), F.lit(headed.columns[i]).alias("cabecalho"), F.lit(c).alias("coluna"),
+                 F.count(N.col(headed.columns[i])).alias("preenchidos"))
+        for c, i in found.items()
+    ]).alias("usadas")).select(F.inline("usadas"))
 
 
 @query("s6_write_csv", """SELECT p_partkey AS chave, p_name AS nome, p_retailprice AS preco
@@ -136,6 +175,16 @@ def _(spark, d):
     return shown(C.parse_dates(df, pattern=None), pedido="o_orderkey", mes=day(N.MONTH))
 
 
+@query("c1_parse_dates_short", f"""
+SELECT o_orderkey AS pedido, {D("date_trunc('month', o_orderdate)")} AS mes, day(o_orderdate)::INT AS dia FROM orders""")
+def _(spark, d):
+    text = F.date_format("o_orderdate", "M/d/yyyy H:mm")
+    df = P.table(spark, d, "orders").select("o_orderkey", text.alias(N.PERIOD))
+    # the first value must tell month from day
+    first = df.orderBy((F.split(N.PERIOD, "/")[1].cast("int") > 12).desc(), "o_orderkey")
+    return shown(C.parse_dates(first, pattern=None), pedido="o_orderkey", mes=day(N.MONTH), dia=F.dayofmonth(N.PERIOD))
+
+
 @query("c2_drop_empty_columns", """SELECT l_orderkey, l_linenumber, l_partkey,
   CASE WHEN l_linenumber = 1 THEN l_quantity END AS algum FROM lineitem""")
 def _(spark, d):
@@ -174,6 +223,22 @@ def _(spark, d):
     return C.keep_first(orders, ["chave"], [F.col("o_orderkey")])
 
 
+@query("c4_keep_first_many_files", """
+SELECT o_orderkey, chave FROM (
+  SELECT o_orderkey, o_custkey % 100 AS chave, row_number() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderkey) AS rn
+  FROM orders) WHERE rn = 1""")
+def _(spark, d):
+    path = f"{shared_folder(spark)}/orders.parquet"
+    orders = P.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 100).alias("chave"))
+    # the first files are the smallest, and Spark reads the largest first
+    few = orders.orderBy("o_orderkey").limit(20)
+    few.coalesce(1).write.parquet(f"{path}/a.parquet")
+    rest = orders.join(F.broadcast(few.select("o_orderkey")), "o_orderkey", "left_anti")
+    rest.orderBy("o_orderkey").coalesce(1).write.parquet(f"{path}/b.parquet")
+    both = spark.read.parquet(f"{path}/a.parquet", f"{path}/b.parquet").withColumn(N.INGEST_ORDER, files.ingest_order())
+    return C.keep_first(both, ["chave"], [F.col(N.INGEST_ORDER)]).drop(N.INGEST_ORDER)
+
+
 @query("c5_rename_columns", 'SELECT s_suppkey AS chave, s_name AS "LOCAL DA GERAÇÃO" FROM supplier')
 def _(spark, d):
     suppliers = P.table(spark, d, "supplier").select("s_suppkey", "s_name")
@@ -236,9 +301,8 @@ def _(spark, d):
                  codigo=PN.numbered_platform(name))
 
 
-@query("c11_fold_accents", f"""
-SELECT doc_id, upper(translate(replace(text, 'ß', 'ss'), '{PN.MARKED}', '{PN.PLAIN}')) AS texto
-FROM documents""")
+@query("c11_fold_accents", """
+SELECT doc_id, upper(strip_accents(replace(text, 'ß', 'ss'))) AS texto FROM documents""")
 def _(spark, d):
     text = F.upper(PN.fold_accents(F.col("text")))
     return shown(P.table(spark, d, "documents"), doc_id="doc_id", texto=text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from salmoura import names as N
-from salmoura.checks import proxies as P
+from salmoura.checks import fits_sql as FS, proxies as P
 from salmoura.checks.platform_queries import TEMPORAL_SQL, analysis, temporal
 from salmoura.checks.registry import D, R, day, query, r, shown
 from salmoura.operators import charts as G, hull as H, metrics as M, modelling as L, scoring as S
@@ -60,14 +60,22 @@ def _(spark, d):
     return spark.createDataFrame(sorted(counts.items()), "classe int, linhas long")
 
 
-@query("m3_m4_final_fit")
+FINAL = FS.MODELS_SQL["Salinidade + Bário + Estrôncio"]
+FINAL_SCORED = FS.with_final(FINAL) + f"""
+SELECT plat, (p > 0.5)::INT AS predicao, {R('p', 4)} AS prob
+FROM (SELECT plat, {FS.probability(FINAL)} AS p FROM model, f_fit)"""
+
+
+@query("m3_m4_final_fit", FINAL_SCORED)
 def _(spark, d):
     data = materialise(model_data(spark, d))
     scored = S.score_batch(data, L.train_final(data).numbers)
     return shown(scored, plat=N.PLATFORM, predicao="PREDICAO_NORM", prob=r("PROB_NORM", 4))
 
 
-@query("m5_coefficients")
+@query("m5_coefficients", FS.with_final(FINAL) + " UNION ALL ".join(
+    f"SELECT '{v}' AS variavel, {R(f'b{j}', 4)} AS coeficiente, {R(f'exp(b{j})', 4)} AS odds FROM f_fit"
+    for j, v in enumerate(N.FEATURES, 1)))
 def _(spark, d):
     model = L.train_final(materialise(model_data(spark, d)))
     table = L.coefficients(spark, model.numbers)
@@ -78,7 +86,7 @@ def _(spark, d):
 @query("m6_stratified_folds", """
 SELECT doc_id, quality AS classe, ((row_number() OVER (
   PARTITION BY quality ORDER BY md5(doc_id || '42')) - 1)
-  % least(4, (SELECT min(n) FROM (SELECT count(*) AS n FROM labels GROUP BY quality))))::INT AS fold
+  % least(4, (SELECT min(n) FROM (SELECT count(*) AS n FROM labels GROUP BY quality))))::INT + 1 AS fold
 FROM labels""")
 def _(spark, d):
     labels = P.table(spark, d, "labels").withColumns({
@@ -89,7 +97,11 @@ def _(spark, d):
                  fold="FOLD")
 
 
-@query("m7_held_out_probability")
+ONE_MODEL = {"e0": FINAL}
+
+
+@query("m7_held_out_probability", FS.with_evaluation(ONE_MODEL, 6) + f"""
+SELECT plat, fold::INT AS fold, {R('p', 4)} AS prob FROM e0_held""")
 def _(spark, d):
     result = L.evaluate(model_data(spark, d), N.FEATURES, 6)
     return shown(result.predictions, plat=N.PLATFORM, fold="FOLD", prob=r("PROB_NORM", 4))
@@ -217,7 +229,9 @@ def _(spark, d):
     )
 
 
-@query("m15_evaluate")
+@query("m15_evaluate", FS.with_evaluation(ONE_MODEL, 6) + f"""
+SELECT fold::INT AS FOLD, (SELECT count(*) FROM e0_held) - n AS N_TREINO, n AS N_TESTE, {FS.ROUNDED}, {FS.COUNTS}
+FROM e0_folds""")
 def _(spark, d):
     result = L.evaluate(model_data(spark, d), N.FEATURES, 6)
     return result.per_fold.select(
@@ -225,7 +239,9 @@ def _(spark, d):
     )
 
 
-@query("m16_compare_models")
+@query("m16_compare_models", FS.with_evaluation(FS.MODELS_SQL, 6) + " UNION ALL ".join(f"""
+SELECT '{name}' AS MODELO, {len(f)} AS N_VARIAVEIS, {FS.ROUNDED}, {FS.COUNTS}, {R('limiar', 4)} AS LIMIAR_YOUDEN,
+  {FS.spread(i)} FROM e{i}_all""" for i, (name, f) in enumerate(FS.MODELS_SQL.items())))
 def _(spark, d):
     table, _ = L.compare_models(model_data(spark, d), 6)
     return table.select(
@@ -235,13 +251,10 @@ def _(spark, d):
 
 
 @query("j8_probability_lookup", P.WITH_WINDOW + f"""
-SELECT a.plat, {R(PROB_SQL)} AS prob FROM analysis a LEFT JOIN
-  (SELECT * FROM model WHERE tem_norm = 1) m ON a.plat = m.plat""")
+SELECT a.plat, {R(PROB_SQL)} AS prob FROM analysis a LEFT JOIN model m ON a.plat = m.plat""")
 def _(spark, d):
     table = analysis(spark, d)
-    scored = L.model_table(table).filter(F.col(N.TARGET) == 1).withColumn(
-        "PROB_NORM", GIVEN.probability()
-    )
+    scored = L.model_table(table).withColumn("PROB_NORM", GIVEN.probability())
     return shown(L.with_probability(table, scored), plat=N.PLATFORM, prob=r("PROB_NORM"))
 
 
@@ -281,20 +294,25 @@ def _(spark, d):
 @query("m18_score_requests", f"""
 WITH pedidos AS (SELECT l_orderkey * 10 + l_linenumber AS doc, l_extendedprice AS sal,
   l_quantity - 2 AS ba, 80 + l_discount AS sr FROM lineitem)
-SELECT doc, (p > 0.5)::INT AS predicao, round(1 - p, 4) + 0.0 AS sem, round(p, 4) + 0.0 AS com
-FROM (SELECT doc, {PROB_SQL} AS p FROM pedidos WHERE sal > 0 AND ba > 0 AND sr > 0)""")
+SELECT doc, (p > 0.5)::INT AS predicao, round(1 - p, 4) + 0.0 AS sem, round(p, 4) + 0.0 AS com, NULL::VARCHAR AS motivo
+FROM (SELECT doc, {PROB_SQL} AS p FROM pedidos WHERE sal > 0 AND ba > 0 AND sr > 0)
+UNION ALL
+SELECT doc, NULL, NULL, NULL, CASE WHEN sal > 0 THEN CASE WHEN ba > 0 THEN 'estroncio' ELSE 'bario' END ELSE 'salinidade' END
+  || ' deve ser um valor positivo e maior que zero'
+FROM pedidos WHERE NOT (sal > 0 AND ba > 0 AND sr > 0)""")
 def _(spark, d):
     requests = shown(
         P.table(spark, d, "lineitem"), doc=F.col("l_orderkey") * 10 + F.col("l_linenumber"),
         SALINIDADE="l_extendedprice", BARIO=F.col("l_quantity") - 2,
         ESTRONCIO=80 + F.col("l_discount"),
     )
-    answers, _ = S.score_requests(requests, GIVEN)
-    return shown(answers, doc="doc", predicao="PREDICAO_NORM", sem="PROB_SEM_NORM",
-                 com="PROB_COM_NORM")
+    answers, rejected = S.score_requests(requests, GIVEN)
+    both = answers.unionByName(rejected, allowMissingColumns=True)
+    return shown(both, doc="doc", predicao="PREDICAO_NORM", sem="PROB_SEM_NORM",
+                 com="PROB_COM_NORM", motivo="MOTIVO_REJEICAO")
 
 
-@query("s10_saved_model")
+@query("s10_saved_model", FINAL_SCORED)
 def _(spark, d):
     data = materialise(model_data(spark, d))
     path = f"{shared_folder(spark)}/modelo_norm"
@@ -344,18 +362,20 @@ def _(spark, d):
 
 SCORED_ANALYSIS_SQL = P.WITH_WINDOW[:-1] + f""", scored AS (
   SELECT a.*, {PROB_SQL} AS prob FROM analysis a LEFT JOIN
-    (SELECT plat, sal, ba, sr FROM model WHERE sr > 91) m ON a.plat = m.plat
+    (SELECT plat, sal, ba, sr FROM model) m ON a.plat = m.plat
 )"""
 
 
 def scored_analysis(spark: SparkSession, d: str) -> DataFrame:
-    """Analysis table with a probability for the platforms above a strontium limit."""
+    """Analysis table with a probability for the platforms that have all chemistry."""
     table = analysis(spark, d)
     probability = S.LogisticModel(
         ("MEDIANA_SALINIDADE_PLAT", "MEDIANA_BARIO_PLAT", "MEDIANA_ESTRONCIO_PLAT"),
         GIVEN.means, GIVEN.deviations, GIVEN.weights, GIVEN.intercept,
     ).probability()
-    usable = (F.col("MEDIANA_ESTRONCIO_PLAT") > 91) & (F.col("RELACAO_BARIO_ESTRONCIO") > 0)
+    usable = F.least(
+        "MEDIANA_SALINIDADE_PLAT", "MEDIANA_BARIO_PLAT", "MEDIANA_ESTRONCIO_PLAT", "RELACAO_BARIO_ESTRONCIO"
+    ) > 0
     return table.withColumn("PROB_NORM", F.when(usable, probability))
 
 
@@ -530,7 +550,18 @@ def _(spark, d):
                  acuracia=r("ACURACIA"), f1_texto="F1_SCORE_MEDIA_DP", auc_texto="AUC_MEDIA_DP")
 
 
-@query("g9_model_cards")
+def _card_sql(i: int, name: str) -> str:
+    texts = FS.spread(i, "{:.0f}% ± {:.0f}%", 100).replace(
+        "(SELECT format('{:.0f}% ± {:.0f}%', 100 * avg(auc), 100 * stddev_samp(auc))",
+        "(SELECT format('{:.2f} ± {:.2f}', avg(auc), stddev_samp(auc))",
+    )
+    return f"""SELECT '{name}' AS MODELO, {FS.COUNTS}, (vp + fp + vn + fn)::BIGINT AS TOTAL,
+  (vp + vn)::BIGINT AS ACERTOS, {R('sensibilidade', 4)} AS SENSIBILIDADE, {R('especificidade', 4)} AS ESPECIFICIDADE,
+  {R('acuracia', 4)} AS ACURACIA, {R('auc', 4)} AS AUC, {R('limiar', 4)} AS LIMIAR_YOUDEN, {texts} FROM e{i}_all"""
+
+
+@query("g9_model_cards", FS.with_evaluation(FS.MODELS_SQL, 6) + " UNION ALL ".join(
+    _card_sql(i, name) for i, name in enumerate(FS.MODELS_SQL)))
 def _(spark, d):
     _, results = L.compare_models(model_data(spark, d), 6)
     cards = G.confusion_cards(results)

@@ -103,7 +103,7 @@ SELECT plat, {D('mes')} AS mes, poco, campo, {R('qw')} AS qw, {R('qo')} AS qo, {
   {R('ba')} AS ba, {R('sr')} AS sr, {R('sal')} AS sal FROM wells""")
 def _(spark, d):
     tests = P.water(spark, d)
-    wells = Wt.well_months(tests, Wt.hot_wells(tests).wells)
+    wells = Wt.well_months(tests)
     return shown(wells, plat=N.CODE, mes=day(N.MONTH), poco=N.WELL, campo=N.FIELD,
                  qw=r(N.WATER_RATE), qo=r(N.OIL_RATE), bsw=r(N.BSW), ba=r("BÁRIO"),
                  sr=r("ESTRÔNCIO"), sal=r("SALINIDADE"))
@@ -211,12 +211,8 @@ SELECT plat, {D('mes')} AS mes, count(*) AS vezes FROM wells GROUP BY plat, mes
 HAVING count(*) > 1""")
 def _(spark, d):
     wells = P.water(spark, d).select(N.CODE, N.MONTH, N.WELL).distinct()
-    found = wells.groupBy(N.CODE, N.MONTH).agg(F.count(F.lit(1)).alias("vezes"))
-    try:
-        A.require_unique_months(wells.withColumnRenamed(N.CODE, N.PLATFORM))
-    except ValueError:
-        return shown(found.filter("vezes > 1"), plat=N.CODE, mes=day(N.MONTH), vezes="vezes")
-    return shown(found.limit(0), plat=N.CODE, mes=day(N.MONTH), vezes="vezes")
+    found = A.repeated_months(wells.withColumnRenamed(N.CODE, N.PLATFORM))
+    return shown(found, plat=N.PLATFORM, mes=day(N.MONTH), vezes="count")
 
 
 @query("a10_monthly_by_platform", P.WITH_WINDOW + f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -50,13 +51,35 @@ CONTAMINATED = "BORRA OLEOSA COM NORM"
 PLATFORM_IN_PATH = r"(?U)(FPSO[^/]+|P-\d+|P\d+|SS-\d+|CDAN|CAPX|FP\w+)"
 UNKNOWN_PLATFORM = "OUTROS"
 
-# ---- fixed values: Latin letters with marks and their plain forms ----
-MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöøùúûüýÿªº"
-PLAIN = "AAAAAACEEEEIIIINOOOOOOUUUUYaaaaaaceeeeiiiinoooooouuuuyyao"
+# ---- fixed values: letters and signs that do not decompose into a plain letter and marks ----
+SPELLED = {
+    "ß": "ss", "ẞ": "SS", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "Þ": "Th", "þ": "th",
+    "…": "...", "—": "--", "„": ",,", "«": "<<", "»": ">>",
+}
+SINGLE = {
+    **dict(zip("ØøĐđÐðŁłĦħŦŧıªº", "OoDdDdLlHhTtiao")),
+    **dict.fromkeys("‐‑–", "-"), **dict.fromkeys("‘’", "'"), **dict.fromkeys("“”", '"'),
+    "‚": ",", "×": "x", "\u00a0": " ",
+}
+
+
+def _plain_letters() -> dict[str, str]:
+    """Letters of the Latin blocks with marks and their plain forms, by decomposition."""
+    found = dict(SINGLE)
+    for block in (range(0xC0, 0x250), range(0x1E00, 0x1F00)):
+        for letter in map(chr, block):
+            base = unicodedata.normalize("NFD", letter)[0]
+            if base.isascii() and base.isalpha():
+                found[letter] = base
+    return found
 
 
 def fold_accents(c: Column) -> Column:
-    return F.translate(c, MARKED, PLAIN)
+    """Plain letters and signs for Latin letters with marks, ligatures, dashes and quotation marks."""
+    table = _plain_letters()
+    for sign, spelled in SPELLED.items():
+        c = F.replace(c, F.lit(sign), F.lit(spelled))
+    return F.translate(c, "".join(table), "".join(table.values()))
 
 
 def exact_code(c: Column) -> Column:

@@ -1,79 +1,22 @@
-"""Exact percentiles per group that stay exact and spread out when a group is huge.
+"""Exact percentiles per group, by one plan for groups of every size.
 
-Ordinary groups are ranked by windows over the group key: one shuffle serves all
-variables and the aggregates next to them, sorting spills to disk, and everything
-is generated code (``percentile`` would build, serialise and merge one hash map
-per group and variable, which costs far more when groups are small).
-
-A group that holds a large share of all rows must not be sorted by a single task.
-Such hot groups are found on a sample of the keys and computed in another,
-equally exact way:
-
-1. a mergeable sketch brackets each wanted percentile between two values;
-2. rows are counted per distinct value (hashed by group *and* value, so the
-   group spreads over the cluster);
-3. all values below the bracket fold into one counter, all above are not
-   needed, and only the narrow bracket is put in order, in many parts.
-
-The sample decides nothing but the way of computing: a hot group that it misses
-is still answered, and answered exactly, by the ordinary way.
+Equal values of a group are counted first, before and after the shuffle. The distinct values are cut into
+bands that keep their order: a band holds the values that agree in sign and in their logarithm to about
+one thousandth. The counts of a group's bands are summed in order, each band sums its own values on top of that,
+and the values at the wanted ranks are picked. Rows of one group therefore spread over as many tasks as it has
+bands; only a group's band totals meet in one place.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from salmoura.functions.running import BUCKET, running_totals
 from salmoura.names import col
-from salmoura.session import materialise
-
-HOT_ROWS = 2_000_000      # rows from which on a group is computed spread out
-SAMPLED_PER_HOT = 2_000   # sampled rows expected from a group of that size
-BROADCAST_GROUPS = 10_000 # hot lists up to this length are literal rows and broadcast
-ACCURACY = 10_000         # sketch accuracy; the bracket spans 4/ACCURACY of a group
-BRACKET_BUCKETS = 256     # parts into which a bracket is cut for ordering
-
-
-@dataclass(frozen=True)
-class HotGroups:
-    """Keys of hot groups; ``small`` says that the list is literal and may be broadcast."""
-
-    keys: DataFrame
-    small: bool
-
-    def hint(self, df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if self.small else df
-
-
-def sampled_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, float]:
-    """Sample of the key columns and the sampled count from which on a group counts as hot."""
-    rate = min(1.0, SAMPLED_PER_HOT / hot_rows)
-    keyed = df.select(*[col(k) for k in keys])
-    return (keyed if rate == 1.0 else keyed.sample(rate, seed=11)), 0.8 * rate * hot_rows
 
-
-def fixed_groups(found: DataFrame) -> HotGroups | None:
-    """Pin a list of hot keys (and what belongs to them), so that all its uses agree; None if
-    it is empty.
-
-    A list too long to be literal is written to the shared folder and joined by shuffle.
-    """
-    rows = found.limit(BROADCAST_GROUPS + 1).collect()
-    if len(rows) > BROADCAST_GROUPS:
-        return HotGroups(materialise(found), small=False)
-    if not rows:
-        return None
-    return HotGroups(found.sparkSession.createDataFrame(rows, found.schema), small=True)
-
-
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> HotGroups | None:
-    """Keys of the groups with about ``hot_rows`` rows or more."""
-    sample, least = sampled_keys(df.dropna(subset=list(keys)), keys, hot_rows)
-    counts = sample.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
-    return fixed_groups(counts.filter(F.col("_n") >= least).drop("_n"))
+BANDS = 1024  # per factor e of the values
 
 
 def _between(position: Column, a: Column, b: Column) -> Column:
@@ -83,40 +26,17 @@ def _between(position: Column, a: Column, b: Column) -> Column:
     )
 
 
-def _ranked(
-    df: DataFrame,
-    keys: Sequence[str],
-    aggregates: Sequence[Column],
-    percentiles: dict[str, tuple[str, float]],
-) -> DataFrame:
-    # long keys often share their first bytes; a leading hash lets sorting compare numbers
-    by = [F.col("_hash"), *[col(k) for k in keys]]
-    group = Window.partitionBy(*by)
-    variables = {c: i for i, c in enumerate(sorted({c for c, _ in percentiles.values()}))}
-    hashed = df.withColumn("_hash", F.xxhash64(*[col(k) for k in keys]))
-    ranked = hashed.withColumns({
-        f"_n{i}": F.count(col(c)).over(group) for c, i in variables.items()
-    }).withColumns({
-        f"_i{i}": F.row_number().over(group.orderBy(col(c).asc_nulls_last())) - 1
-        for c, i in variables.items()
-    })
-
-    def exact(variable: str, p: float) -> Column:
-        i = variables[variable]
-        value, rank, last = col(variable).cast("double"), F.col(f"_i{i}"), F.col(f"_n{i}") - 1
-        if p == 0.5:  # one middle value, or half of each of two
-            off_centre = F.abs(rank * 2 - last)
-            return F.sum(F.when(off_centre == 0, value).when(off_centre == 1, value * 0.5))
-        position = last * F.lit(float(p))
-        return _between(
-            F.max(position),
-            F.max(F.when(rank == F.floor(position), value)),
-            F.max(F.when(rank == F.ceil(position), value)),
-        )
-
-    return ranked.groupBy(*by).agg(
-        *aggregates, *[exact(c, p).alias(out) for out, (c, p) in percentiles.items()]
-    ).drop("_hash")
+def band(value: Column) -> Column:
+    """Number of the band of a double: never smaller for a larger value."""
+    size = F.floor(F.ln(F.abs(value)) * BANDS).cast("int") + 1_000_000  # logarithms begin at -745
+    edge = F.lit(2_000_000)
+    return (
+        F.when(F.isnan(value), edge + 1)
+        .when(F.abs(value) == float("inf"), F.when(value > 0, edge).otherwise(-edge))
+        .when(value == 0, 0)
+        .when(value > 0, size)
+        .otherwise(-size)
+    )
 
 
 def grouped(
@@ -124,114 +44,49 @@ def grouped(
     keys: Sequence[str],
     aggregates: Sequence[Column],
     percentiles: dict[str, tuple[str, float]],
-    hot: HotGroups | None = None,
-    accuracy: int = ACCURACY,
 ) -> DataFrame:
-    """Aggregate ``df`` by ``keys`` with ordinary aggregates and exact percentiles.
+    """Aggregate ``df`` by ``keys`` (without missing ones) with ordinary aggregates and exact percentiles.
 
     ``percentiles`` maps an output name to (column, fraction); missing values are
-    skipped and the result interpolates linearly. ``hot`` lists the groups to be
-    computed spread out, as given by :func:`hot_groups`.
+    skipped and the result interpolates linearly.
     """
-    if hot is None:
-        return _ranked(df, keys, aggregates, percentiles)
-    listed = hot.hint(hot.keys)
-    ordinary = _ranked(
-        df.join(listed, list(keys), "left_anti"), keys, aggregates, percentiles
-    )
-    large = df.join(listed, list(keys), "left_semi")
-    counted = large.groupBy(*[col(k) for k in keys]).agg(
-        F.count(F.lit(1)).alias("_rows"), *aggregates
+    variables = {c: i for i, c in enumerate(sorted({c for c, _ in percentiles.values()}))}
+    # long keys often share their first bytes; a leading hash lets sorting compare numbers
+    by = ["_hash", *keys]
+    hashed = df.withColumn("_hash", F.xxhash64(*[col(k) for k in keys]))
+    values = hashed.select(*[col(k) for k in by], F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_var"), col(c).cast("double").alias("_value"))
+        for c, i in variables.items()
+    ]))).filter(F.col("_value").isNotNull())
+    # adding zero makes one value of both zeros
+    counted = values.groupBy(*[col(k) for k in by], "_var", (F.col("_value") + 0.0).alias("_value")).agg(
+        F.count(F.lit(1)).alias("_n")
     )
-    spread = counted.drop("_rows").join(
-        _bracketed(large, keys, percentiles, accuracy), list(keys), "left"
+    value, upto = F.col("_value"), F.col("_before") + F.col("_n")
+    ranked = running_totals(
+        counted.withColumn(BUCKET, band(value)), [*by, "_var"], [value], {"_before": "_n"}
     )
-    return ordinary.unionByName(spread)
 
+    def exact(out: str, variable: str, p: float) -> Column:
+        position = (F.col("_before_all") - 1) * F.lit(float(p))
 
-def _bracketed(
-    df: DataFrame, keys: Sequence[str], percentiles: dict[str, tuple[str, float]], accuracy: int
-) -> DataFrame:
-    by = [col(k) for k in keys]
-    variables = sorted({c for c, _ in percentiles.values()})
-    fractions = sorted({p for _, p in percentiles.values()})
-    margin = 2.0 / accuracy
-    marks = sorted({min(1.0, max(0.0, p + d)) for p in fractions for d in (-margin, margin)})
-
-    values = (
-        df.select(
-            *by,
-            F.inline(F.array(*[
-                F.struct(F.lit(v).alias("_var"), col(v).cast("double").alias("_value"))
-                for v in variables
-            ])),
-        )
-        .filter(F.col("_value").isNotNull())
-    )
-    sketch = values.groupBy(*by, "_var").agg(
-        F.count("_value").alias("_n"),
-        F.percentile_approx("_value", [float(m) for m in marks], accuracy).alias("_marks"),
-    )
+        def at(rank: Column) -> Column:
+            here = (F.col("_var") == variables[variable]) & (F.col("_before") <= rank) & (rank < upto)
+            return F.max(F.when(here, value))
 
-    def bracket(out: str, variable: str, p: float) -> Column:
-        low, high = (marks.index(min(1.0, max(0.0, p + d))) for d in (-margin, margin))
-        return F.struct(
-            F.lit(out).alias("_out"),
-            F.lit(variable).alias("_for"),
-            ((F.col("_n") - 1) * F.lit(float(p))).alias("_pos"),
-            F.col("_marks")[low].alias("_low"),
-            F.col("_marks")[high].alias("_high"),
-        )
-
-    # one row per hot group and percentile, so as bounded as the list of hot groups; pinned,
-    # since a sketch may come out differently when it is computed again
-    brackets = fixed_groups(
-        sketch.select(*by, "_var", F.inline(F.array(
-            *[bracket(out, c, p) for out, (c, p) in percentiles.items()]
-        )))
-        .filter(F.col("_for") == F.col("_var"))
-        .drop("_for")
-    )
-    if brackets is None:
-        nothing = {out: F.lit(None).cast("double") for out in percentiles}
-        return df.select(*by).limit(0).withColumns(nothing)
-    distinct = values.groupBy(*by, "_var", "_value").agg(F.count(F.lit(1)).alias("_c"))
-    # place within the bracket: an order-preserving bucket, the counter of skipped values first
-    value, low, high = F.col("_value"), F.col("_low"), F.col("_high")
-    place = F.floor(F.try_divide(value - low, high - low) * BRACKET_BUCKETS).cast("int")
-    steps = (
-        distinct.join(brackets.hint(brackets.keys), [*keys, "_var"])
-        .filter(value <= high)
-        .withColumns({
-            BUCKET: F.when(value >= low, F.coalesce(place, F.lit(0))).otherwise(-1),
-            "_value": F.when(value >= low, value),
-        })
-        .groupBy(*by, "_out", "_pos", BUCKET, "_value")
-        .agg(F.sum("_c").alias("_c"))
-    )
-    reached = running_totals(
-        steps, [*keys, "_out"], [value.asc_nulls_first()], {"_before": "_c"}
-    ).withColumn("_upto", F.col("_before") + F.col("_c"))
-    below, above = F.floor("_pos"), F.ceil("_pos")
-    skipped = F.coalesce(F.sum(F.when(F.col("_value").isNull(), F.col("_c"))), F.lit(0))
-    ends = reached.groupBy(*by, "_out", "_pos").agg(
-        ((skipped <= below) & (F.max("_upto") > above)).alias("_holds"),
-        F.min(F.when(F.col("_upto") > below, F.col("_value"))).alias("_a"),
-        F.min(F.when(F.col("_upto") > above, F.col("_value"))).alias("_b"),
-    )
-    value = F.when(F.col("_holds"), _between(F.col("_pos"), F.col("_a"), F.col("_b"))).otherwise(
-        F.raise_error(F.lit("percentile outside its bracket: use a smaller accuracy"))
-    )
-    return ends.groupBy(*by).agg(
-        *[F.max(F.when(F.col("_out") == out, value)).alias(out) for out in percentiles]
+        own = F.max(F.when(F.col("_var") == variables[variable], position))
+        return _between(own, at(F.floor(position)), at(F.ceil(position))).alias(out)
+
+    picked = ranked.groupBy(*[col(k) for k in by]).agg(
+        *[exact(out, c, p) for out, (c, p) in percentiles.items()]
     )
+    if not aggregates:
+        others = hashed.select(*[col(k) for k in by]).distinct()
+    else:
+        others = hashed.groupBy(*[col(k) for k in by]).agg(*aggregates)
+    return others.join(picked, by, "left").drop("_hash")
 
 
-def whole_table(
-    df: DataFrame, percentiles: dict[str, tuple[str, float]], hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def whole_table(df: DataFrame, percentiles: dict[str, tuple[str, float]]) -> DataFrame:
     """Exact percentiles over all rows, as one row."""
-    keyed = df.withColumn("_all", F.lit(1))
-    return grouped(keyed, ["_all"], [], percentiles, hot_groups(keyed, ["_all"], hot_rows)).drop(
-        "_all"
-    )
+    return grouped(df.withColumn("_all", F.lit(1)), ["_all"], [], percentiles).drop("_all")

@@ -11,20 +11,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from salmoura.names import col
+from salmoura.session import materialise
 
 BUCKET = "_balde"
-MOST_BUCKETS = 1024
+MOST_BUCKETS = 1024  # default limit of a list of splits, which travels in the plan
 
 
-def equal_splits(df: DataFrame, column: str, buckets: int | None = None) -> list[float]:
+def equal_splits(
+    df: DataFrame, column: str, buckets: int | None = None, most: int = MOST_BUCKETS
+) -> list[float]:
     """Ascending split values that cut ``column`` into about equally many rows.
 
-    The list holds at most MOST_BUCKETS values. It is fetched once and then used
+    By default there are as many as shuffle partitions, ``most`` at most. It is fetched once and then used
     as literals, so that every use of the buckets agrees.
     """
     if buckets is None:
         parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-        buckets = min(MOST_BUCKETS, max(8, parallel))
+        buckets = min(most, max(8, parallel))
     marks = [i / buckets for i in range(1, buckets)]
     return sorted(set(df.approxQuantile(column, marks, 0.25 / buckets)))
 
@@ -73,3 +76,16 @@ def running_totals(
         o: F.col(f"_o_{o}") + F.coalesce(F.sum(col(c)).over(inside), F.lit(0))
         for o, c in totals.items()
     }).drop(*[f"_o_{o}" for o in totals])
+
+
+def positions(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Add the 0-based position of each row in ``order`` over the whole table.
+
+    Rows are cut into ranges of the whole order, so equal first columns spread as well. The ranges are written,
+    as what they hold must not change when a task runs again.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = materialise(df.repartitionByRange(parts, *order).withColumns({
+        BUCKET: F.spark_partition_id(), "_one": F.lit(1)
+    }))
+    return running_totals(ranged, [], order, {name: "_one"}).drop(BUCKET, "_one", f"{name}_all")

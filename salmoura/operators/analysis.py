@@ -60,15 +60,14 @@ def cut_to_period(months: DataFrame, summary: DataFrame, mode: str = NEAREST) ->
     return within_period(dated) if mode == WINDOW else nearest_month(dated)
 
 
+def repeated_months(months: DataFrame) -> DataFrame:
+    """Platform-months that occur more than once, with their ``count``."""
+    return months.groupBy(N.col(N.PLATFORM), N.MONTH).count().filter("count > 1")
+
+
 def require_unique_months(months: DataFrame) -> DataFrame:
     """Raise now, with up to five examples, if a platform-month occurs more than once."""
-    repeated = (
-        months.groupBy(N.col(N.PLATFORM), N.MONTH)
-        .count()
-        .filter("count > 1")
-        .limit(5)
-        .collect()
-    )
+    repeated = repeated_months(months).limit(5).collect()
     if repeated:
         examples = [(r[N.PLATFORM], str(r[N.MONTH])) for r in repeated]
         raise ValueError(f"one row per platform and month expected, repeated: {examples}")

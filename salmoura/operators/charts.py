@@ -17,14 +17,15 @@ from salmoura.functions.columns import (
     outcome_label,
     percent_text,
 )
-from salmoura.functions.quantiles import HOT_ROWS, grouped, hot_groups, whole_table
-from salmoura.functions.running import BUCKET, bucket_of, equal_splits, running_totals
+from salmoura.functions.quantiles import grouped, whole_table
+from salmoura.functions.running import BUCKET, bucket_of, equal_splits, positions, running_totals
 from salmoura.operators import metrics as M
 from salmoura.operators.analysis import NEAREST, WINDOW
 from salmoura.operators.cleaning import complete_cases, numeric_columns
 from salmoura.operators.modelling import MODEL_COLUMNS, Evaluation
 from salmoura.operators.scoring import LogisticModel, with_probability_of
 
+# fixed values: the columns shown, in this order
 CHEMISTRY = [
     "MEDIANA_BARIO_PLAT", "MEDIANA_ESTRONCIO_PLAT",
     "MEDIANA_SALINIDADE_PLAT", "RELACAO_BARIO_ESTRONCIO",
@@ -87,7 +88,7 @@ def chemistry_3d(analysis: DataFrame) -> DataFrame:
     return z_scores(sized, AXES_3D)
 
 
-def boxplots(analysis: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def boxplots(analysis: DataFrame) -> DataFrame:
     """Quartiles and whiskers per class and variable: the furthest values within 1.5
     interquartile ranges of the box, or the edge of the box where that is further out (an
     interpolated quartile may lie beyond the last value that is no outlier)."""
@@ -105,7 +106,7 @@ def boxplots(analysis: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     quartiles = {"q1": ("valor", 0.25), "mediana": ("valor", 0.5), "q3": ("valor", 0.75)}
     count = F.count("valor").alias("n")
     # two classes by four variables: the box table has at most eight rows
-    boxes = grouped(long, keys, [count], quartiles, hot_groups(long, keys, hot_rows))
+    boxes = grouped(long, keys, [count], quartiles)
     reach = WHISKER * (F.col("q3") - F.col("q1"))
     value = F.col("valor")
     low = F.min(F.when(value >= F.col("q1") - reach, value))
@@ -158,16 +159,24 @@ def chemical_correlation(analysis: DataFrame) -> DataFrame:
     """Spearman matrix of the chemistry medians, one row per ordered pair."""
     present = {k: c for k, c in CORRELATED.items() if c in analysis.columns}
     names = list(present)
-    table = None
+    # a variable goes with itself by 1, or by nothing if it is constant
+    ends = analysis.agg(*[
+        F.when(F.min(finite(F.col(c))) < F.max(finite(F.col(c))), 1.0).alias(f"c{i}")
+        for i, c in enumerate(present.values())
+    ])
+    table = ends.select(F.inline(F.array(*[
+        F.struct(F.col(f"c{i}").alias("corr"), F.lit(k).alias("VARIAVEL_X"), F.lit(k).alias("VARIAVEL_Y"))
+        for i, k in enumerate(names)
+    ])))
     for i, first in enumerate(names):
-        for second in names[i:]:
+        for second in names[i + 1:]:
             value = spearman(analysis, present[first], present[second])
             sides = {(first, second), (second, first)}
             part = value.select("corr", F.inline(F.array(*[
                 F.struct(F.lit(x).alias("VARIAVEL_X"), F.lit(y).alias("VARIAVEL_Y"))
                 for x, y in sorted(sides)
             ])))
-            table = part if table is None else table.unionByName(part)
+            table = table.unionByName(part)
     return table.select("VARIAVEL_X", "VARIAVEL_Y", F.col("corr").alias("CORRELACAO"))
 
 
@@ -208,15 +217,12 @@ def confusion_card(name: str, pooled: DataFrame, summary: DataFrame) -> DataFram
 def regression_result(
     predictions: DataFrame, key: str = N.PLATFORM, score: str = "PROB_NORM"
 ) -> DataFrame:
-    """Predictions in ascending order of probability with their 0-based position and outcome."""
-    splits = equal_splits(predictions, score)
-    rows = predictions.withColumns({
-        "RESULTADO": outcome_label(F.col(N.TARGET), F.col("CLASSE_PREVISTA")),
-        BUCKET: bucket_of(F.col(score), splits),
-        "_one": F.lit(1),
-    })
-    placed = running_totals(rows, [], [F.col(score), N.col(key)], {"POSICAO": "_one"})
-    return placed.drop(BUCKET, "_one", "POSICAO_all")
+    """Predictions in ascending order of probability, missing ones last, with their 0-based position
+    and outcome."""
+    rows = predictions.withColumn(
+        "RESULTADO", outcome_label(F.col(N.TARGET), F.col("CLASSE_PREVISTA"))
+    )
+    return positions(rows, [F.col(score).asc_nulls_last(), N.col(key).asc_nulls_last()], "POSICAO")
 
 
 def regression_rates(predictions: DataFrame, score: str = "PROB_NORM") -> DataFrame:
@@ -302,9 +308,10 @@ def metric_heatmap(models: DataFrame) -> DataFrame:
 
 def class_groups(analysis: DataFrame) -> DataFrame:
     """Contaminated and oily platforms, tagged with their group."""
-    contaminated = analysis.filter(F.col(N.TARGET) == 1).withColumn("GRUPO", F.lit("NORM"))
-    oily = analysis.filter((F.col("TEM_OLEOSA") == 1) & (F.col(N.TARGET) == 0))
-    return contaminated.unionByName(oily.withColumn("GRUPO", F.lit("OLEOSA")))
+    contaminated = F.col(N.TARGET) == 1
+    oily = (F.col("TEM_OLEOSA") == 1) & (F.col(N.TARGET) == 0)
+    group = F.when(contaminated, "NORM").when(oily, "OLEOSA")
+    return analysis.withColumn("GRUPO", group).filter(F.col("GRUPO").isNotNull())
 
 
 def bsw_reference(analysis: DataFrame) -> DataFrame:

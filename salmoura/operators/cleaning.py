@@ -9,17 +9,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from salmoura import names as N
 from salmoura.functions.columns import complete, finite, to_number
 
-# fixed values: date patterns tried, in this order, on the first value of a text column
-DATE_PATTERNS = [
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "MM/dd/yyyy HH:mm:ss",
-    "dd/MM/yyyy",
-    "dd/MM/yyyy HH:mm:ss",
-]
+# fixed values: date patterns tried, in this order, on the first value of a text column; one letter of day,
+# month, hour, minute or second reads one or two digits
+_DAYS = ["yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy"]
+_TIMES = ["", " H:m:s", " H:m:s.SSSSSSSSS", " H:m", "'T'H:m:s", "'T'H:m:s.SSSSSSSSS", "'T'H:m"]
+DATE_PATTERNS = [day + time for day in _DAYS for time in _TIMES]
 MONTH_PATTERN = "yyyy/M"
 EARLIEST_DATE = "2000-01-01"
 
@@ -31,12 +25,17 @@ def _parsed(c: Column, pattern: str) -> Column:
 
 
 def infer_date_pattern(df: DataFrame, column: str) -> str:
-    """The first known pattern that fits the first non-missing value."""
-    row = df.select(N.col(column).alias("v")).filter("v is not null").limit(1).select(
-        *[_parsed(F.col("v"), p).alias(f"p{i}") for i, p in enumerate(DATE_PATTERNS)]
+    """The first known pattern that fits the first non-missing value; an error if none does."""
+    text = F.trim(N.col(column))
+    row = df.select(text.alias("v")).filter("v is not null").limit(1).select(
+        "v", *[_parsed(F.col("v"), p).alias(f"p{i}") for i, p in enumerate(DATE_PATTERNS)]
     ).first()
-    fits = [p for i, p in enumerate(DATE_PATTERNS) if row is not None and row[i] is not None]
-    return fits[0] if fits else DATE_PATTERNS[2]
+    if row is None:  # nothing to parse
+        return DATE_PATTERNS[0]
+    fits = [p for i, p in enumerate(DATE_PATTERNS) if row[f"p{i}"] is not None]
+    if not fits:
+        raise ValueError(f"no known date pattern fits the first value of {column}: {row['v']}")
+    return fits[0]
 
 
 def parse_dates(
@@ -48,7 +47,7 @@ def parse_dates(
     are dates already pass through.
     """
     if isinstance(df.schema[column].dataType, T.StringType):
-        parsed = _parsed(N.col(column), pattern or infer_date_pattern(df, column))
+        parsed = _parsed(F.trim(N.col(column)), pattern or infer_date_pattern(df, column))
         df = df.withColumn(column, parsed)
     day = N.col(column).cast("date")
     return df.withColumns({

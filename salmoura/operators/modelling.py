@@ -23,7 +23,8 @@ from salmoura.session import materialise
 
 SEED = 42
 FOLDS = 4
-FITS_AT_ONCE = 8
+FITS_AT_ONCE = 8  # model fits running at the same time
+MOST_FOLDS = 100  # as each fold is a fit of its own
 Moments = list[tuple[float, float]]
 
 # fixed values: statistics of the analysis table -> feature names
@@ -56,13 +57,18 @@ def model_table(analysis: DataFrame) -> DataFrame:
 
 
 def class_counts(data: DataFrame) -> dict[int, int]:
-    """Rows per class; an error if there are none or only one class."""
-    counts = {r[N.TARGET]: r["count"] for r in data.groupBy(N.TARGET).count().collect()}
-    if not counts:
+    """Rows per class; an error unless there are rows of the classes 0 and 1 and of no other."""
+    label = F.col(N.TARGET)
+    seen = data.agg(
+        F.count_if(label == 0).alias("zero"), F.count_if(label == 1).alias("one"), F.count(F.lit(1)).alias("n")
+    ).first()
+    if not seen["n"]:
         raise ValueError("no valid rows: chemistry must be numeric and above zero")
-    if len(counts) < 2:
+    if not seen["zero"] or not seen["one"]:
         raise ValueError("both classes (0 and 1) are needed")
-    return counts
+    if seen["zero"] + seen["one"] != seen["n"]:
+        raise ValueError(f"{seen['n'] - seen['zero'] - seen['one']} rows of another class than 0 and 1")
+    return {0: seen["zero"], 1: seen["one"]}
 
 
 def fold_count(counts: dict[int, int], wanted: int) -> int:
@@ -82,7 +88,7 @@ def balanced_weight(counts: dict[int, int]) -> Column:
 def assign_folds(
     data: DataFrame, folds: int, key: str = N.PLATFORM, seed: int = SEED, by: str = N.TARGET
 ) -> DataFrame:
-    """Stratified folds 0..folds-1: rank of a seeded hash of the key within the class, modulo.
+    """Stratified folds 1..folds: rank of a seeded hash of the key within the class, modulo.
 
     Hashes are evenly spread, so their first digits make equal buckets for the ranking.
     """
@@ -92,7 +98,7 @@ def assign_folds(
         "_one": F.lit(1),
     })
     ranked = running_totals(bucketed, [by], [F.col("_hash")], {"_before": "_one"})
-    return ranked.withColumn("FOLD", (F.col("_before") % folds).cast("int")).drop(
+    return ranked.withColumn("FOLD", (F.col("_before") % folds + 1).cast("int")).drop(
         "_hash", BUCKET, "_one", "_before", "_before_all"
     )
 
@@ -113,7 +119,7 @@ def _regression(rows: int) -> LogisticRegression:
     return LogisticRegression(
         featuresCol="_z", labelCol=N.TARGET, weightCol="_weight", family="binomial",
         regParam=1.0 / rows, elasticNetParam=0.0, standardization=False,
-        maxIter=5000, tol=1e-6,
+        maxIter=5000, tol=1e-10,
     )
 
 
@@ -172,19 +178,21 @@ def _numbers(regression, features: Sequence[str], moments: Moments) -> LogisticM
     )
 
 
-def fit_folds(data: DataFrame, features: Sequence[str], folds: int) -> list[LogisticModel]:
-    """One model per fold, each fitted on the other folds, several at a time.
+def fit_folds(
+    data: DataFrame, features: Sequence[str], folds: Sequence[int], at_once: int = FITS_AT_ONCE
+) -> dict[int, LogisticModel]:
+    """One model per fold, fitted on the other folds, ``at_once`` of them at a time.
 
     Moments and class counts of all training sets come from one aggregation.
     """
-    others = [F.col("FOLD") != k for k in range(folds)]
+    others = {k: F.col("FOLD") != k for k in folds}
     wide = [
         F.struct(
             *_log_moments(features, rows),
             F.count(F.when(rows & (F.col(N.TARGET) == 0), 1)).alias("_c0"),
             F.count(F.when(rows & (F.col(N.TARGET) == 1), 1)).alias("_c1"),
         ).alias(f"k{k}")
-        for k, rows in enumerate(others)
+        for k, rows in others.items()
     ]
     seen = data.agg(*wide).first()
 
@@ -193,13 +201,13 @@ def fit_folds(data: DataFrame, features: Sequence[str], folds: int) -> list[Logi
         counts = {0: row["_c0"], 1: row["_c1"]}
         return fit(data.filter(others[k]), features, _moments(row, features), counts).numbers
 
-    with ThreadPoolExecutor(min(folds, FITS_AT_ONCE)) as pool:
-        return list(pool.map(inheritable_thread_target(data.sparkSession)(one), range(folds)))
+    with ThreadPoolExecutor(min(len(folds), at_once)) as pool:
+        return dict(zip(folds, pool.map(inheritable_thread_target(data.sparkSession)(one), folds)))
 
 
-def held_out_probability(models: Sequence[LogisticModel]) -> Column:
+def held_out_probability(models: dict[int, LogisticModel]) -> Column:
     """Score of each row by the model of its fold, in one pass and without a union."""
-    first, *rest = [(F.col("FOLD") == k, m.probability()) for k, m in enumerate(models)]
+    first, *rest = [(F.col("FOLD") == k, m.probability()) for k, m in models.items()]
     return reduce(lambda w, pair: w.when(*pair), rest, F.when(*first))
 
 
@@ -215,13 +223,30 @@ class Evaluation:
     pooled: DataFrame
 
 
-def with_folds(data: DataFrame, n_splits: int = FOLDS, seed: int = SEED) -> tuple[DataFrame, int]:
-    """Rows with their fold, written once to the shared folder; folds given by the caller are kept."""
+def with_folds(
+    data: DataFrame, n_splits: int = FOLDS, seed: int = SEED
+) -> tuple[DataFrame, list[int]]:
+    """Rows with their fold, written once to the shared folder, and the fold numbers.
+
+    Folds given by the caller are kept. They must be whole numbers in a row, each with both
+    classes outside of it.
+    """
     folds = fold_count(class_counts(data), n_splits)
-    if "FOLD" in data.columns:
-        folds = data.agg(F.max("FOLD")).first()[0] + 1
-        return materialise(data), folds
-    return materialise(assign_folds(data, folds, seed=seed)), folds
+    if "FOLD" not in data.columns:
+        return materialise(assign_folds(data, folds, seed=seed)), list(range(1, folds + 1))
+    seen = data.groupBy("FOLD").agg(F.count_if(F.col(N.TARGET) == 1).alias("one"), F.count(F.lit(1)).alias("n"))
+    rows = seen.limit(MOST_FOLDS + 1).collect()  # never more than that reach the driver
+    numbers = [r["FOLD"] for r in rows]
+    if len(rows) > MOST_FOLDS or None in numbers or any(k != int(k) for k in numbers):
+        raise ValueError(f"FOLD must hold at most {MOST_FOLDS} whole numbers")
+    numbers = sorted(map(int, numbers))
+    if len(numbers) < 2 or numbers != list(range(numbers[0], numbers[0] + len(numbers))):
+        raise ValueError(f"FOLD must hold at least two numbers in a row, not {numbers}")
+    ones, total = sum(r["one"] for r in rows), sum(r["n"] for r in rows)
+    for r in rows:
+        if r["one"] == ones or r["n"] - r["one"] == total - ones:
+            raise ValueError(f"without fold {r['FOLD']} only one class is left")
+    return materialise(data), numbers
 
 
 def fold_metrics(predictions: DataFrame, splits: Sequence[float] | None = None) -> DataFrame:
@@ -253,7 +278,7 @@ def evaluate(
     return evaluate_prepared(prepared, features, folds)
 
 
-def evaluate_prepared(data: DataFrame, features: Sequence[str], folds: int) -> Evaluation:
+def evaluate_prepared(data: DataFrame, features: Sequence[str], folds: Sequence[int]) -> Evaluation:
     """Evaluate on rows that have their fold. The metric tables hold one row per fold and one
     row in all, so they are fetched once and kept as literal rows."""
     spark = data.sparkSession
@@ -275,7 +300,7 @@ def evaluate_prepared(data: DataFrame, features: Sequence[str], folds: int) -> E
         ", ".join(f"{c} long" for c in counts) + ", AUC double, LIMIAR_YOUDEN double",
     )
     return Evaluation(
-        list(features), folds, threshold, predictions,
+        list(features), len(folds), threshold, predictions,
         spark.createDataFrame(rows, metrics.schema), M.with_rates(pooled),
     )
 

@@ -7,19 +7,11 @@ wells of its platform.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from salmoura import names as N
 from salmoura.functions.columns import finite
-from salmoura.functions.quantiles import (
-    HOT_ROWS,
-    HotGroups,
-    fixed_groups,
-    grouped,
-    sampled_keys,
-)
+from salmoura.functions.quantiles import grouped
 
 MONTHS_CARRIED = 2
 WELL_MONTH = [N.CODE, N.MONTH, N.WELL]
@@ -34,48 +26,18 @@ def _known_wells(tests: DataFrame) -> DataFrame:
     return tests.dropna(subset=WELL_MONTH)
 
 
-@dataclass(frozen=True)
-class HotWells:
-    """Well-months with very many tests and platform-months with very many wells."""
-
-    wells: HotGroups | None = None
-    months: HotGroups | None = None
-
-
-def hot_wells(tests: DataFrame, hot_rows: int = HOT_ROWS) -> HotWells:
-    """Both kinds of hot groups from one small job over a sample of the key columns.
-
-    Usually there are none; only if there are, a second look lists the wells.
-    """
-    sample, least = sampled_keys(_known_wells(tests), WELL_MONTH, hot_rows)
-    wells = sample.groupBy(*WELL_MONTH).agg(F.count(F.lit(1)).alias("_tests"))
-    months = wells.groupBy(*PLATFORM_MONTH).agg(
-        F.count(F.lit(1)).alias("_wells"), F.max("_tests").alias("_most")
-    )
-    suspects = fixed_groups(months.filter(F.greatest("_wells", "_most") >= least))
-    if suspects is None:
-        return HotWells()
-    crowded = suspects.keys.filter(F.col("_wells") >= least).select(*PLATFORM_MONTH)
-    return HotWells(
-        fixed_groups(wells.filter(F.col("_tests") >= least).select(*WELL_MONTH)),
-        fixed_groups(crowded),
-    )
-
-
-def well_months(tests: DataFrame, hot: HotGroups | None = None) -> DataFrame:
-    """One row per platform, month and well: first field named, medians of rates and chemistry."""
-    first_field = (
-        F.min_by(N.col(N.FIELD), F.when(N.col(N.FIELD).isNotNull(), N.col(N.INGEST_ORDER)))
-        if N.INGEST_ORDER in tests.columns
-        else F.first(N.col(N.FIELD), ignorenulls=True)
-    )
+def well_months(tests: DataFrame) -> DataFrame:
+    """One row per platform, month and well: first field named (by ``_ordem``, which is needed), medians of
+    rates and chemistry."""
+    if N.INGEST_ORDER not in tests.columns:
+        raise ValueError(f"water tests need their order in {N.INGEST_ORDER}")
+    first_field = F.min_by(N.col(N.FIELD), F.when(N.col(N.FIELD).isNotNull(), N.col(N.INGEST_ORDER)))
     measured = [N.WATER_RATE, N.OIL_RATE, N.BSW, *_present(tests)]
     return grouped(
         _known_wells(tests),
         WELL_MONTH,
         [first_field.alias(N.FIELD)],
         {c: (c, 0.5) for c in measured},
-        hot,
     )
 
 
@@ -88,7 +50,7 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     )
 
 
-def platform_totals(wells: DataFrame, hot: HotGroups | None = None) -> DataFrame:
+def platform_totals(wells: DataFrame) -> DataFrame:
     """One row per platform and month that has tests, with monthly volumes.
 
     Field of the first well that names one; rates add up (null if no well has any);
@@ -110,7 +72,6 @@ def platform_totals(wells: DataFrame, hot: HotGroups | None = None) -> DataFrame
             ],
         ],
         {N.BSW: (N.BSW, 0.5)},
-        hot,
     )
     days = F.dayofmonth(F.last_day(N.MONTH))
     return months.select(
@@ -130,8 +91,8 @@ def dense_calendar(months: DataFrame, span: DataFrame | None = None) -> DataFram
     shuffle by platform and no join against a calendar; the span is a scalar subquery.
     """
     span = months if span is None else span
-    start = span.agg(F.min(N.MONTH).alias("m")).scalar()
-    end = span.agg(F.max(N.MONTH).alias("m")).scalar()
+    ends = span.agg(F.struct(F.min(N.MONTH).alias("start"), F.max(N.MONTH).alias("end")).alias("m")).scalar()
+    start, end = ends["start"], ends["end"]
     along = Window.partitionBy(N.CODE).orderBy(N.MONTH)
     following = F.lead(N.MONTH).over(along)
     from_month = F.when(F.row_number().over(along) == 1, start).otherwise(F.col(N.MONTH))
@@ -168,10 +129,9 @@ def chemical_loads(months: DataFrame) -> DataFrame:
     })
 
 
-def platform_months(tests: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def platform_months(tests: DataFrame) -> DataFrame:
     """Dense platform-month table of water tests."""
-    hot = hot_wells(tests, hot_rows)
-    sparse = platform_totals(well_months(tests, hot.wells), hot.months)
+    sparse = platform_totals(well_months(tests))
     # months of the wells are months of the tests: read from the key columns of the source
     dense = dense_calendar(sparse, span=_known_wells(tests))
     return chemical_loads(carry_forward(dense))

@@ -15,6 +15,7 @@ from salmoura.operators.analysis import NEAREST, WINDOW, analysis_table
 from salmoura.operators.temporal import scoring_input, temporal_table
 from salmoura.operators.waste import append_newer
 from salmoura.operators.water import platform_months
+from salmoura.session import scratch
 from salmoura.sources import files, water_files
 
 log = logging.getLogger(__name__)
@@ -23,6 +24,7 @@ PRODUCTION = "sigep_processado"
 WASTE_A = "sigre_processado"
 WASTE_B = "scr_processado"
 WATER = "fenix_processado"
+WATER_TESTS = "fenix_ensaios"
 WASTE = "base_integrada_residuos"
 ANALYSIS = "base_analise"
 TEMPORAL = "dataset_teste_temporal"
@@ -78,7 +80,8 @@ def clean_production(raw: DataFrame, drop_unplaced: bool = False) -> DataFrame:
 
 def clean_waste_a(raw: DataFrame, pattern: str | None = C.MONTH_PATTERN) -> DataFrame:
     """First waste log, with platform codes out of location paths."""
-    df = C.rename_columns(C.drop_empty_columns(raw), {
+    used = [N.MANIFEST, "Dt. Geração", "L. de Atuação da Geradora", "Resíduo", "Qtd. Recebida (kg)"]
+    df = C.rename_columns(C.drop_empty_columns(C.project(raw, used)), {
         "Dt. Geração": N.PERIOD, "Resíduo": N.WASTE_TYPE, "Qtd. Recebida (kg)": N.MASS,
     })
     df = C.numeric_columns(C.parse_dates(df, pattern=pattern), [N.MASS]).withColumns({
@@ -90,7 +93,8 @@ def clean_waste_a(raw: DataFrame, pattern: str | None = C.MONTH_PATTERN) -> Data
 
 def clean_waste_b(raw: DataFrame, pattern: str | None = C.MONTH_PATTERN) -> DataFrame:
     """Second waste log; its platform names are taken as they are."""
-    df = C.parse_dates(C.drop_empty_columns(raw), "Data - Geração", pattern)
+    used = ["Data - Geração", "Resíduo", "Unidade Operacional", "Geração - Kg"]
+    df = C.parse_dates(C.drop_empty_columns(C.project(raw, used)), "Data - Geração", pattern)
     df = C.rename_columns(df, {
         "Data - Geração": N.PERIOD, "Resíduo": N.WASTE_TYPE,
         "Unidade Operacional": N.PLATFORM, "Geração - Kg": N.MASS,
@@ -108,16 +112,16 @@ def clean_water(raw: DataFrame) -> DataFrame:
 
 
 def production_job(spark: SparkSession, raw: str, out: str, file: str = "sigep.csv") -> DataFrame:
-    source = files.read_table(spark, f"{raw}/{file}", ordered=True)
+    source = files.read_table(spark, f"{raw}/{file}", ordered=True, multi_line=True)
     return _staged(clean_production(source), out, PRODUCTION)
 
 
 def waste_a_job(spark: SparkSession, raw: str, out: str, file: str = "sigre.csv") -> DataFrame:
-    return _staged(clean_waste_a(files.read_table(spark, f"{raw}/{file}")), out, WASTE_A)
+    return _staged(clean_waste_a(files.read_table(spark, f"{raw}/{file}", multi_line=True)), out, WASTE_A)
 
 
 def waste_b_job(spark: SparkSession, raw: str, out: str, file: str = "scr.csv") -> DataFrame:
-    return _staged(clean_waste_b(files.read_table(spark, f"{raw}/{file}")), out, WASTE_B)
+    return _staged(clean_waste_b(files.read_table(spark, f"{raw}/{file}", multi_line=True)), out, WASTE_B)
 
 
 def water_job(
@@ -127,7 +131,10 @@ def water_job(
     names: Sequence[str] = tuple(water_files.WATER_FILES),
     suffix: str = ".csv",
 ) -> DataFrame:
-    tests = clean_water(water_files.read_water_tests(spark, raw, names, suffix))
+    # typed rows are written once; the medians pass over them several times
+    tests = files.write_stage(
+        clean_water(water_files.read_water_tests(spark, raw, names, suffix)), out, WATER_TESTS
+    )
     months = C.rename_columns(platform_months(tests), {N.CODE: N.PLATFORM})
     span = [F.min(N.MONTH).alias("first"), F.max(N.MONTH).alias("last")]
     return _staged(months, out, WATER, *span)
@@ -159,42 +166,43 @@ def analysis_job(
     final_model: str = FINAL_MODEL,
 ) -> dict[str, DataFrame]:
     """Everything from raw files to metrics, coefficients and chart tables; all are written."""
-    production_job(spark, raw, out)
-    clean_sources(spark, raw, out)
-    analysis = _staged(
-        analysis_table(
-            files.read_stage(spark, out, WASTE), files.read_stage(spark, out, WATER), mode
-        ),
-        out, ANALYSIS, F.sum(N.TARGET).alias("contaminated"),
-    )
-    data = files.write_stage(modelling.model_table(analysis), out, "base_modelo")
-    comparison, results = modelling.compare_models(data, n_splits)
-    comparison = files.write_stage(comparison, out, "comparacao_modelos")
-    best = results[comparison.orderBy(F.desc("AUC"), "MODELO").first()["MODELO"]]
-    chosen = results[final_model]
-    scored = modelling.with_probability(analysis, chosen.predictions)
-    model = modelling.train_final(data)
-    files.save_model(model.pipeline, f"{out}/modelo_norm")
-
-    tables = {
-        "coeficientes": modelling.coefficients(spark, model.numbers),
-        "metricas_folds": _per_fold(results),
-        "01_bsw_plataforma": charts.bsw_bars(scored, mode),
-        "02_scatter_matrix": charts.scatter_matrix(scored),
-        "03_quimica_3d": charts.chemistry_3d(scored),
-        "04_boxplots_quimicos": charts.boxplots(scored),
-        "05_regioes_similaridade": hull.similar_platforms(scored),
-        "06_matrizes_confusao": charts.confusion_cards(results),
-        "07_resultado_regressao": charts.regression_result(best.predictions),
-        "07_curva_roc": charts.M.roc_points(best.predictions, N.TARGET, "PROB_NORM"),
-        "07_medidas": charts.regression_rates(best.predictions),
-        "08_heatmap_metricas": charts.metric_heatmap(comparison),
-        "09_superficie_probabilidade": charts.probability_surface(
-            data, model.numbers, N.FEATURES
-        ),
-    }
-    written = {name: files.write_stage(df, out, name) for name, df in tables.items()}
-    return {**written, ANALYSIS: analysis, "comparacao_modelos": comparison}
+    with scratch(spark):
+        production_job(spark, raw, out)
+        clean_sources(spark, raw, out)
+        analysis = _staged(
+            analysis_table(
+                files.read_stage(spark, out, WASTE), files.read_stage(spark, out, WATER), mode
+            ),
+            out, ANALYSIS, F.sum(N.TARGET).alias("contaminated"),
+        )
+        data = files.write_stage(modelling.model_table(analysis), out, "base_modelo")
+        comparison, results = modelling.compare_models(data, n_splits)
+        comparison = files.write_stage(comparison, out, "comparacao_modelos")
+        best = results[comparison.orderBy(F.desc("AUC"), "MODELO").first()["MODELO"]]
+        chosen = results[final_model]
+        scored = modelling.with_probability(analysis, chosen.predictions)
+        model = modelling.train_final(data)
+        files.save_model(model.pipeline, f"{out}/modelo_norm")
+
+        tables = {
+            "coeficientes": modelling.coefficients(spark, model.numbers),
+            "metricas_folds": _per_fold(results),
+            "01_bsw_plataforma": charts.bsw_bars(scored, mode),
+            "02_scatter_matrix": charts.scatter_matrix(scored),
+            "03_quimica_3d": charts.chemistry_3d(scored),
+            "04_boxplots_quimicos": charts.boxplots(scored),
+            "05_regioes_similaridade": hull.similar_platforms(scored),
+            "06_matrizes_confusao": charts.confusion_cards(results),
+            "07_resultado_regressao": charts.regression_result(best.predictions),
+            "07_curva_roc": charts.M.roc_points(best.predictions, N.TARGET, "PROB_NORM"),
+            "07_medidas": charts.regression_rates(best.predictions),
+            "08_heatmap_metricas": charts.metric_heatmap(comparison),
+            "09_superficie_probabilidade": charts.probability_surface(
+                data, model.numbers, N.FEATURES
+            ),
+        }
+        written = {name: files.write_stage(df, out, name) for name, df in tables.items()}
+        return {**written, ANALYSIS: analysis, "comparacao_modelos": comparison}
 
 
 def _per_fold(results: dict[str, modelling.Evaluation]) -> DataFrame:
@@ -226,7 +234,7 @@ def training_job(
 def temporal_job(spark: SparkSession, out: str, batch_input: str) -> DataFrame:
     """Temporal validation table and the input of batch scoring, from the stage tables."""
     table = temporal_table(
-        files.read_stage(spark, out, WATER), files.read_stage(spark, out, WASTE)
+        files.read_stage(spark, out, WATER), files.read_stage(spark, out, WASTE), ordered=False
     )
     table = _staged(
         table, out, TEMPORAL, F.sum(F.col("ELEGIVEL_MODELO").cast("long")).alias("eligible")
@@ -242,4 +250,4 @@ def scoring_job(
     rows = C.numeric_columns(files.read_table(spark, batch_input), N.FEATURES)
     scored = scoring.score_batch(rows, files.load_model(model_path))
     files.write_csv(scored, batch_output)
-    return files.read_table(spark, batch_output)
+    return scored

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,18 +29,33 @@ def build_session(app: str = "salmoura", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="salmoura-")
+_scratch: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A fresh sub-folder of the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where no such folder is set (single-machine tests) a local one is made.
+    Every executor must reach it, so there is no substitute where none is named.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
-    return f"{root.rstrip('/')}/salmoura-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
+    path = f"{root.rstrip('/')}/salmoura-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, the shared folders that were asked for inside. For jobs that write all their results."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -15,7 +15,6 @@ MISSING_MARKERS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
-REPLACEMENT = "�"
 
 
 def _suffix(path: str) -> str:
@@ -29,9 +28,10 @@ def _text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
 
 
-def missing_as_null(df: DataFrame) -> DataFrame:
-    """Missing markers of text columns and NaN or infinities of floating columns as null."""
-    text = {c: F.when(~N.col(c).isin(MISSING_MARKERS), N.col(c)) for c in _text_columns(df)}
+def missing_as_null(df: DataFrame, texts: bool = True) -> DataFrame:
+    """Missing markers of text columns (if ``texts``) and NaN or infinities of floating columns as null."""
+    marked = _text_columns(df) if texts else []
+    text = {c: F.when(~N.col(c).isin(MISSING_MARKERS), N.col(c)) for c in marked}
     floating = {
         f.name: finite(N.col(f.name))
         for f in df.schema
@@ -40,31 +40,41 @@ def missing_as_null(df: DataFrame) -> DataFrame:
     return df.withColumns({**text, **floating}) if text or floating else df
 
 
-def has_undecodable_text(df: DataFrame) -> bool:
-    """Some text was no valid UTF-8; stops at the first such row."""
-    checks: list[Column] = [N.col(c).contains(REPLACEMENT) for c in _text_columns(df)]
-    if any(REPLACEMENT in c for c in df.columns):
-        return True
-    bad = F.lit(False)
-    for check in checks:
-        bad = bad | F.coalesce(check, F.lit(False))
-    return not df.filter(bad).isEmpty()
+def _checked_lines(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """(all lines are valid UTF-8, some line opens a quoted cell that it does not close), from the raw lines."""
+    line = F.col("value")
+    # what is left after all cells that are quoted as a whole; another opening quote has no end
+    rest = F.regexp_replace(line, r'(^|,)"(?:[^"]|"")*"(?=,|\r?$)', "$1")
+    seen = spark.read.text(path).agg(
+        F.bool_and(F.is_valid_utf8(line)).alias("valid"), F.bool_or(rest.rlike(r'(^|,)"')).alias("open")
+    ).first()
+    return seen["valid"] is not False, bool(seen["open"])
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False
 ) -> DataFrame:
-    """CSV with a header. Text is read as UTF-8, or as Latin-1 where that fails.
+    """CSV with a header. Text is read as UTF-8, or as Latin-1 where the file is no valid UTF-8.
 
-    Without a schema all columns are text, to be coerced by name later on.
+    Without a schema all columns are text, to be coerced by name later on; with one, its names must be
+    those of the header. ``multi_line`` reads cells with line breaks, one task a file; without it large files are
+    split, and a cell that reaches over its line is an error.
     """
-    def read(encoding: str) -> DataFrame:
-        reader = spark.read.option("header", True).option("encoding", encoding)
-        reader = reader.option("inferSchema", False).option("escape", '"')
-        return (reader.schema(schema) if schema is not None else reader).csv(path)
+    valid, open_cell = _checked_lines(spark, path)
+    if open_cell and not multi_line:
+        raise ValueError(f"cells with line breaks in {path}: read it with multi_line=True")
+    reader = spark.read.option("header", True).option("encoding", "UTF-8" if valid else "ISO-8859-1")
+    reader = reader.option("inferSchema", False).option("escape", '"').option("multiLine", multi_line)
+    reader = reader.option("enforceSchema", False)
+    return (reader.schema(schema) if schema is not None else reader).csv(path)
 
-    df = read("UTF-8")
-    return read("ISO-8859-1") if has_undecodable_text(df) else df
+
+def ingest_order() -> Column:
+    """Place of a row in its source: file, block of the file, row of the block."""
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
 
 
 def read_table(
@@ -72,19 +82,22 @@ def read_table(
     path: str,
     schema: T.StructType | str | None = None,
     ordered: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Read a table by the suffix of its path.
 
     A missing path raises Spark's AnalysisException, another suffix ValueError.
-    ``ordered`` adds the position of each row as an increasing ``_ordem``.
+    ``ordered`` adds the place of each row, in the order of files and lines, as ``_ordem``.
+    Texts that stand for missing values do so in CSV only.
     """
-    if _suffix(path) == ".csv":
-        df = read_csv(spark, path, schema)
+    is_csv = _suffix(path) == ".csv"
+    if is_csv:
+        df = read_csv(spark, path, schema, multi_line)
     else:
         df = (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
     if ordered:
-        df = df.withColumn(N.INGEST_ORDER, F.monotonically_increasing_id())
-    return missing_as_null(df)
+        df = df.withColumn(N.INGEST_ORDER, ingest_order())
+    return missing_as_null(df, texts=is_csv)
 
 
 def write_csv(df: DataFrame, path: str) -> str:

@@ -20,7 +20,7 @@ WATER_FILES = [
     "MRL-2", "RO-1", "RO-2", "RO-3", "SPH", "TUP", "URG", "VD-AB-1",
 ]
 
-# fixed values: header -> column
+# fixed values: header -> column (and, below, the brackets around a parameter)
 FIXED_HEADERS = {
     "Nome do Campo": N.FIELD,
     "Nome do Poço": N.WELL,
@@ -70,14 +70,17 @@ def used_columns(headers: Sequence[str]) -> dict[str, int]:
 def read_below_preamble(
     spark: SparkSession, path: str, skip: int = PREAMBLE_LINES
 ) -> tuple[list[str], DataFrame]:
-    """(headers, rows) of one CSV file whose header follows ``skip`` other lines.
+    """(headers, rows) of one CSV file (no folder) whose header follows ``skip`` other lines.
 
     Rows have text columns ``c0, c1, ...`` and their position ``_ordem``. Lines are
     numbered where they are read: the first split of a single file comes first, so the
     first lines have the smallest numbers.
     """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        raise ValueError(f"a single file is needed, not a folder: {path}")
     lines = spark.read.text(path).withColumn(N.INGEST_ORDER, F.monotonically_increasing_id())
-    top = lines.filter(F.col(N.INGEST_ORDER) <= skip).orderBy(N.INGEST_ORDER).collect()
+    top = lines.limit(skip + 1).collect()  # stops after the first lines
     if len(top) <= skip:
         raise ValueError(f"no header line in {path}")
     headers = next(csv.reader([top[skip]["value"].rstrip("\r")]))
@@ -108,7 +111,7 @@ def read_water_file(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"unsupported format: {path}")
     found = used_columns(headers)
     used = [source[found[c]].alias(c) for c in TARGETS if c in found]
-    return missing_as_null(df.select(*used, N.INGEST_ORDER))
+    return missing_as_null(df.select(*used, N.INGEST_ORDER), texts=path.endswith(".csv"))
 
 
 def read_water_tests(

@@ -92,14 +92,13 @@ def test_chemistry_3d(analysis):
     assert np.std([r.BSW_Z for r in rows.values()]) == pytest.approx(1)
 
 
-@pytest.mark.parametrize("hot_rows", [2_000_000, 400])
-def test_boxplots(spark, hot_rows):
+def test_boxplots(spark):
     rng = np.random.default_rng(4)
     values = np.round(np.exp(rng.normal(0, 1, 1200)), 3)
     df = spark.createDataFrame(
         [row(str(i), int(i % 3 == 0), float(v), 1.0) for i, v in enumerate(values)], ANALYSIS
     )
-    boxes = {(r.GRUPO, r.VARIAVEL): r for r in G.boxplots(df, hot_rows).collect()}
+    boxes = {(r.GRUPO, r.VARIAVEL): r for r in G.boxplots(df).collect()}
     assert len(boxes) == 8
     v = values[np.arange(1200) % 3 != 0]
     q1, q3 = np.quantile(v, [0.25, 0.75])

@@ -102,7 +102,8 @@ def test_platform_months(tests):
     assert rows["B", 3].SALINIDADE == 1.0 and rows["B", 1].SALINIDADE is None
 
 
-def test_hot_wells_give_the_same_months(spark):
+def test_crowded_wells_and_platforms(spark):
+    """One well-month and one platform-month with a large share of all rows."""
     n = 6_000
     many = spark.range(n).select(
         F.col("id").alias(N.INGEST_ORDER),
@@ -112,17 +113,17 @@ def test_hot_wells_give_the_same_months(spark):
         F.concat(F.lit("F"), F.col("id") % 7).alias("CAMPO"),
         *[F.round(F.rand(i) * 100, 2).alias(c) for i, c in enumerate(
             ["QW_M3D", "QO_M3D", "BSW", "BÁRIO", "ESTRÔNCIO", "SALINIDADE"])],
-    )
-    hot = Wt.hot_wells(many, 800)
-    assert hot.wells.keys.count() >= 1 and hot.months.keys.count() == 1
-    wells = Wt.well_months(many, hot.wells)
-    plain = Wt.well_months(many)
-    assert sorted(map(tuple, wells.collect())) == sorted(map(tuple, plain.collect()))
-    spread, straight = Wt.platform_months(many, 800), Wt.platform_months(many)
-    assert [r.SIGLA for r in hot.months.keys.collect()] == ["A"]
-    for c in ("BSW", "QW_M3D", "BARIO"):
-        got, want = ({r.SIGLA: r[c] for r in df.collect()} for df in (spread, straight))
-        assert got == pytest.approx(want)
+    ).toPandas()
+    wells = Wt.well_months(spark.createDataFrame(many)).toPandas().set_index(["SIGLA", "POCO"])
+    want = many.groupby(["SIGLA", "POCO"])
+    assert len(wells) == len(want)
+    for c in ("QW_M3D", "BSW", "BÁRIO"):
+        assert wells[c].to_dict() == pytest.approx(want[c].median().to_dict())
+    assert wells["CAMPO"].to_dict() == want["CAMPO"].first().to_dict()
+    months = Wt.platform_months(spark.createDataFrame(many)).toPandas().set_index("SIGLA")
+    assert months["BSW"].to_dict() == pytest.approx(want["BSW"].median().groupby("SIGLA").median().to_dict())
+    with pytest.raises(ValueError, match="order"):
+        Wt.well_months(spark.createDataFrame(many.drop(columns=N.INGEST_ORDER)))
 
 
 MONTHS = (

@@ -3,15 +3,15 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from salmoura.functions.quantiles import grouped, hot_groups, whole_table
+from salmoura.functions.quantiles import band, grouped, whole_table
 
 
 def skewed(seed=5):
-    """Group 0 holds a third of the rows; one variable has few values, one has gaps."""
+    """Group 0 holds a third of the rows; one variable has few values, one has gaps and both signs."""
     rng = np.random.default_rng(seed)
     n = 9_000
     k = np.where(np.arange(n) % 3 == 0, 0, rng.integers(1, 400, n))
-    x = np.exp(rng.normal(0, 3, n))
+    x = np.exp(rng.normal(0, 3, n)) * rng.choice([-1.0, 0.0, 1.0], n, p=[0.2, 0.1, 0.7])
     x[rng.random(n) < 0.3] = np.nan
     return pd.DataFrame({"k": k, "x": x, "y": rng.integers(0, 6, n).astype(float)})
 
@@ -20,59 +20,61 @@ def frame(spark, pdf):
     return spark.createDataFrame(pdf).withColumn("x", F.when(~F.isnan("x"), F.col("x")))
 
 
-WANTED = {"x25": ("x", 0.25), "x50": ("x", 0.5), "x90": ("x", 0.9), "y50": ("y", 0.5)}
+WANTED = {"x25": ("x", 0.25), "x50": ("x", 0.5), "x90": ("x", 0.9), "y50": ("y", 0.5), "x0": ("x", 0.0), "x100": ("x", 1.0)}
 
 
 def expected(pdf):
     g = pdf.groupby("k")
     return pd.DataFrame({
-        "x25": g.x.quantile(0.25), "x50": g.x.median(), "x90": g.x.quantile(0.9),
-        "y50": g.y.median(), "n": g.size(),
+        "x25": g.x.quantile(0.25), "x50": g.x.median(), "x90": g.x.quantile(0.9), "y50": g.y.median(),
+        "x0": g.x.min(), "x100": g.x.max(), "n": g.size(),
     })
 
 
-@pytest.mark.parametrize("hot_rows", [None, 1_000])
-def test_matches_brute_force(spark, hot_rows):
+def test_matches_brute_force(spark):
     pdf = skewed()
-    df = frame(spark, pdf)
-    hot = hot_groups(df, ["k"], hot_rows) if hot_rows else None
-    if hot_rows:
-        assert [r.k for r in hot.keys.collect()] == [0]
-    got = grouped(
-        df, ["k"], [F.count(F.lit(1)).alias("n")], WANTED, hot, accuracy=100
-    ).toPandas().set_index("k").sort_index()
-    want = expected(pdf)
+    got = grouped(frame(spark, pdf), ["k"], [F.count(F.lit(1)).alias("n")], WANTED)
+    got, want = got.toPandas().set_index("k").sort_index(), expected(pdf)
     assert len(got) == len(want)
     for c in want:
         np.testing.assert_allclose(got[c], want[c], rtol=1e-12, equal_nan=True)
 
 
-def test_no_hot_groups_in_even_data(spark):
-    assert hot_groups(spark.range(1000).withColumn("k", F.col("id") % 10), ["k"], 500) is None
+def test_bands_keep_the_order_of_values(spark):
+    values = sorted({
+        *np.nextafter(2.0 ** np.arange(-1074, 1024, 37.0), np.inf), *2.0 ** np.arange(-1074, 1024, 37.0),
+        *np.linspace(-3, 3, 501), 5e-324, 1.7976931348623157e308, float("inf"), float("-inf"), -5e-324,
+    })
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", band(F.col("v")).alias("b"))
+    bands = [r.b for r in sorted(df.collect())]
+    assert bands == sorted(bands) and len(set(bands)) > 500
+    nan = spark.createDataFrame([(float("nan"),)], "v double").select(band(F.col("v"))).first()[0]
+    assert nan > bands[-1]
+
 
+def test_a_large_group_spreads_over_the_tasks(spark):
+    """One group of most rows beside many small ones: same plan, and no task ranks the whole group."""
+    def table(large):
+        return spark.range(60_000).select(
+            F.when(F.col("id") < large, 0).otherwise(F.col("id")).alias("k"), (F.exp(F.rand(1) * 9)).alias("x")
+        )
 
-def test_hot_group_of_equal_values(spark):
-    df = spark.range(4_000).select(F.lit(1).alias("k"), F.lit(7.5).alias("x"))
-    hot = hot_groups(df, ["k"], 1_000)
-    row = grouped(df, ["k"], [], {"m": ("x", 0.5)}, hot, accuracy=100).first()
-    assert row.m == 7.5
+    plans = []
+    for large in (2, 55_000):
+        out = grouped(table(large), ["k"], [], {"m": ("x", 0.5)})
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString().count("Window"))
+    assert plans[0] == plans[1]
+    values = table(55_000).filter("k = 0").select(band(F.col("x")).alias("b")).groupBy("b").count()
+    assert values.agg(F.max("count")).first()[0] < 55_000 / 100
 
 
-def test_group_without_values_is_null(spark):
-    df = spark.createDataFrame([(1, None), (2, 3.0)], "k int, x double")
-    got = {r.k: r.m for r in grouped(df, ["k"], [], {"m": ("x", 0.5)}).collect()}
-    assert got == {1: None, 2: 3.0}
+def test_group_of_equal_values_and_group_without_values(spark):
+    df = spark.range(4_000).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 2 == 0, 7.5).alias("x"))
+    got = {r.k: (r.n, r.m) for r in grouped(df, ["k"], [F.count("k").alias("n")], {"m": ("x", 0.5)}).collect()}
+    assert got == {0: (2_000, 7.5), 1: (2_000, None)}
 
 
-@pytest.mark.parametrize("hot_rows", [10_000, 1_000])
-def test_whole_table(spark, hot_rows):
+def test_whole_table(spark):
     pdf = skewed()
-    row = whole_table(frame(spark, pdf), {"m": ("x", 0.5)}, hot_rows).first()
+    row = whole_table(frame(spark, pdf), {"m": ("x", 0.5)}).first()
     assert row.m == pytest.approx(pdf.x.median(), rel=1e-12)
-
-
-def test_hot_group_without_values(spark):
-    df = spark.range(2_000).select(F.lit(1).alias("k"), F.lit(None).cast("double").alias("x"))
-    rows = grouped(df, ["k"], [F.count("k").alias("n")], {"m": ("x", 0.5)},
-                   hot_groups(df, ["k"], 1_000), accuracy=100).collect()
-    assert [tuple(r) for r in rows] == [(1, 2_000, None)]
