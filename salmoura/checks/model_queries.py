@@ -482,7 +482,24 @@ def _(spark, d):
     return shown(rows, plat=N.PLATFORM, tem_norm=N.TARGET, bsw=r("MEDIA_BSW_PLAT"), x=r(x), y=r(y))
 
 
-@query("g5_convex_hull")
+def hull_sides_sql(points: str) -> str:
+    """``sides`` of the hull of a table of x and y: pairs with all other points on the left."""
+    return f"""outer_points AS MATERIALIZED (
+  SELECT x, min(y) AS y FROM {points} GROUP BY x UNION SELECT x, max(y) FROM {points} GROUP BY x
+), sides AS MATERIALIZED (
+  SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM outer_points a, outer_points b
+  WHERE (a.x <> b.x OR a.y <> b.y) AND NOT EXISTS (SELECT 1 FROM outer_points c
+    WHERE (c.x <> a.x OR c.y <> a.y) AND (c.x <> b.x OR c.y <> b.y)
+      AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) <= 0))"""
+
+
+@query("g5_convex_hull", f"""
+WITH points AS (SELECT log10(l_quantity) AS x, log10(l_extendedprice) AS y FROM lineitem),
+{hull_sides_sql('points')}, turned AS (
+  SELECT *, atan2(ay - avg(ay) OVER (), ax - avg(ax) OVER ()) AS angle FROM sides
+), first AS (SELECT angle AS zero FROM turned ORDER BY ax, ay LIMIT 1)
+SELECT row_number() OVER (ORDER BY (angle - zero + 4 * pi()) % (2 * pi())) - 1 AS pos,
+  {R('ax')} AS x, {R('ay')} AS y FROM turned, first""")
 def _(spark, d):
     points = H.log_points(P.table(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
     return shown(H.convex_hull(points), pos="pos", x=r("x"), y=r("y"))
@@ -502,23 +519,45 @@ SELECT l_orderkey, l_linenumber, l_partkey,
   {' AND '.join(_cross(a, b) for a, b in zip(SQUARE, SQUARE[1:] + SQUARE[:1]))} AS dentro
 FROM (SELECT *, log10(l_quantity) AS x, log10(l_extendedprice) AS y FROM lineitem)""")
 def _(spark, d):
-    corners = F.array(*[
-        F.struct(F.lit(i).alias("pos"), F.lit(x).alias("x"), F.lit(y).alias("y"))
-        for i, (x, y) in enumerate(SQUARE)
-    ])
-    inside = H.inside_polygon(F.log10("l_quantity"), F.log10("l_extendedprice"), corners)
-    return shown(P.table(spark, d, "lineitem"), l_orderkey="l_orderkey",
-                 l_linenumber="l_linenumber", l_partkey="l_partkey", dentro=inside)
+    corners = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(SQUARE)], "pos long, x double, y double")
+    marked = H.mark_inside(
+        P.table(spark, d, "lineitem"), F.log10("l_quantity"), F.log10("l_extendedprice"), corners, "dentro"
+    )
+    return marked.select("l_orderkey", "l_linenumber", "l_partkey", "dentro")
+
+
+PAIRS_SQL = {
+    "BARIO_ESTRONCIO": ("mediana_bario", "mediana_estroncio"),
+    "SALINIDADE_BARIO": ("mediana_salinidade", "mediana_bario"),
+    "SALINIDADE_ESTRONCIO": ("mediana_salinidade", "mediana_estroncio"),
+    "SALINIDADE_RELACAO_BA_SR": ("mediana_salinidade", "ba_sr"),
+}
+
+
+def similar_sql(x: str, y: str) -> str:
+    """A query of the clean platforms with both values above zero, and whether the hull holds them."""
+    return f"""(WITH both_known AS (
+  SELECT plat, tem_norm, media_bsw, {x} AS vx, {y} AS vy, log10({x}) AS x, log10({y}) AS y
+  FROM analysis WHERE {x} > 0 AND {y} > 0
+), points AS (SELECT x, y FROM both_known WHERE tem_norm = 1), {hull_sides_sql('points')}
+SELECT plat, media_bsw, vx, vy, (SELECT count(*) FROM sides) > 2 AND NOT EXISTS (
+  SELECT 1 FROM sides WHERE (bx - ax) * (c.y - ay) - (b_y - ay) * (c.x - ax)
+    < -1e-9 * sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay))) AS semelhante
+FROM both_known c WHERE tem_norm = 0)"""
 
 
-@query("g7_similar_clean")
+@query("g7_similar_clean", P.WITH_WINDOW + f"""
+SELECT plat, {R('vx')} AS x, {R('vy')} AS y, semelhante
+FROM {similar_sql(*PAIRS_SQL['BARIO_ESTRONCIO'])}""")
 def _(spark, d):
     x, y = H.SIMILARITY_PAIRS["BARIO_ESTRONCIO"]
     marked = H.mark_similar(materialise(analysis(spark, d)), x, y)
     return shown(marked, plat=N.PLATFORM, x=r(x), y=r(y), semelhante="PERFIL_SEMELHANTE")
 
 
-@query("g8_similarity_regions")
+@query("g8_similarity_regions", P.WITH_WINDOW + " UNION ALL ".join(f"""
+SELECT '{name}' AS par, plat, {R('media_bsw')} AS bsw, {R('vx')} AS x, {R('vy')} AS y
+FROM {similar_sql(*pair)} WHERE semelhante""" for name, pair in PAIRS_SQL.items()))
 def _(spark, d):
     found = H.similar_platforms(materialise(analysis(spark, d)))
     return shown(found, par="PAR", plat=N.PLATFORM, bsw=r("MEDIA_BSW_PLAT"), x=r("X"), y=r("Y"))

@@ -3,7 +3,7 @@
 Doubles are rounded and dates written as text on both sides. Before rounding, both
 sides add the same small shift: means and medians of decimals often end exactly halfway
 between two rounded values, where the last bit of a sum would decide.
-A query without SQL cannot be said in SQL (fitted models, hulls).
+Every query of this package has its SQL, the fitted models (Newton steps) and hulls included.
 """
 
 from __future__ import annotations

@@ -43,8 +43,9 @@ def missing_as_null(df: DataFrame, texts: bool = True) -> DataFrame:
 def _checked_lines(spark: SparkSession, path: str) -> tuple[bool, bool]:
     """(all lines are valid UTF-8, some line opens a quoted cell that it does not close), from the raw lines."""
     line = F.col("value")
-    # what is left after all cells that are quoted as a whole; another opening quote has no end
-    rest = F.regexp_replace(line, r'(^|,)"(?:[^"]|"")*"(?=,|\r?$)', "$1")
+    # what is left without doubled quotes and without all cells that are quoted as a whole; an opening quote there
+    # has no end
+    rest = F.regexp_replace(F.replace(line, F.lit('""'), F.lit("")), r'(^|,)"[^"]*"(?=,|\r?$)', "$1")
     seen = spark.read.text(path).agg(
         F.bool_and(F.is_valid_utf8(line)).alias("valid"), F.bool_or(rest.rlike(r'(^|,)"')).alias("open")
     ).first()

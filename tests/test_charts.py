@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from salmoura import names as N
 from salmoura.operators import charts as G, hull as H
@@ -33,6 +34,32 @@ def test_hull_of_many_points(spark):
     assert set(found) <= {tuple(p) for p in cloud.tolist()}
 
 
+def test_hull_of_a_circle_stays_spread_out(spark):
+    """100,000 corners: all are found, in order, and no task holds more than a few sides' worth."""
+    n = 100_000
+    df = spark.range(n).repartition(8).select(
+        F.cos(F.col("id") * (2 * np.pi / n)).alias("x"), F.sin(F.col("id") * (2 * np.pi / n)).alias("y")
+    )
+    hull = H.convex_hull(df)
+    rows = np.array([tuple(r) for r in hull.orderBy("pos").select("x", "y").collect()])
+    assert len(rows) >= n - n // 1000      # neighbours are nearly in line: rounding hides a few
+    angle = np.unwrap(np.arctan2(rows[:, 1], rows[:, 0]))
+    assert (np.diff(angle) > 0).all() and angle[-1] - angle[0] < 2 * np.pi
+    assert [r.pos for r in hull.select("pos").orderBy("pos").limit(3).collect()] == [0, 1, 2]
+    tests = spark.createDataFrame([(0.0, 0.0), (0.99, 0.0), (1.01, 0.0), (0.7, 0.72), (-1.0, 0.0), (None, 0.0)], "a double, b double")
+    marked = H.mark_inside(tests, F.col("a"), F.col("b"), hull, "dentro")
+    got = {r.a: r.dentro for r in marked.collect()}
+    assert got == {0.0: True, 0.99: True, 1.01: False, 0.7: False, -1.0: True, None: False}
+
+
+def test_position_of_missing_and_equal_scores(spark):
+    rows = [(f"k{i:03}", 1, None if i % 10 == 0 else 0.5 if i % 2 else i / 100, 1) for i in range(100)]
+    df = spark.createDataFrame(rows, f"`{N.PLATFORM}` string, TEM_NORM int, PROB_NORM double, CLASSE_PREVISTA int")
+    got = {r[N.PLATFORM]: r.POSICAO for r in G.regression_result(df.repartition(7)).collect()}
+    ordered = sorted(rows, key=lambda r: (r[2] is None, r[2] or 0.0, r[0]))
+    assert got == {r[0]: i for i, r in enumerate(ordered)}
+
+
 @pytest.mark.parametrize("rows", [[], [(0, 0), (1, 1)], [(0, 0), (1, 1), (2, 2), (3, 3)], [(1, 1)] * 4])
 def test_no_hull_without_area(spark, rows):
     df = points(spark, rows or [(0, 0)]).limit(len(rows))

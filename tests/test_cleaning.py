@@ -125,3 +125,19 @@ def test_drop_unplaced_rows(spark):
 def test_complete_cases_drop_non_finite(spark, value):
     df = spark.createDataFrame([(1.0,), (value,)], "v double")
     assert C.complete_cases(df, ["v"]).count() == 1
+
+
+@pytest.mark.parametrize("first, day", [
+    ("2020-03-05 10:00:00.500", (2020, 3, 5)), ("2020-03-05 10:00", (2020, 3, 5)), ("5/3/2020", (2020, 5, 3)),
+    ("25/3/2020 8:05", (2020, 3, 25)), (" 2020/3/5 ", (2020, 3, 5)), ("2020-03-05T10:00:00", (2020, 3, 5)),
+])
+def test_dates_are_read_by_the_form_of_the_first(spark, first, day):
+    df = spark.createDataFrame([(first,)], "d string")
+    got = C.parse_dates(df, "d", None).first().d
+    assert (got.year, got.month, got.day) == day
+
+
+def test_an_unknown_first_date_is_an_error(spark):
+    with pytest.raises(ValueError, match="no known date pattern"):
+        C.parse_dates(spark.createDataFrame([("soon",)], "d string"), "d", None)
+    assert C.parse_dates(spark.createDataFrame([(None,)], "d string"), "d", None).first().d is None

@@ -143,3 +143,20 @@ def test_requests(spark, data):
     for r in answers.collect():
         assert r.PROB_SEM_NORM + r.PROB_COM_NORM == pytest.approx(1, abs=2e-4)
         assert r.PREDICAO_NORM == int(r.PROB_COM_NORM > 0.5)
+
+
+def test_classes_must_be_zero_and_one(spark):
+    def counts(*labels):
+        return L.class_counts(spark.createDataFrame([(x,) for x in labels], "TEM_NORM int"))
+
+    assert counts(0, 1, 1) == {0: 1, 1: 2}
+    for wrong in ((0, 1, 2), (0, 1, None), (1, 1), ()):
+        with pytest.raises(ValueError):
+            counts(*wrong)
+
+
+@pytest.mark.parametrize("fold", ["id % 2 * 2", "0", "id", "CASE WHEN id > 3 THEN NULL ELSE 1 END"])
+def test_given_folds_are_checked(spark, fold):
+    df = spark.range(150).selectExpr("cast(id % 2 AS int) AS TEM_NORM", f"{fold} AS FOLD")
+    with pytest.raises(ValueError):
+        L.with_folds(df, 3)

@@ -37,6 +37,43 @@ def test_csv_round_trip_keeps_blanks_quotes_and_nulls(spark, tmp_path):
     assert files.read_table(spark, path).count() == 1
 
 
+def test_cells_with_line_breaks(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text('nome,v\n"x\n""y"", z",1\n"", 5" pipe\n"a"",",2\n', encoding="utf-8")
+    rows = [(r.nome, r.v) for r in files.read_table(spark, str(path), multi_line=True).collect()]
+    assert rows == [('x\n"y", z', "1"), (None, ' 5" pipe'), ('a",', "2")]
+    with pytest.raises(ValueError, match="line breaks"):
+        files.read_table(spark, str(path))
+    plain = tmp_path / "b.csv"
+    plain.write_text('nome,v\n"a, ""b""",1\n"""",2\n5" pipe,3\n', encoding="utf-8")
+    assert [r.nome for r in files.read_table(spark, str(plain)).collect()] == ['a, "b"', '"', '5" pipe']
+
+
+def test_parquet_texts_are_no_markers_and_headers_must_match(spark, tmp_path):
+    path = str(tmp_path / "a.parquet")
+    spark.createDataFrame([("NA", float("nan")), ("None", 1.0), (None, 2.0)], "t string, v double").write.parquet(path)
+    rows = files.read_table(spark, path).collect()
+    assert sorted(((r.t, r.v) for r in rows), key=str) == [("NA", None), ("None", 1.0), (None, 2.0)]
+    csv = tmp_path / "h.csv"
+    csv.write_text("b,a\n1,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_table(spark, str(csv), "a string, b string").collect()
+
+
+def test_ingest_order_over_files_of_unequal_size(spark, tmp_path):
+    for name, n in (("part-0", 1), ("part-1", 3_000)):
+        (tmp_path / "o.csv").mkdir(exist_ok=True)
+        (tmp_path / "o.csv" / f"{name}.csv").write_text("k,v\n" + "".join(f"a,{name}-{i}\n" for i in range(n)))
+    df = files.read_table(spark, str(tmp_path / "o.csv"), ordered=True)
+    assert df.orderBy(N.INGEST_ORDER).first().v == "part-0-0"
+
+
+def test_a_folder_has_no_preamble(spark, tmp_path):
+    (tmp_path / "w.csv").mkdir()
+    with pytest.raises(ValueError, match="single file"):
+        WF.read_below_preamble(spark, str(tmp_path / "w.csv"))
+
+
 @pytest.mark.parametrize("header, column", [
     ("Nome do Campo", N.FIELD), (" Data ", N.DATE), ("Qw (m³/d)", N.WATER_RATE),
     ("Teor de [BÁRIO] (mg/L)", "BÁRIO"), ("x [ ESTRÔNCIO ] y", "ESTRÔNCIO"),
