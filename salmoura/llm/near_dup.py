@@ -25,14 +25,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from salmoura.llm.common import components, forget, fresh, slices, small, written
 from salmoura.llm.shingles import mixed, shingle_sets
 from salmoura.names import col
 
-CENTRE_ROUNDS = 3
-
 
 @dataclass(frozen=True)
 class Signature:
@@ -120,30 +118,80 @@ def _sets(words: int):
                 own = np.sum(mixed(s ^ np.uint64(0x2545F4914F6CDD1D)), dtype=np.uint64, keepdims=True)
                 if i not in done and own.view(np.int64)[0] == h:
                     done.add(i)
-                    out.append((i, s.tobytes()))
+                    out.append((i, s.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())],
+                [pa.array([i for i, _ in out], pa.int64()), pa.array([s for _, s in out], pa.list_(pa.int64()))],
                 names=["id", "shingles"],
             )
 
     return sets
 
 
-def _similar(percent: int):
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            out = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())],
-                names=["a", "b"],
-            )
+def _sets_of(texts: DataFrame, classes: DataFrame, ids: DataFrame, words: int) -> tuple[DataFrame, str]:
+    """The full sets of the texts that name the classes ``ids`` (written): id, shingles."""
+    digests, at = written(ids.join(classes.select("id", "h1"), "id"))
+    found, path = written(
+        texts.join(small(digests), "id").select("id", "h1", "text")
+        .mapInArrow(_sets(words), "id bigint, shingles array<bigint>")
+    )
+    forget(texts.sparkSession, at)
+    return found, path
 
-    return similar
+
+def _confirmed(
+    texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int
+) -> tuple[DataFrame, str]:
+    """The pairs (a, b) whose full sets are similar enough, written."""
+    sets, at = _sets_of(
+        texts, classes, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), words
+    )
+    joined = (
+        pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+        .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        .withColumn("both", F.size(F.array_intersect("x", "y")))
+    )
+    similar = F.col("both") * (100 + percent) >= (F.size("x") + F.size("y")) * percent
+    links, path = written(joined.filter(similar).select("a", "b"))
+    forget(texts.sparkSession, at)
+    return links, path
+
+
+def _linked_by_rarest(
+    texts: DataFrame, classes: DataFrame, undecided: DataFrame, near: Column, words: int, percent: int
+) -> tuple[DataFrame, str]:
+    """Links between the undecided texts of different components, found exactly without comparing all of a key.
+
+    Shingles are put in one order, the rarest first. Two similar sets share a shingle near the beginning of both:
+    what stands behind the first shared one must still hold enough shingles. Texts that differ from one original by
+    edits of their own begin with those, so they meet only if few of them are edited.
+    """
+    sets, sets_at = _sets_of(texts, classes, undecided.select("id"), words)
+    tokens = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    # a shingle of one text alone only counts: it stands before all others
+    ranked = tokens.join(often, "shingle").groupBy("id", "n").agg(
+        F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("order")
+    )
+    alone = F.col("n") - F.size("order")
+    first = ranked.select("id", "n", F.posexplode(F.slice(
+        "order", F.lit(1), F.greatest(F.lit(0), F.floor(F.col("n") * (100 - percent) / 100).cast("int") + 1 - alone)
+    )).alias("at", "token"), alone.alias("alone"))
+    facts = classes.select("id", "bits").join(undecided, "id")
+    first = first.select("id", "n", (F.col("at") + F.col("alone")).alias("at"), F.col("token.shingle").alias("shingle"))
+    one = first.join(facts, "id")
+    two = one.select(
+        "shingle", F.col("id").alias("b"), F.col("n").alias("m"), F.col("at").alias("bt"),
+        F.col("bits").alias("other"), F.col("component").alias("of"),
+    )
+    enough = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt")) * (100 + percent) >= (
+        F.col("n") + F.col("m")) * percent
+    pairs, pairs_at = written(
+        one.join(two, "shingle").filter((F.col("component") < F.col("of")) & enough & near)
+        .select(F.col("id").alias("a"), "b").distinct()
+    )
+    links, path = _confirmed(texts, classes, pairs, words, percent)
+    forget(texts.sparkSession, sets_at, pairs_at)
+    return links, path
 
 
 def near_duplicates(
@@ -164,31 +212,14 @@ def near_duplicates(
         _keys(signature), "id bigint, keys array<bigint>"
     ).select("id", F.explode("keys").alias("key"))
     shared, shared_at = written(
-        keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-        .filter("low <> high").select("key")
+        keyed.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("high"))
+        .filter("centre <> high").select("key", "centre")
     )
-    members, members_at = written(keyed.join(small(shared), "key").select("key", "id"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets are similar enough, written."""
-        pairs, pairs_at = written(pairs)
-        ids, ids_at = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        digests = ids.join(classes.select("id", "h1"), "id")
-        sets, sets_at = written(
-            texts.join(small(digests), "id").select("id", "h1", "text")
-            .mapInArrow(_sets(words), "id bigint, shingles binary")
-        )
-        joined = (
-            pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-            .select("a", "b", "x", "y")
-        )
-        links, links_at = written(joined.mapInArrow(_similar(percent), "a bigint, b bigint"))
-        forget(spark, pairs_at, ids_at, sets_at)
-        return links
+    members, members_at = written(keyed.join(small(shared), "key"))
 
     # two sets can only be similar if their sizes are, and if few of the lowest bits of their symbols differ
     facts = classes.select("id", "n", "bits")
+    other = facts.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("other"))
     near = (F.greatest("n", "m") * percent <= F.least("n", "m") * 100) & (
         F.aggregate(
             F.zip_with("bits", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
@@ -196,61 +227,40 @@ def near_duplicates(
         ) <= signature.distance
     )
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        other = facts.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("other"))
-        return pairs.join(facts.withColumnRenamed("id", "a"), "a").join(other, "b").filter(near)
-
-    links, labels = None, None
-
-    def labelled() -> DataFrame:
-        """Members with the component they are in so far."""
-        if labels is None:
-            return members.withColumn("component", F.col("id"))
-        found = members.join(labels, "id", "left")
-        return found.withColumn("component", F.coalesce("component", "id"))
-
-    def add(found: DataFrame) -> bool:
-        nonlocal links, labels
-        if found.isEmpty():
-            return False
-        links = found if links is None else links.unionByName(found)
-        labels, _ = components(links)
-        return True
-
-    def mixed_keys(part: DataFrame) -> DataFrame:
-        """Keys whose members are in several components, with the first member of the first one."""
-        return (
-            part.groupBy("key")
-            .agg(F.min(F.struct("component", "id")).alias("low"), F.max("component").alias("high"))
-            .filter("low.component <> high")
-            .select("key", F.col("low.id").alias("centre"), F.col("low.component").alias("of"))
-        )
-
-    for _ in range(CENTRE_ROUNDS):
-        part = labelled()
-        centres = (
-            part.join(mixed_keys(part), "key").filter("component <> of")
-            .groupBy(F.col("id").alias("a"), F.col("centre").alias("b"))
-            .agg(F.count(F.lit(1)).alias("keys"))
-        )
-        best = likely(centres).groupBy("a").agg(F.max_by("b", F.struct("keys", "b")).alias("b"))
-        if not add(confirmed(best)):
-            break
-    part = labelled()
-    rest = part.join(mixed_keys(part).select("key"), "key")
-    rest = rest.join(facts, "id")
-    one = rest.select("key", F.col("id").alias("a"), F.col("component").alias("of"), "n", "bits")
-    two = rest.select("key", F.col("id").alias("b"), "component", F.col("n").alias("m"), F.col("bits").alias("other"))
-    pairs = one.join(two, "key").filter(F.col("of") < F.col("component")).filter(near)
-    add(confirmed(pairs.select("a", "b").distinct()))
-
-    classed = classes.select("n", "h1", "h2", "id")
-    if labels is not None:
-        classed = classed.join(labels, "id", "left").withColumn("id", F.coalesce("component", "id"))
+    # each text with the centre that it shares most keys with
+    most = (
+        members.filter("id <> centre").groupBy(F.col("id").alias("a"), F.col("centre").alias("b"))
+        .agg(F.count(F.lit(1)).alias("keys"))
+        .groupBy("a").agg(F.max_by("b", F.struct("keys", "b")).alias("b"))
+    )
+    pairs, pairs_at = written(
+        most.join(facts.withColumnRenamed("id", "a"), "a").join(other, "b").filter(near).select("a", "b")
+    )
+    links, links_at = _confirmed(texts, classes, pairs, words, percent)
+    labels, labels_at = components(links)
+
+    # keys that still hold several components: their members, as far as another component has a likely one
+    part = members.select("key", "id").join(small(labels), "id", "left")
+    part = part.withColumn("component", F.coalesce("component", "id"))
+    mixed_keys = part.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high")
+    ).filter("low <> high").select("key")
+    rest, rest_at = written(part.join(mixed_keys, "key").join(facts, "id"))
+    others = rest.select("key", F.col("component").alias("of"), F.col("n").alias("m"), F.col("bits").alias("other"))
+    undecided, undecided_at = written(
+        rest.join(others, (rest.key == others.key) & (rest.component != others.of) & near, "left_semi")
+        .select("id", "component").distinct()
+    )
+    more, more_at = _linked_by_rarest(texts, classes, undecided, near, words, percent)
+    if not more.isEmpty():
+        labels, new_at = components(links.unionByName(more))
+
+    classed = classes.select("n", "h1", "h2", "id").join(labels, "id", "left")
+    classed = classed.withColumn("id", F.coalesce("component", "id"))
     final = signed.select("id", "n", "h1", "h2").join(
         classed.select("n", "h1", "h2", F.col("id").alias("component_id")), ["n", "h1", "h2"], "left"
     )
-    forget(spark, shared_at, members_at)
+    forget(spark, shared_at, members_at, pairs_at, rest_at, undecided_at, links_at, more_at)
     component = F.coalesce("component_id", "id")
     return final.select(
         F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"),
