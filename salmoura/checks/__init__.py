@@ -7,6 +7,7 @@ def all_entries():
         job_queries,
         model_queries,
         platform_queries,
+        raw_files,
         registry,
     )
 
