@@ -1,6 +1,7 @@
 """Time the headline queries; prints one JSON line.
 
-BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default 8) set scale and cores.
+BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default 8) set scale and cores, BENCH_SHARED_DIR the
+folder for written tables where the session names none.
 Each query runs once to warm up, then once timed.
 """
 
@@ -42,8 +43,9 @@ HEADLINE = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    shared = os.environ.get("BENCH_SHARED_DIR", "/tmp/checkpoints")
     spark = build_session(
-        "bench", f"local[{cpus}]",
+        "bench", f"local[{cpus}]", spark__checkpoint__dir=shared,
         spark__sql__shuffle__partitions=cpus, spark__ui__enabled="false",
         spark__driver__memory="16g", spark__ui__showConsoleProgress="false",
     )

@@ -151,6 +151,6 @@ ROUNDED = ", ".join(f"{R(v, 4)} AS {k}" for k, v in MEASURES.items())
 def spread(i: int, text: str = "{:.3f} ± {:.3f}", factor: int = 1) -> str:
     """Mean and deviation of each measure over the folds, as text."""
     return ", ".join(
-        f"(SELECT format('{text}', {factor} * avg({v}), {factor} * stddev_samp({v})) FROM e{i}_folds) AS {k}_MEDIA_DP"
+        f"(SELECT format('{text}', {factor} * avg({v}) + 1e-9, {factor} * stddev_samp({v}) + 1e-9) FROM e{i}_folds) AS {k}_MEDIA_DP"
         for k, v in MEASURES.items()
     )

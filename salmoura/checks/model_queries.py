@@ -591,8 +591,8 @@ def _(spark, d):
 
 def _card_sql(i: int, name: str) -> str:
     texts = FS.spread(i, "{:.0f}% ± {:.0f}%", 100).replace(
-        "(SELECT format('{:.0f}% ± {:.0f}%', 100 * avg(auc), 100 * stddev_samp(auc))",
-        "(SELECT format('{:.2f} ± {:.2f}', avg(auc), stddev_samp(auc))",
+        "(SELECT format('{:.0f}% ± {:.0f}%', 100 * avg(auc) + 1e-9, 100 * stddev_samp(auc) + 1e-9)",
+        "(SELECT format('{:.2f} ± {:.2f}', avg(auc) + 1e-9, stddev_samp(auc) + 1e-9)",
     )
     return f"""SELECT '{name}' AS MODELO, {FS.COUNTS}, (vp + fp + vn + fn)::BIGINT AS TOTAL,
   (vp + vn)::BIGINT AS ACERTOS, {R('sensibilidade', 4)} AS SENSIBILIDADE, {R('especificidade', 4)} AS ESPECIFICIDADE,

@@ -18,7 +18,7 @@ from salmoura.plans import jobs
 from salmoura.session import shared_folder
 from salmoura.sources import files, water_files
 
-PLATFORM = F.concat(F.lit("P-"), F.col("s_suppkey"))
+PLATFORM = "'P-' || s_suppkey"
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
@@ -35,11 +35,11 @@ def _write_waste(spark: SparkSession, d: str, folder: str) -> None:
     month, lines = F.date_format("l_shipdate", "yyyy/M"), _lines(spark, d)
     files.write_csv(lines.filter("l_shipdate < DATE '2000-01-01'").select(
         F.concat(F.lit("F"), "l_orderkey").alias(N.MANIFEST), month.alias("Dt. Geração"),
-        F.concat(F.lit("UO/BS/"), PLATFORM).alias("L. de Atuação da Geradora"), kind.alias("Resíduo"),
+        F.expr(f"'UO/BS/' || {PLATFORM}").alias("L. de Atuação da Geradora"), kind.alias("Resíduo"),
         F.col("l_quantity").alias("Qtd. Recebida (kg)"), F.lit("linha\num").alias("Observação"),
     ), f"{folder}/sigre.csv")
     files.write_csv(lines.filter("l_shipdate >= DATE '1999-10-01'").select(
-        month.alias("Data - Geração"), kind.alias("Resíduo"), PLATFORM.alias("Unidade Operacional"),
+        month.alias("Data - Geração"), kind.alias("Resíduo"), F.expr(PLATFORM).alias("Unidade Operacional"),
         F.col("l_quantity").alias("Geração - Kg"),
     ), f"{folder}/scr.csv")
 

@@ -1,42 +1,31 @@
-"""Registered queries agree with their SQL on the smallest test tables.
+"""Registered queries agree with their SQL on the smallest test tables."""
 
-A choice of queries by default; all of them with SALMOURA_ALL_QUERIES=1.
-"""
-
-import os
 from pathlib import Path
 
 import pytest
 
 import __spark_entry__ as contract
+from salmoura.checks import all_entries
 from salmoura.checks.compare import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
-CHOICE = """c1_parse_dates c4_keep_first c6_numeric_columns c15_waste_platform_code j1_append_newer
-a2_a3_platform_summary a4_well_month_medians w1_carry_forward j5_w3_nearest_month
-a14_analysis_table_window a14_analysis_table_nearest a17_j7_temporal_table m6_stratified_folds
-m8_youden_threshold m9_roc_points m10_auc m14_fold_summary m17_score_batch a19_spearman_with_ties
-a21_g3_boxplots g6_inside_polygon w4_g10_regression_result""".split()
-
 pytestmark = pytest.mark.skipif(not Path(FOLDER).is_dir(), reason="no test tables here")
 
 
-def names():
-    return list(contract.queries()) if os.environ.get("SALMOURA_ALL_QUERIES") else CHOICE
-
-
 @pytest.fixture(scope="module")
 def connection():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", names())
+@pytest.mark.parametrize("name", list(all_entries()))
 def test_query(spark, connection, name):
-    result = compare(spark, connection, FOLDER, contract.queries()[name], contract.oracle_sql().get(name))
+    entry = all_entries()[name]
+    result = compare(spark, connection, FOLDER, entry.run, entry.sql)
     assert result["ok"], result.get("why")
     assert result["rows"] > 0
 
 
 def test_contract(spark):
     assert set(contract.oracle_sql()) <= set(contract.queries())
+    assert set(all_entries()) <= set(contract.oracle_sql())
     assert contract.entry(spark).count() > 0
