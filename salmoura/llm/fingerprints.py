@@ -106,7 +106,7 @@ def with_next(documents: DataFrame, doc_id: str, text: str, buckets: int | None
     """
     spark = documents.sparkSession
     if buckets is None:
-        buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+        buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     ids = documents.select(
         F.coalesce(col(doc_id).cast("bigint"), F.lit(-(1 << 63))).alias("_id"), col(doc_id).alias("_key"),
         F.coalesce(col(text).cast("string"), F.lit("")).alias("_text"),
@@ -118,17 +118,16 @@ def with_next(documents: DataFrame, doc_id: str, text: str, buckets: int | None
     own = bucket_of(F.col("_id"), [e + 1 for e in ends[:-1]])
     top = F.col("_id").isin(ends)
     above = F.when(F.col("_range") == len(ends) - 1, F.lit(0)).otherwise(F.col("_range") + 1)
-    rows = ids.withColumn("_sketch", sketch(F.col("_text"))).withColumns({"_range": own, "_top": top})
-    rows = rows.select(
-        "_key", "_id", "_text", "_sketch",
-        F.explode(F.when(F.col("_top"), F.array(
-            F.struct(F.col("_range").alias("at"), F.lit(0).alias("guest")),
-            F.struct(above.alias("at"), F.lit(1).alias("guest")),
-        )).otherwise(F.array(F.struct(F.col("_range").alias("at"), F.lit(0).alias("guest"))))).alias("_to"),
+    here = F.struct(F.col("_range").alias("at"), F.lit(0).alias("guest"))
+    there = F.struct(above.alias("at"), F.lit(1).alias("guest"))
+    rows = ids.withColumns({"_range": own, "_top": top}).select(
+        "_key", "_id", "_text", F.inline(F.when(F.col("_top"), F.array(here, there)).otherwise(F.array(here)))
     )
-    order = Window.partitionBy("_to.at").orderBy("_to.guest", F.desc("_id"), F.xxhash64("_text"), "_text")
+    # sketched only where the texts have arrived, so that no hashes are shuffled
+    rows = rows.repartition("at").withColumn("_sketch", sketch(F.col("_text")))
+    order = Window.partitionBy("at").orderBy("guest", F.desc("_id"), F.xxhash64("_text"), "_text")
     following = F.lead(F.struct("_text", "_sketch")).over(order)
-    return rows.withColumn("_next", following).filter("_to.guest = 0").select(
+    return rows.withColumn("_next", following).filter("guest = 0").select(
         F.col("_key").alias(doc_id), F.col("_text").alias("text"), F.col("_sketch").alias("sketch"),
         F.col("_next._text").alias("next_text"), F.col("_next._sketch").alias("next_sketch"),
     )
