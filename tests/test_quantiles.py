@@ -45,7 +45,7 @@ def test_bands_keep_the_order_of_values(spark):
         *np.nextafter(2.0 ** np.arange(-1074, 1024, 37.0), np.inf), *2.0 ** np.arange(-1074, 1024, 37.0),
         *np.linspace(-3, 3, 501), 5e-324, 1.7976931348623157e308, float("inf"), float("-inf"), -5e-324,
     })
-    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", band(F.col("v")).alias("b"))
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", band(F.col("v")).alias("b"))
     bands = [r.b for r in sorted(df.collect())]
     assert bands == sorted(bands) and len(set(bands)) > 500
     nan = spark.createDataFrame([(float("nan"),)], "v double").select(band(F.col("v"))).first()[0]
