@@ -24,7 +24,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from salmoura.llm.common import slices
+from salmoura.llm.common import batched, slices
 from salmoura.names import col
 
 WINDOW = 10
@@ -147,7 +147,7 @@ def contamination(
     )
     for part in parts_of(benchmark, item_id, item_text, part_bytes):
         schema = _arrow_schema(found)
-        found = found.mapInArrow(
+        found = batched(found).mapInArrow(
             _scanner(spark.sparkContext.broadcast(part), window, 1, schema), found.schema
         )
     return found

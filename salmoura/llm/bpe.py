@@ -29,10 +29,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from salmoura.llm.common import slices
+from salmoura.llm.common import batched, slices
 from salmoura.names import col
 
-WORDS_KEPT = 300_000  # a worker remembers this many new words and as many older ones; no effect on results
+WORDS_KEPT = 150_000  # a worker remembers this many new words and as many older ones; no effect on results
 PAIRS_KEPT = 1_000_000
 
 
@@ -276,4 +276,4 @@ def encoded(
             names = [doc_id, *["ids"] * with_ids, "n_tokens", "ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return documents.select(col(doc_id), col(text)).mapInArrow(encode, schema)
+    return batched(documents.select(col(doc_id), col(text))).mapInArrow(encode, schema)

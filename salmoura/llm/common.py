@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from salmoura.names import col
 from salmoura.session import shared_folder
 
-BROADCAST_ROWS = 2_000_000  # a table of ids is broadcast up to this many counted rows
+BROADCAST_ROWS = 500_000  # a table of ids is broadcast up to this many counted rows
+ARROW_ROWS = 1_000          # rows of texts sent to Python at a time
 SLICE = 256                 # rows handled at a time inside a task
+SLICE_BYTES = 1 << 20       # and bytes of text, where arrays many times their size are made of them
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -19,6 +22,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def batched(df: DataFrame, rows: int = ARROW_ROWS) -> DataFrame:
+    """``df``, whose rows will go to Python in batches of at most ``rows``: texts are long, and a batch of Spark's default
+    of 10,000 of them takes memory outside of the heap. A setting of the session's own is kept."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key, "10000") == "10000":
+        conf.set(key, str(rows))
+    return df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or with underscores in front until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
@@ -33,6 +45,20 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield batch.slice(start, rows)
 
 
+def text_slices(batches: Iterable[pa.RecordBatch], column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a bounded number of rows and bytes of text; a longer text is a slice of its own."""
+    for batch in slices(batches):
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        start = total = 0
+        for i, length in enumerate(lengths):
+            if i > start and total + length > size:
+                yield batch.slice(start, i - start)
+                start, total = i, 0
+            total += length
+        if lengths:
+            yield batch.slice(start)
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` written to the shared folder and read again, and its path (for ``forget``)."""
     path = shared_folder(df.sparkSession)

@@ -24,7 +24,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from salmoura.llm.common import slices
+from salmoura.llm.common import batched, slices
 from salmoura.names import col
 
 WINDOW = 3
@@ -183,4 +183,4 @@ def extracted(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", h
 
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (page_id, url)}
     schema = ", ".join(f"`{c}` {kind}" for c, kind in kinds.items()) + ", text string, n_chars bigint"
-    return pages.select(col(page_id), col(url), col(html)).mapInArrow(extract, schema)
+    return batched(pages.select(col(page_id), col(url), col(html))).mapInArrow(extract, schema)

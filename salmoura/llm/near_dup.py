@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from salmoura.llm.common import components, forget, fresh, slices, small, written
+from salmoura.llm.common import batched, components, forget, fresh, slices, small, written
 from salmoura.llm.shingles import mixed, shingle_sets
 from salmoura.names import col
 
@@ -201,7 +201,7 @@ def near_duplicates(
     """Per row of ``documents``: id, n_shingles, component_id (smallest id reachable over links), kept."""
     spark = documents.sparkSession
     texts = documents.select(col(doc_id).cast("bigint").alias("id"), col(text).alias("text"))
-    signed, signed_at = written(texts.mapInArrow(
+    signed, signed_at = written(batched(texts).mapInArrow(
         _signer(words, signature), "id bigint, n bigint, h1 bigint, h2 bigint, symbols binary, bits array<bigint>"
     ))
     classes, classes_at = written(

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from salmoura.llm.common import slices
+from salmoura.llm.common import batched, text_slices
 from salmoura.llm.shingles import word_hashes
 from salmoura.names import col
 
@@ -180,7 +180,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in text_slices(batches, 1):
         features, first = passages(batch.column(1).to_pylist())
         rows = [features[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["label", "rows"])
@@ -200,7 +200,7 @@ def learn(
     chosen = documents.select(col(doc_id).cast("bigint").alias("id"), col(text).alias("text")).join(
         F.broadcast(known), "id"  # at most ``sample`` rows
     )
-    found = chosen.dropDuplicates(["id"]).select("label", "text").mapInArrow(
+    found = batched(chosen.dropDuplicates(["id"]).select("label", "text")).mapInArrow(
         _featured, "label double, rows binary"
     ).collect()
     if not found:
@@ -213,7 +213,7 @@ def learn(
 
 def _scorer(model: Model | None, text_at: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in text_slices(batches, text_at):
             if model is None:
                 scores = np.full(batch.num_rows, 0.5)
             elif batch.num_rows:
@@ -232,7 +232,7 @@ def scored(documents: DataFrame, model: Model | None, text: str = "text") -> Dat
     """``documents`` under the names _0, _1, ... with their score as the last column, ``__score``."""
     plain = documents.select(*[col(c).alias(f"_{i}") for i, c in enumerate(documents.columns)])
     schema = StructType([*plain.schema.fields, StructField("__score", DoubleType())])
-    return plain.mapInArrow(_scorer(model, documents.columns.index(text)), schema)
+    return batched(plain).mapInArrow(_scorer(model, documents.columns.index(text)), schema)
 
 
 def classified(documents: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, **options) -> DataFrame:

@@ -1,8 +1,7 @@
 """Word shingles of texts as 64-bit hashes, computed for many texts at once.
 
 Words are maximal runs of bytes other than blank and the controls 9 to 13, with A-Z lower-cased. A word's
-hash is a polynomial in its bytes, taken from prefix sums over the whole batch; a shingle mixes the hashes of
-its words. A text with fewer words than a shingle needs has one shingle of all its words; a text without
+hash is a polynomial in its bytes, a shingle mixes the hashes of its words. A text with fewer words than a shingle needs has one shingle of all its words; a text without
 words (or null) has none.
 """
 
@@ -13,12 +12,11 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _CODE = np.arange(1, 257, dtype=np.uint64)
 _CODE[0x41:0x5B] += 32
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -28,36 +26,40 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 class _Powers:
-    up = _powers(_BASE, 1 << 16)
-    down = _powers(_INVERSE, 1 << 16)
+    """Powers of the base, as many as the longest word so far has bytes."""
+
+    table = np.ones(1, np.uint64)
 
     @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            cls.up, cls.down = _powers(_BASE, 2 * n), _powers(_INVERSE, 2 * n)
-        return cls.up, cls.down
+    def upto(cls, n: int) -> np.ndarray:
+        if len(cls.table) < n:
+            factors = np.full(2 * n, _BASE, np.uint64)
+            factors[0] = 1
+            cls.table = np.cumprod(factors, dtype=np.uint64)
+        return cls.table
 
 
 def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of ``texts`` in order, and the place of each text's first word (one more at the end)."""
     data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    ends = np.cumsum([0, *(len(t) + 1 for t in texts)])
     blank = _BLANK[data]
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]])))
-    starts, ends = edges[::2], edges[1::2]
-    up, down = _Powers.upto(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_CODE[data] * up[: len(data)], out=sums[1:])
-    hashes = mixed((sums[ends] - sums[starts]) * down[starts])
-    first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
-    return hashes, first
+    begins = ~blank
+    begins[1:] &= blank[:-1]
+    starts = np.flatnonzero(begins)
+    first = np.searchsorted(starts, ends)
+    if not len(starts):
+        return np.empty(0, np.uint64), first
+    place = np.zeros(len(data), np.int64)
+    place[starts] = starts
+    np.maximum.accumulate(place, out=place)
+    np.subtract(np.arange(len(data)), place, out=place)  # of each byte in its word
+    place[blank] = 0
+    terms = _CODE[data]
+    terms *= _Powers.upto(int(place.max()) + 1)[place]
+    terms[blank] = 0
+    return mixed(np.add.reduceat(terms, starts)), first
 
 
 def shingle_sets(texts: Sequence[str | None], words: int) -> Iterator[np.ndarray]:

@@ -29,7 +29,7 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from salmoura.llm.common import forget, slices, small, written
+from salmoura.llm.common import batched, forget, slices, small, written
 from salmoura.names import col
 from salmoura.session import shared_folder
 
@@ -218,7 +218,7 @@ def archive(
     joined = keyed.join(
         small(revisits), F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("same")), "left"
     ).select("id", "url", "html", "digest", "first")
-    manifest, _ = written(joined.mapInArrow(
+    manifest, _ = written(batched(joined).mapInArrow(
         _writer(folder, bundle_bytes), "bundle string, records bigint, frames bigint"
     ))
     forget(pages.sparkSession, facts_at, firsts_at, revisits_at)
