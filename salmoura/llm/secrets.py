@@ -3,14 +3,16 @@
 The patterns are assignments to a secret's name, access keys and long hexadecimal runs; each is matched from the
 left without overlap, matches that are too short are dropped.
 
-The battery takes every run of at least ``RUN`` letters, digits and ``+/_=-``, and infers its encoding (hexadecimal,
-base 32, else base 64). A run is added if it passes for random and cannot be prose:
+The battery takes every run of at least ``RUN`` letters, digits and ``+/_=-``, and infers its alphabet from the kinds
+of letters that occur (digits, hexadecimal, also parted by dashes, upper or lower case alone, base 32 and base 36 of either
+case, base 52, base 62, else base 64). A run is added if it passes for random and cannot be prose:
 
-* random: chi-squared tests of eight equal parts of the alphabet and of its upper case, lower case and other
+* random: chi-squared tests of eight parts of the alphabet and of its upper case, lower case and other
   letters, test of the number of runs above and below its middle, and serial correlation of neighbours, combined by Fisher's rule, give no p-value below ``LEAST_P``;
-* not prose: in prose, neighbours seldom differ in kind (lower, upper, digit, sign). The chance that prose changes
-  kind so often is bounded by Chernoff, and Benjamini-Hochberg keeps the expected share of false finds below
-  ``FALSE_SHARE`` among the runs of each length class of the whole corpus. Longer runs are a class of their own,
+* not prose: the run is so many times likelier as random letters of its alphabet than in a model of prose (kinds that
+  follow each other, letters that follow each other, numbers that count on) that prose reaches the ratio r with a
+  chance of 1/r at most (Markov), whatever the kinds. Benjamini-Hochberg on that bound keeps the expected share of false
+  finds below ``FALSE_SHARE`` among the runs of each length class of the whole corpus. Longer runs are a class of their own,
   so the many short ones do not pass at their expense. p-values are rounded up to tenths of a decade, so that
   a table of at most 64 classes x 401 steps holds all that is needed.
 
@@ -37,14 +39,52 @@ ASSIGNED = 12
 
 RUN = 16
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{RUN},}}"
-CHANGE = 0.05       # chance that neighbours in prose differ in kind
+DASHED = "^(?=.*[a-fA-F])([0-9a-f]+(-[0-9a-f]+)+|[0-9A-F]+(-[0-9A-F]+)+)$"  # as in UUIDs
 FALSE_SHARE = 0.01
 LEAST_P = 0.001
 STEPS = 400
 PARTS = 8
+ALPHABETS = 12      # ways to read a run
 KINDS = ("assign", "access", "hex", "random")
 _BLOCK = 128
 
+# prose: what follows a lower-case letter, capital, digit and sign (by kind, in this order)
+OTHER = 0.2
+SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+KIND_NEXT = ((0.95, 0.01, 0.01, 0.03), (0.2, 0.75, 0.02, 0.03), (0.02, 0.02, 0.91, 0.05), (0.5, 0.2, 0.25, 0.05))
+# and which letter follows which: a row for each letter, -4 ln of the chance as a character from 0 on, counted in 490,000
+# letters of the docstrings of Python's library and smoothed by one in 1,250. LETTERS are the shares of letters in English,
+# French, German and Spanish on average; the share OTHER counts as drawn from them, as other tongues have other pairs
+FOLLOWS = """
+K>;=KE?K=LC8;7M?L8:7@AEG@L
+:E?B7JKI<7L8FG;EL>>D9JLJ;J
+9LAF8LL:=L;;HJ7JI>B7=LLLFL
+:FH<4IIL6IL@ID;GL><D;JIIBL
+<G:9@>AIDLI<>8G?B88;JBD=BK
+:LIG<<KL5LL>KJ5LL:D?:KKLCL
+>LKK5IA<8LL;E;?HL<9B7IKLJE
+8LLL2JLL9LLHFG:LL?HBELLLHL
+?@<?>??MKME:=59BJ>;9K>LDMB
+FKDK1KKKIKKKKH?KKKKK:KKKKK
+<LFB3G?L:LL;L>?>LI:HAD>LHL
+9DG>5;GJ8LJ9LG;CLF=<<IFL<K
+7;LG4HLL<LIE=G99LI@I>LKLEL
+:I:89B8I?LCBHB;DLK:7?BKLBK
+D<=:CEDLCLD>;6A<M7>;;@?EKK
+8JDE7ILC=LG9GI9<L8B9=KLLAL
+GJJJJJJJJJJGGJJJJDJJ0JJJJJ
+9GA?5D<K9LCD><:EL><;@CDL>L
+>L?K5HF>9LEDFD><JH96<KHL@L
+:LDG7HM48MM@GJ=DM;<@<LCK?L
+@@?C:BBL?LL898D=L799JLLLLL
+5IKL3LHK8LLLIK@IJLIJKJKLJJ
+9LLG;IL64LL?K>9LL;@JLLDGLL
+9F6G:BLF8LLEGLI9LDH5JGLLHI
+HIC?<LBJ:LL?><:6IC76LG=LLH
+;GBJ1JJJ9JJGAE<JJEJBJJJJGG
+"""
+LETTERS = ":A><8A@>;FE<>:;@D;:;=BBICF"
+
 
 def _prefix_sums(sizes: Column) -> Column:
     """Sums of all earlier elements, in blocks so that many matches stay cheap."""
@@ -95,26 +135,43 @@ def _erfc(x: Column) -> Column:
     return let(F.lit(1.0) / (F.lit(1.0) + x * 0.3275911), series) * F.exp(-x * x)
 
 
-def random_p(run: Column) -> Column:
-    """Combined p-value of the four tests against a uniformly random string."""
-    lower = "0123456789abcdef"
+def encoding(run: Column) -> Column:
+    """The alphabet that a run is read in, by the kinds of letters that occur: its letters, the run in them, and how
+    many of 64 random letters fall in each part and are upper case, lower case and others."""
+    digits = "0123456789"
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    base64 = upper + upper.lower() + "0123456789+/"
+    lower = upper.lower()
 
     def read_as(letters: str, text: Column) -> Column:
-        # how many of 64 letters are upper case, lower case and others
-        shares = [64 * sum(c in kind for c in letters) / len(letters) for kind in (upper, upper.lower())]
+        size = len(letters)
+        parts = [64 * sum(i * PARTS // size == k for i in range(size)) / size for k in range(PARTS)]
+        shares = [64 * sum(c in kind for c in letters) / size for kind in (upper, lower)]
         return F.struct(
-            F.lit(letters).alias("letters"), text.alias("text"),
+            F.lit(letters).alias("letters"), text.alias("text"), F.array(*map(F.lit, parts)).alias("parts"),
             F.array(*map(F.lit, [*shares, 64.0 - sum(shares)])).alias("shares"),
         )
 
-    encoding = (
-        F.when(run.rlike("^([0-9a-f]+|[0-9A-F]+)$"), read_as(lower, F.lower(run)))
-        .when(run.rlike("^[A-Z2-7]+=*$"), read_as(upper + "234567", F.rtrim(run, F.lit("="))))
-        .otherwise(read_as(base64, F.rtrim(F.translate(run, "-_", "+/"), F.lit("="))))
+    bare = F.rtrim(run, F.lit("="))
+    return (
+        F.when(run.rlike("^[0-9]+$"), read_as(digits, run))
+        .when(run.rlike("^([0-9a-f]+|[0-9A-F]+)$"), read_as(digits + "abcdef", F.lower(run)))
+        .when(run.rlike(DASHED), read_as(digits + "abcdef", F.lower(F.translate(run, "-", ""))))
+        .when(run.rlike("^[A-Z]+=*$"), read_as(upper, bare))
+        .when(run.rlike("^[a-z]+=*$"), read_as(lower, bare))
+        .when(run.rlike("^[A-Z2-7]+=*$"), read_as(upper + "234567", bare))
+        .when(run.rlike("^[a-z2-7]+=*$"), read_as(lower + "234567", bare))
+        .when(run.rlike("^[A-Z0-9]+=*$"), read_as(digits + upper, bare))
+        .when(run.rlike("^[a-z0-9]+=*$"), read_as(digits + lower, bare))
+        .when(run.rlike("^[A-Za-z]+=*$"), read_as(upper + lower, bare))
+        .when(run.rlike("^[A-Za-z0-9]+=*$"), read_as(upper + lower + digits, bare))
+        .otherwise(read_as(upper + lower + digits + "+/", F.rtrim(F.translate(run, "-_", "+/"), F.lit("="))))
     )
 
+
+def random_p(run: Column) -> Column:
+    """Combined p-value of the four tests against a uniformly random string of the run's alphabet.
+
+    An alphabet of one kind of letters leaves three tests, as the kinds say nothing."""
     def battery(e: Column) -> Column:
         size = F.length(e["letters"])
         codes = F.filter(
@@ -125,7 +182,8 @@ def random_p(run: Column) -> Column:
         lower_case = F.regexp_count(e["text"], F.lit("[a-z]"))
         kinds = F.array(upper_case, lower_case, F.length(e["text"]) - upper_case - lower_case)
         return let(F.struct(
-            codes.alias("codes"), size.cast("double").alias("size"), e["shares"].alias("shares"), kinds.alias("kinds")
+            codes.alias("codes"), size.cast("double").alias("size"), e["parts"].alias("parts"),
+            e["shares"].alias("shares"), kinds.alias("kinds")
         ), tests)
 
     def tests(s: Column) -> Column:
@@ -137,7 +195,7 @@ def random_p(run: Column) -> Column:
 
         part = F.transform(codes, lambda c: F.floor((c - 1) * PARTS / size).cast("int"))
         chi = let(part, lambda q: total(F.transform(F.array(*map(F.lit, range(PARTS))), lambda k: let(
-            F.size(F.filter(q, lambda x: x == k)) - n / PARTS, lambda d: d * d / (n / PARTS)))))
+            n * s["parts"][k] / 64, lambda due: let(F.size(F.filter(q, lambda x: x == k)) - due, lambda d: d * d / due)))))
         pairs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes)),
                            lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         middle, spread = (size + 1) / 2, (size * size - 1) / 12
@@ -154,29 +212,63 @@ def random_p(run: Column) -> Column:
             1 + x / 3 + x * x / 15))
         off = total(F.zip_with(s["kinds"], s["shares"], lambda found, share: F.when(
             share > 0, let(found - n * share / 64, lambda d: d * d / (n * share / 64))).otherwise(F.lit(0.0))))
-        three = F.size(F.filter(s["shares"], lambda share: share > 0)) == 3
-        kinds_p = let(off, lambda x: F.when(three, F.exp(-x / 2)).otherwise(_erfc(F.sqrt(x / 2))))
+        of_kinds = F.size(F.filter(s["shares"], lambda share: share > 0))
+        kinds_p = let(off, lambda x: F.when(of_kinds == 3, F.exp(-x / 2)).otherwise(_erfc(F.sqrt(x / 2))))
         rest = let(z, lambda v: F.array(_erfc(v["runs"] / math.sqrt(2)), _erfc(v["serial"] / math.sqrt(2))))
-        half = -total(F.transform(F.concat(F.array(chi_p, kinds_p), rest), lambda p: F.ln(F.greatest(p, F.lit(1e-300)))))
-        fisher = let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2 + h * h * h / 6))
+        half = -total(F.transform(F.concat(
+            F.array(chi_p, F.when(of_kinds == 1, 1.0).otherwise(kinds_p)), rest), lambda p: F.ln(F.greatest(p, F.lit(1e-300)))))
+        fisher = let(half, lambda h: F.exp(-h) * (
+            1 + h + h * h / 2 + F.when(of_kinds == 1, 0.0).otherwise(h * h * h / 6)))
         return F.when(n >= RUN // 2, fisher).otherwise(F.lit(0.0))
 
-    return let(encoding, battery)
+    return let(encoding(run), battery)
+
+
+def prose_costs() -> list[int]:
+    """-1000 ln of the chance that prose goes on from one character to another, for each pair of ``SYMBOLS``."""
+    def chances(coded: str) -> list[float]:
+        found = [math.exp((48 - ord(c)) / 4) for c in coded]
+        return [x / sum(found) for x in found]
+
+    alone = chances(LETTERS)
+    after = [[(1 - OTHER) * x + OTHER * y for x, y in zip(chances(row), alone)] for row in FOLLOWS.split()]
+    spans_of = (range(26), range(26, 52), range(52, 62), range(62, 67))
+
+    def within(a: int, b: int, kind: int) -> float:
+        """Chance of ``b`` after ``a``, given its kind."""
+        if kind < 2:  # a capital and the small letter after it go together
+            together = a < 52 and (kind == (a >= 26) or (a >= 26 and kind == 0))
+            return after[a % 26][b % 26] if together else alone[b % 26]
+        if kind == 2:  # numbers count on and repeat
+            return 0.05 + {1: 0.25, 0: 0.15, 9: 0.1}.get((b - a) % 10, 0.0) if 52 <= a < 62 else 0.1
+        return 0.2
+
+    costs = []
+    for a in range(67):
+        of = next(k for k, r in enumerate(spans_of) if a in r)
+        for kind, r in enumerate(spans_of):
+            costs += [round(-1000 * math.log(KIND_NEXT[of][kind] * within(a, b, kind))) for b in r]
+    return costs
 
 
 def prose_step(run: Column) -> Column:
-    """-10 log10 of the bound on the chance that prose changes its kind as often, rounded down, at most STEPS."""
-    kinds = F.regexp_count(run, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+")) - 1
-
-    def bound(s: Column) -> Column:
-        n = s["n"]
-        share = s["changes"] / n
-        divergence = share * F.ln(share / CHANGE) + F.when(
-            share < 1, (1 - share) * F.ln((1 - share) / (1 - CHANGE))).otherwise(0.0)
-        step = F.floor(n * divergence * (10 / math.log(10))).cast("int")
-        return F.when(share > CHANGE, F.least(step, F.lit(STEPS))).otherwise(F.lit(0))
-
-    return let(F.struct((F.length(run) - 1).cast("double").alias("n"), kinds.cast("double").alias("changes")), bound)
+    """-10 log10 of the bound on the chance that prose looks as random, rounded down, at most STEPS."""
+    table = F.expr(f"array({','.join(map(str, prose_costs()))})")
+    bare = F.rtrim(run, F.lit("="))
+    # a dash that parts hexadecimal digits counts as one more letter
+    letters = F.length(encoding(run)["letters"]) + F.when(run.rlike(DASHED), 1).otherwise(0)
+    codes = F.filter(
+        F.transform(F.split(bare, ""), lambda c: F.when(c != "", F.instr(F.lit(SYMBOLS), c) - 1)), lambda c: c >= 0)
+
+    def step(c: Column) -> Column:
+        prose = F.aggregate(
+            F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c)), lambda a, b: table[a * 67 + b]),
+            F.lit(0).cast("bigint"), lambda total, x: total + x,
+        )
+        ratio = prose / 1000 - (F.size(c) - 1) * F.ln(letters) - math.log(ALPHABETS)
+        return F.greatest(F.lit(0), F.least(F.floor(ratio * (10 / math.log(10))), F.lit(STEPS))).cast("int")
+
+    return let(codes, lambda c: F.when(F.size(c) > 1, step(c)).otherwise(F.lit(0)))
 
 
 def _found(text: Column) -> tuple[Column, Column]:

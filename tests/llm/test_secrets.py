@@ -76,6 +76,42 @@ def test_p_values(spark):
     assert abs(ps[-1] - math.exp(-half) * (1 + half + half**2 / 2 + half**3 / 6)) < 1e-6
 
 
+UP, LOW, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+ALPHABETS = {
+    "digits": DIGITS, "hex": DIGITS + "abcdef", "HEX": DIGITS + "ABCDEF", "lower": LOW, "upper": UP, "base32": UP + "234567",
+    "base32 lower": LOW + "234567", "base36": LOW + DIGITS, "BASE36": UP + DIGITS, "base52": UP + LOW, "base62": UP + LOW + DIGITS,
+}
+
+
+def uuid(rng):
+    return "-".join("".join(rng.choices(ALPHABETS["hex"], k=k)) for k in (8, 4, 4, 4, 12))
+
+
+def test_random_strings_of_every_alphabet_pass_the_battery(spark):
+    rng = random.Random(8)
+    rows = [(f"{name} {size}", "".join(rng.choices(letters, k=size)))
+            for name, letters in ALPHABETS.items() for size in (20, 32, 40) for _ in range(100)]
+    rows += [("uuid", uuid(rng)) for _ in range(100)] + [("UUID", uuid(rng).upper()) for _ in range(100)]
+    passed = spark.createDataFrame(rows, "kind string, run string").groupBy("kind").agg(
+        F.count_if(secrets.random_p(F.col("run")) >= secrets.LEAST_P).alias("n")).collect()
+    assert len(passed) == 3 * len(ALPHABETS) + 2
+    assert {r["kind"]: r["n"] for r in passed if r["n"] < 95} == {}
+
+
+def test_planted_tokens_of_every_alphabet_are_found(spark):
+    rng = random.Random(9)
+    # digits alone and lower hex are spans of a written kind
+    tokens = {name: ["".join(rng.choices(letters, k=40)) for _ in range(50)]
+              for name, letters in ALPHABETS.items() if name not in ("digits", "hex")}
+    tokens["uuid"] = [uuid(rng) for _ in range(50)]
+    rows = [(name, t) for name, ts in tokens.items() for t in ts if not re.search("[0-9a-f]{16}", t)]
+    df = spark.createDataFrame([(name, f"some text {t} goes on") for name, t in rows], "doc_id string, text string")
+    found = [(r["doc_id"], r["spans"]) for r in secrets.scanned(df).collect()]
+    whole = {"random:10:50", "random:10:46"}
+    missed = {name: sum(i == name and spans not in whole for i, spans in found) for name in tokens}
+    assert {name: n for name, n in missed.items() if n > 3} == {}
+
+
 def test_false_finds_are_bounded_by_length_class(spark):
     rows = [(5, 0)] * 1000 + [(5, 35)] * 3 + [(5, 20)] * 2 + [(6, 12)] * 1 + [(7, 400)] * 2
     least = secrets.cuts(spark.createDataFrame(rows, "length_class int, step int"))
