@@ -112,6 +112,14 @@ def test_planted_tokens_of_every_alphabet_are_found(spark):
     assert {name: n for name, n in missed.items() if n > 3} == {}
 
 
+def test_short_tokens_are_found_among_many_long_words(spark):
+    rng = random.Random(10)
+    rows = [(f"word {i}", "internationalization counterrevolutionaries " * 10) for i in range(1000)]
+    rows += [(f"token {i}", "key " + "".join(rng.choices(ALPHABETS["base32"], k=20))) for i in range(30)]
+    found = secrets.scanned(spark.createDataFrame(rows, "doc_id string, text string")).filter("spans <> ''").collect()
+    assert len(found) >= 28 and all(r["doc_id"].startswith("token") and r["spans"] == "random:4:24" for r in found)
+
+
 def test_false_finds_are_bounded_by_length_class(spark):
     rows = [(5, 0)] * 1000 + [(5, 35)] * 3 + [(5, 20)] * 2 + [(6, 12)] * 1 + [(7, 400)] * 2
     least = secrets.cuts(spark.createDataFrame(rows, "length_class int, step int"))
