@@ -2,7 +2,9 @@
 
 Markup is stripped to lines, one for each block of the page, in page order. A line counts the characters of its
 text; lines of menus, headers, footers, sidebars, notices, adverts, forms and comments, and lines of little else than
-links, count 0, and so does what lies outside the article where the page marks one. The counts are summed over a
+links, count 0, and so does what lies outside the article where the page marks one. A class or id tells such a block if
+it holds the name of one, alone or after the last dash; paragraphs, headings and the article are never judged by name, nor
+is a container around the marked articles if without them the page would have no marked text. The counts are summed over a
 sliding window of ``WINDOW`` lines. The text begins where the sums surge from 0 and ends where they dive to 0 again.
 Of several such stretches, those in a marked article are all kept; on pages that mark none, the largest is kept,
 and others of at least ``SHARE`` of its size.
@@ -58,9 +60,11 @@ _NOISE_NAMES = frozenset(
     "pagination skip".split()
 )
 _ARTICLE = frozenset(["article", "main"])
+_TEXTS = frozenset("p h1 h2 h3 h4 h5 h6".split())  # often named after what they tell
 
 
-def _is_noise(tag: str, rest: str, in_article: bool) -> bool:
+def _is_noise(tag: str, rest: str, in_article: bool, named: bool) -> bool:
+    """``named``: whether a class or id may tell."""
     if tag in _NOISE or (tag == "header" and not in_article):
         return True
     if tag in ("html", "body", "main") or not rest.strip("/> \t\r\n"):
@@ -72,19 +76,33 @@ def _is_noise(tag: str, rest: str, in_article: bool) -> bool:
             return True
         if name == "role" and value in _NOISE_ROLES:
             return True
-        if name in ("class", "id") and not (tag == "header" and in_article):
-            if not _NOISE_NAMES.isdisjoint(re.split(r"[\s_-]+", value)):
+        if name in ("class", "id") and named and not (tag == "header" and in_article):
+            if any(n in _NOISE_NAMES or re.split(r"[_-]+", n)[-1] in _NOISE_NAMES for n in value.split()):
                 return True
     return False
 
 
 def lines(html: str) -> list[tuple[str, int, bool]]:
     """Blocks of a page: (text, characters that count, inside a marked article)."""
+    found, wrappers = _lines(html, frozenset())
+    if wrappers and not any(article and count for _, count, article in found):
+        again, _ = _lines(html, wrappers)
+        if any(article and count for _, count, article in again):
+            return again
+    return found
+
+
+def _lines(html: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int, bool]], frozenset[int]]:
+    """The blocks, where the names of the containers ``wrappers`` (by number) say nothing; and the containers that are
+    noise by name alone around the marked articles with the fewest such."""
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
-    linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # open containers: tag, noise here or outside, in an article
-    noise = article = loose = link = False  # loose: a noisy block without an end tag of its own
+    linked = opened = 0
+    # open containers: tag, noise here or outside, in an article, in an article element, noise other than by name, names
+    stack: list[tuple] = []
+    noise = article = inner = hard = loose = link = False  # loose: a noisy block without an end tag of its own
+    names: tuple | None = None  # containers that are noise by name: number, those outside, how many
+    wrapped: list[tuple] = []
 
     def close() -> None:
         nonlocal linked, parts
@@ -118,20 +136,30 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
             close()
             loose = link = False
             if tag not in _CONTAINERS:
-                loose = not m["end"] and _is_noise(tag, m["rest"], article)
+                loose = not m["end"] and _is_noise(tag, m["rest"], article, tag not in _TEXTS)
             elif not m["end"]:
                 if m["rest"].endswith("/>"):
                     continue
-                noisy = noise or _is_noise(tag, m["rest"], article)
+                opened += 1
+                # an article inside another is a comment or a teaser if its name says so
+                by_name = (tag != "article" or inner) and opened not in wrappers
+                noisy = noise or _is_noise(tag, m["rest"], article, by_name)
                 if noisy and not noise:
                     out += [("", 0, False)] * WINDOW
-                stack.append((tag, noise, article))
+                stack.append((tag, noise, article, inner, hard, names))
+                if noisy and not article and not hard:
+                    hard = _is_noise(tag, m["rest"], article, False)
+                    if not hard and tag in _ARTICLE:
+                        wrapped.append(names)
+                    elif not hard and _is_noise(tag, m["rest"], article, by_name):
+                        names = (opened, names, names[2] + 1 if names else 1)
                 noise, article = noisy, article or (tag in _ARTICLE and not noisy)
+                inner = inner or tag == "article"
             else:
                 for depth in range(len(stack) - 1, -1, -1):
                     if stack[depth][0] == tag:
                         was = noise
-                        _, noise, article = stack[depth]
+                        _, noise, article, inner, hard, names = stack[depth]
                         del stack[depth:]
                         if was and not noise:
                             out += [("", 0, False)] * WINDOW
@@ -139,7 +167,13 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
     if at < len(html):
         chunk(html[at:])
     close()
-    return out
+    found = set()
+    fewest = min((n[2] for n in wrapped), default=0)
+    for around in {n[0]: n for n in wrapped if n[2] == fewest}.values():
+        while around and around[0] not in found:
+            found.add(around[0])
+            around = around[1]
+    return out, frozenset(found)
 
 
 def stretches(counts: list[int]) -> list[tuple[int, int]]:

@@ -26,6 +26,23 @@ def test_main_text(html, text):
     assert main_text(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<article><h2 id='related-work'>Related work</h2><p id='social-effects'>a</p><h2 id='reply'>b</h2></article>", "Related work\n\na\n\nb"),
+    ("<article class='post has-comments'><p>a</p></article>", "a"),
+    ("<main><article class='post has-comments'><p>a</p></article></main>", "a"),
+    ("<div class='content-sidebar-wrap'><article><p>a</p></article></div>", "a"),
+    ("<div class='has-sidebar'><div class='banner'>x</div><article><p>a</p></article><div id='comments'><article>c</article></div></div>", "a"),
+    ("<article><p>a</p><article class='comment'><p>c</p></article></article>", "a"),
+    ("<div class='sidebar'><div class='menu'><article><p>a</p></article></div></div>", "a"),
+    ("<nav><div class='sidebar'><article>n</article></div></nav><p>a</p>", "a"),
+    ("<article><p>a</p></article><div id='comments'><article>c</article></div>", "a"),
+    (f"{ARTICLE}<div class='related'><article></article></div>", BODY),
+])
+def test_names_of_texts_and_of_what_is_around_an_article_do_not_count(html, text):
+    assert main_text(html) == text
+    assert len(main_text("<div class=ad>" * 5_000 + "<article>x")) == 1
+
+
 def test_stretches_surge_and_dive():
     assert stretches([0, 0, 0, 5, 0, 7, 0, 0, 0, 2, 0]) == [(3, 6), (9, 10)]
     assert stretches([]) == [] and stretches([0, 0]) == [] and stretches([3]) == [(0, 1)]
