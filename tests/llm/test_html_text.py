@@ -43,6 +43,22 @@ def test_names_of_texts_and_of_what_is_around_an_article_do_not_count(html, text
     assert len(main_text("<div class=ad>" * 5_000 + "<article>x")) == 1
 
 
+SHORT, LONG = "s" * 80, "l" * 400
+AD = "<div class='ad'>buy</div>"
+
+
+@pytest.mark.parametrize("html, text", [
+    (f"<div><p>{SHORT}</p>{AD}{f'<p>{LONG}</p>' * 5}{AD}<p>{SHORT}</p></div>", [SHORT, *[LONG] * 5, SHORT]),
+    (f"<div><section><p>{SHORT}</p></section>{AD}<section>{f'<p>{LONG}</p>' * 5}</section></div>", [SHORT, *[LONG] * 5]),
+    (f"<div><p>{SHORT}</p><ul class='menu'><li>m</ul>{f'<p>{LONG}</p>' * 5}</div><div class='ad'>b</div><div>foot</div>", [SHORT, *[LONG] * 5]),
+    (f"<div>{AD}<p>{SHORT}</p></div>{AD}<div><p>{LONG}</p></div>{AD}<div><p>{'m' * 100}</p></div>", [LONG, "m" * 100]),
+    (f"<p>{LONG}</p><p><a>{'a' * 30}</a> and {'b' * 10}</p><p>{LONG}</p>", [LONG, "a" * 30 + " and " + "b" * 10, LONG]),
+    (f"<p>{LONG}</p><p><a>one</a></p><p><a>two</a></p><ul><li><a>home</a></ul><div><a>contact</a> | <a>details</a></div>", [LONG]),
+])
+def test_unmarked_pages_keep_the_whole_container(html, text):
+    assert main_text(html) == "\n\n".join(text)
+
+
 def test_stretches_surge_and_dive():
     assert stretches([0, 0, 0, 5, 0, 7, 0, 0, 0, 2, 0]) == [(3, 6), (9, 10)]
     assert stretches([]) == [] and stretches([0, 0]) == [] and stretches([3]) == [(0, 1)]
