@@ -37,7 +37,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
-    return benchmark_scan.without_contaminated(docs, table(spark, folder, "benchmark"))
+    return benchmark_scan.without_contaminated(docs, table(spark, folder, "benchmark"), unnamed=True)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

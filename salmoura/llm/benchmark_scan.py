@@ -6,7 +6,8 @@ holds windows as sequences of word numbers, so a match always begins and ends at
 over a text finds all of them, overlapping ones included.
 
 Defined results: a null or wordless text has no words, no hits and no items; a null or wordless item has
-no windows; repeated items or rows are each reported; an empty benchmark hits nothing; the columns read
+no windows; items without id are left out, or with ``unnamed`` (as the query and the pipeline have it) hit like all
+others and stand as one null, the last, in the list of items: it counts as an item and is not in the digest; repeated items or rows are each reported; an empty benchmark hits nothing; the columns read
 are the id and the text, whatever else the tables hold.
 
 The items are read to the driver in parts of at most ``part_bytes`` of text, each broadcast as its own
@@ -46,9 +47,9 @@ def words(text: str | None) -> list[bytes]:
 class Windows:
     """Automaton over the windows of some items."""
 
-    def __init__(self, items: Iterable[tuple[str, str | None]], window: int):
+    def __init__(self, items: Iterable[tuple[str | None, str | None]], window: int):
         self.number: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        owners: dict[tuple[int, ...], set[str | None]] = {}
         for item, text in items:
             seq = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
             size = min(window, len(seq))
@@ -61,14 +62,14 @@ class Windows:
             self.automaton.make_automaton()
         self.empty = not owners
 
-    def scan(self, found: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def scan(self, found: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Merged hit ranges of word positions (last inclusive), and the items that occur."""
         if self.empty or not found:
             return [], set()
         number = self.number
         sequence = tuple([number.get(w, 0) for w in found])
         ranges: list[tuple[int, int]] = []
-        items: set[str] = set()
+        items: set[str | None] = set()
         for last, (size, ids) in self.automaton.iter(sequence):
             ranges.append((last - size + 1, last))
             items.update(ids)
@@ -97,6 +98,10 @@ def _windows(shared, key: tuple, window: int) -> Windows:
     return _BUILT[key]
 
 
+def _null_last(value: str | None) -> tuple[bool, str]:
+    return value is None, value or ""
+
+
 def _scanner(shared, window: int, text_at: int, schema: pa.Schema):
     key = (hashlib.sha256(repr(shared.value).encode()).hexdigest(), window)
 
@@ -112,7 +117,7 @@ def _scanner(shared, window: int, text_at: int, schema: pa.Schema):
                 if old_hits:
                     ranges = merged([*ranges, *((h["first"], h["last"]) for h in old_hits)])
                 hits.append([{"first": a, "last": b} for a, b in ranges])
-                items.append(sorted(ids.union(old_items)))
+                items.append(sorted(ids.union(old_items), key=_null_last))
             added = [pa.array(x, f.type) for x, f in zip((counts, hits, items), list(schema)[-3:])]
             columns = [*batch.columns[:-3], *added]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
@@ -120,22 +125,24 @@ def _scanner(shared, window: int, text_at: int, schema: pa.Schema):
     return scan
 
 
-def parts_of(benchmark: DataFrame, item: str, text: str, part_bytes: int) -> Iterator[list[tuple[str, str]]]:
+def parts_of(
+    benchmark: DataFrame, item: str, text: str, part_bytes: int, unnamed: bool = False
+) -> Iterator[list[tuple[str | None, str]]]:
     """Items in parts of about ``part_bytes``, each small enough for the driver and a broadcast."""
     items = benchmark.select(col(item).cast("string").alias("item"), col(text).alias("text")).filter(
-        F.col("item").isNotNull() & F.col("text").isNotNull()
+        (F.col("item").isNotNull() | F.lit(unnamed)) & F.col("text").isNotNull()
     )
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-size // part_bytes) or 1
     for part in range(parts):
         rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).distinct().collect()
-        yield sorted((r["item"], r["text"]) for r in rows)
+        yield sorted(((r["item"], r["text"]) for r in rows), key=lambda row: (_null_last(row[0]), row[1]))
 
 
 def contamination(
     documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     item_id: str = "item_id", item_text: str = "text", window: int = WINDOW,
-    part_bytes: int = PART_BYTES, keep: tuple[str, ...] = (),
+    part_bytes: int = PART_BYTES, unnamed: bool = False, keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Per document: id, text (and ``keep``), n_words, hits (ranges of word positions), items."""
     spark = documents.sparkSession
@@ -145,7 +152,7 @@ def contamination(
         F.array().cast(_HITS).alias("hits"),
         F.array().cast("array<string>").alias("items"),
     )
-    for part in parts_of(benchmark, item_id, item_text, part_bytes):
+    for part in parts_of(benchmark, item_id, item_text, part_bytes, unnamed):
         schema = _arrow_schema(found)
         found = batched(found).mapInArrow(
             _scanner(spark.sparkContext.broadcast(part), window, 1, schema), found.schema

@@ -85,7 +85,7 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return benchmark_scan.flagged(
-        benchmark_scan.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+        benchmark_scan.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), unnamed=True)
     )
 
 

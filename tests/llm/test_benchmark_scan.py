@@ -1,9 +1,13 @@
 import random
 import re
 
+import duckdb
 from odd_tables import ROWS, documents
 
+import corpus_pipeline as pipeline
+from salmoura.checks.compare import compare
 from salmoura.llm import benchmark_scan as scan
+from salmoura.llm.entries import ENTRIES
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -57,3 +61,25 @@ def test_odd_rows(spark):
     assert kept.columns == df.columns and kept.count() == len(ROWS) - 1
     assert scan.without_contaminated(df, items.limit(0)).count() == len(ROWS)
     assert scan.without_contaminated(df.limit(0), items).count() == 0
+
+
+def test_items_without_id_hit_like_others(spark, tmp_path):
+    """The query against its SQL, and the stage of the pipeline."""
+    docs = [(1, "only a known passage here"), (2, "an unnamed passage, and a known passage"), (3, "the other unnamed item"),
+            (4, "nothing of it"), (5, "an Unnamed PASSAGE")]
+    items = [(7, "a known passage"), (None, "an unnamed passage"), (None, "other unnamed item"), (None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    connection = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    entry = ENTRIES["op7_benchmark_scan"]
+    result = compare(spark, connection, str(tmp_path), entry.run, entry.sql)
+    assert result["ok"] and result["rows"] == len(docs), result
+    flags = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in entry.run(spark, str(tmp_path)).collect()}
+    assert flags == {1: (3, 1), 2: (6, 2), 3: (3, 1), 4: (0, 0), 5: (3, 1)}
+    assert [r["doc_id"] for r in dict(pipeline.STAGES)["benchmark_decontamination"](spark, df, str(tmp_path)).collect()] == [4]
+    benchmark = spark.read.parquet(f"{tmp_path}/benchmark.parquet")
+    parts = scan.contamination(df, benchmark, unnamed=True, part_bytes=10).collect()
+    assert {r["doc_id"]: r["items"] for r in parts} == {1: ["7"], 2: ["7", None], 3: [None], 4: [], 5: [None]}
