@@ -230,11 +230,12 @@ SELECT o_orderkey, chave FROM (
 def _(spark, d):
     path = f"{shared_folder(spark)}/orders.parquet"
     orders = P.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 100).alias("chave"))
-    # the first files are the smallest, and Spark reads the largest first
+    # the first file is small, and Spark reads the largest first; the others hold ranges of the keys, named in their order
     few = orders.orderBy("o_orderkey").limit(20)
     few.coalesce(1).write.parquet(f"{path}/a.parquet")
     rest = orders.join(F.broadcast(few.select("o_orderkey")), "o_orderkey", "left_anti")
-    rest.orderBy("o_orderkey").coalesce(1).write.parquet(f"{path}/b.parquet")
+    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rest.repartitionByRange(ranges, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(f"{path}/b.parquet")
     both = spark.read.parquet(f"{path}/a.parquet", f"{path}/b.parquet").withColumn(N.INGEST_ORDER, files.ingest_order())
     return C.keep_first(both, ["chave"], [F.col(N.INGEST_ORDER)]).drop(N.INGEST_ORDER)
 

@@ -29,3 +29,8 @@ def test_contract(spark):
     assert set(contract.oracle_sql()) <= set(contract.queries())
     assert set(all_entries()) <= set(contract.oracle_sql())
     assert contract.entry(spark).count() > 0
+
+
+def test_no_single_task_writes_the_table_of_many_files(spark):
+    first = all_entries()["c4_keep_first_many_files"].run(spark, FOLDER)
+    assert len(first.inputFiles()) > 2
