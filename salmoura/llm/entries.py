@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from salmoura.llm import benchmark_scan, bpe, fingerprints, html_text, line_dedup, near_dup, quality, secrets, shards, warc
+from salmoura.llm import (
+    benchmark_scan, bpe, fingerprints, hard_negatives, html_text, line_dedup, near_dup, periodic_runs, quality, secrets, shards,
+    topk, warc,
+)
 from salmoura.llm.registry import ENTRIES, Entry, query, table
 
 __all__ = ["ENTRIES", "Entry"]
@@ -130,3 +133,78 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_secrets")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scanned(table(spark, folder, "documents"))
+
+
+def _usable(scale: int) -> str:
+    return f"""
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+@query("op11_hard_negatives", f"""
+WITH u AS ({_usable(256)}),
+v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, e FROM u WHERE label IS NOT NULL),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM p JOIN s USING (anchor_id)
+  WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT * FROM n WHERE rank <= 10
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    moved = (F.col("label").cast("bigint") + 1) % 10
+    vectors = table(spark, folder, "embeddings").select(
+        "vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, moved).otherwise(F.col("label").cast("bigint")).alias("label")
+    )
+    return hard_negatives.mined(vectors.filter("vec_id % 100 = 0"), vectors)
+
+
+@query("op12_exact_topk", f"""
+WITH v AS ({_usable(64)}),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return topk.nearest(vectors.filter("vec_id % 20 = 0"), vectors)
+
+
+def _planted(documents: DataFrame) -> DataFrame:
+    """doc_id and text; where crc32(doc_id) is divisible by 10, words from some place on repeat the ones found there."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10).cast("bigint"), F.size("words").cast("bigint")
+    a = F.when(n > 0, g % F.greatest(n, F.lit(1)))
+    p = 1 + F.floor((n - a) / (3 + g % 8)).cast("bigint")
+    # the word of place i is the one of place least(i, a + pmod(i - a, p)) from a on
+    at = F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.element_at(
+        "words", (F.when(i >= F.col("a"), F.col("a") + (i - F.col("a")) % F.col("p")).otherwise(i) + 1).cast("int")))
+    chosen = F.when(h % 10 == 0, words)
+    return documents.select("doc_id", "text", chosen.alias("words")).select("*", a.alias("a"), p.alias("p")).select(
+        "doc_id", F.when(n > 0, F.array_join(at, " ")).otherwise(F.col("text")).alias("text")
+    )
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.with_runs(_planted(table(spark, folder, "documents")))
+    longest = F.array_max(F.transform("__runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("__runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("__runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return found.withColumn("best", longest).select(
+        F.col("_0").alias("doc_id"), F.size("__runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("(1000 * best.length) div (-best.period)").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("__collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
