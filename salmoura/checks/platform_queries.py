@@ -140,15 +140,12 @@ def _(spark, d):
 
 @query("j9_dense_calendar", P.WITH_WATER + f"SELECT {MONTH_OUT} FROM dense")
 def _(spark, d):
-    sparse = Wt.platform_totals(Wt.well_months(P.water(spark, d)))
-    return shown(Wt.dense_calendar(sparse), **month_columns())
+    return shown(Wt.dense_months(P.water(spark, d)), **month_columns())
 
 
 @query("w1_carry_forward", P.WITH_WATER + f"SELECT {MONTH_OUT} FROM months")
 def _(spark, d):
-    tests = P.water(spark, d)
-    dense = Wt.dense_calendar(Wt.platform_totals(Wt.well_months(tests)), tests)
-    return shown(Wt.carry_forward(dense), **month_columns())
+    return shown(Wt.carry_forward(Wt.dense_months(P.water(spark, d))), **month_columns())
 
 
 @query("a8_chemical_loads", P.WITH_WATER + f"""

@@ -8,9 +8,11 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from salmoura import names as N
@@ -18,14 +20,14 @@ from salmoura.functions.columns import all_positive
 from salmoura.functions.running import BUCKET, equal_splits, running_totals
 from salmoura.operators import metrics as M
 from salmoura.operators.cleaning import complete_cases, numeric_columns
+from salmoura.operators.newton import Problem, solve
 from salmoura.operators.scoring import LogisticModel
 from salmoura.session import materialise
 
 SEED = 42
 FOLDS = 4
-FITS_AT_ONCE = 8  # model fits running at the same time
 MOST_FOLDS = 100  # as each fold is a fit of its own
-Moments = list[tuple[float, float]]
+Moments = Sequence[tuple[float, float]]
 
 # fixed values: statistics of the analysis table -> feature names
 MODEL_COLUMNS = {
@@ -113,16 +115,6 @@ def _log_moments(features: Sequence[str], rows: Column) -> list[Column]:
     ]
 
 
-def _regression(rows: int) -> LogisticRegression:
-    """L2 with unit strength on the summed loss: 1/n on Spark's mean loss, for weights that
-    sum to n. Features come standardised."""
-    return LogisticRegression(
-        featuresCol="_z", labelCol=N.TARGET, weightCol="_weight", family="binomial",
-        regParam=1.0 / rows, elasticNetParam=0.0, standardization=False,
-        maxIter=5000, tol=1e-10,
-    )
-
-
 def _assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(
         inputCols=[f"_z{i}" for i in range(len(features))], outputCol="_z", handleInvalid="keep"
@@ -144,65 +136,67 @@ class Fitted:
     numbers: LogisticModel
 
 
-def fit(
-    train: DataFrame,
-    features: Sequence[str],
-    moments: Moments | None = None,
-    counts: dict[int, int] | None = None,
-) -> Fitted:
-    """Fit log10 -> z-score -> balanced L2 logistic regression on all rows of ``train``."""
-    counts = counts or class_counts(train)
-    if moments is None:
-        row = train.agg(*_log_moments(features, F.lit(True))).first()
-        moments = _moments(row, features)
-    standardise = SQLTransformer(statement=f"SELECT *, {_z_sql(features, moments)} FROM __THIS__")
-    weighted = train.select(
-        N.TARGET, *[N.col(f) for f in features], balanced_weight(counts).alias("_weight")
-    )
-    pipeline = Pipeline(
-        stages=[standardise, _assembler(features), _regression(sum(counts.values()))]
-    ).fit(weighted)
-    return Fitted(pipeline, _numbers(pipeline.stages[-1], features, moments))
+def as_pipeline(spark: SparkSession, model: LogisticModel) -> PipelineModel:
+    """A model as a pipeline of Spark ML: log10 and z-score, a vector, the regression."""
+    moments = list(zip(model.means, model.deviations))
+    regression = LogisticRegressionModel(spark._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(
+        "norm", _py2java(spark.sparkContext, Vectors.dense(model.weights)), model.intercept
+    ))
+    regression.setFeaturesCol("_z")
+    return PipelineModel([
+        SQLTransformer(statement=f"SELECT *, {_z_sql(model.features, moments)} FROM __THIS__"),
+        _assembler(model.features), regression,
+    ])
+
+
+def fit(train: DataFrame, features: Sequence[str]) -> Fitted:
+    """Fit log10 -> z-score -> balanced L2 logistic regression on all rows of ``train``.
+
+    The penalty is half the squared weights on the summed loss, whose row weights n / (2 n_class) sum to n.
+    """
+    counts = class_counts(train)
+    row = train.agg(*_log_moments(features, F.lit(True))).first()
+    problem = Problem(tuple(features), _moments(row, features), (counts[0], counts[1]))
+    (found,) = solve(train, [problem])
+    numbers = _numbers(problem, found)
+    return Fitted(as_pipeline(train.sparkSession, numbers), numbers)
 
 
 def _moments(row, features: Sequence[str]) -> Moments:
     """(mean, deviation) per feature; a constant feature is only centred."""
-    return [(row[f"_m{i}"], row[f"_s{i}"] or 1.0) for i in range(len(features))]
+    return tuple((row[f"_m{i}"], row[f"_s{i}"] or 1.0) for i in range(len(features)))
 
 
-def _numbers(regression, features: Sequence[str], moments: Moments) -> LogisticModel:
-    means, deviations = zip(*moments)
-    return LogisticModel(
-        tuple(features), means, deviations,
-        tuple(float(w) for w in regression.coefficients), float(regression.intercept),
-    )
+def _numbers(problem: Problem, found: tuple[tuple[float, ...], float]) -> LogisticModel:
+    means, deviations = zip(*problem.moments)
+    return LogisticModel(problem.features, means, deviations, *found)
 
 
 def fit_folds(
-    data: DataFrame, features: Sequence[str], folds: Sequence[int], at_once: int = FITS_AT_ONCE
-) -> dict[int, LogisticModel]:
-    """One model per fold, fitted on the other folds, ``at_once`` of them at a time.
+    data: DataFrame, models: Sequence[Sequence[str]], folds: Sequence[int]
+) -> list[dict[int, LogisticModel]]:
+    """For each list of features one model per fold, fitted on the other folds, all of them together.
 
     Moments and class counts of all training sets come from one aggregation.
     """
+    every = sorted({f for features in models for f in features})
     others = {k: F.col("FOLD") != k for k in folds}
-    wide = [
+    seen = data.agg(*[
         F.struct(
-            *_log_moments(features, rows),
+            *_log_moments(every, rows),
             F.count(F.when(rows & (F.col(N.TARGET) == 0), 1)).alias("_c0"),
             F.count(F.when(rows & (F.col(N.TARGET) == 1), 1)).alias("_c1"),
         ).alias(f"k{k}")
         for k, rows in others.items()
-    ]
-    seen = data.agg(*wide).first()
-
-    def one(k: int) -> LogisticModel:
-        row = seen[f"k{k}"]
-        counts = {0: row["_c0"], 1: row["_c1"]}
-        return fit(data.filter(others[k]), features, _moments(row, features), counts).numbers
-
-    with ThreadPoolExecutor(min(len(folds), at_once)) as pool:
-        return dict(zip(folds, pool.map(inheritable_thread_target(data.sparkSession)(one), folds)))
+    ]).first()
+    problems = []
+    for features in models:
+        for k in folds:
+            row = seen[f"k{k}"]
+            moments = dict(zip(every, _moments(row, every)))
+            problems.append(Problem(tuple(features), tuple(moments[f] for f in features), (row["_c0"], row["_c1"]), k))
+    fitted = [_numbers(p, found) for p, found in zip(problems, solve(data, problems))]
+    return [dict(zip(folds, fitted[i * len(folds):])) for i in range(len(models))]
 
 
 def held_out_probability(models: dict[int, LogisticModel]) -> Column:
@@ -278,11 +272,14 @@ def evaluate(
     return evaluate_prepared(prepared, features, folds)
 
 
-def evaluate_prepared(data: DataFrame, features: Sequence[str], folds: Sequence[int]) -> Evaluation:
-    """Evaluate on rows that have their fold. The metric tables hold one row per fold and one
+def evaluate_prepared(
+    data: DataFrame, features: Sequence[str], folds: Sequence[int], models: dict[int, LogisticModel] | None = None
+) -> Evaluation:
+    """Evaluate on rows that have their fold, with the models of the folds if they are there. The metric tables hold one row per fold and one
     row in all, so they are fetched once and kept as literal rows."""
     spark = data.sparkSession
-    models = fit_folds(data, features, folds)
+    if models is None:
+        (models,) = fit_folds(data, [features], folds)
     scored = data.withColumn("PROB_NORM", held_out_probability(models))
     splits = equal_splits(scored, "PROB_NORM")
     curve = M.curve_summary(scored, N.TARGET, "PROB_NORM", splits=splits).first()
@@ -329,12 +326,14 @@ def compare_models(
     prepared, folds = with_folds(data, n_splits, seed)
     models = models or MODELS
 
-    def one(features: list[str]) -> Evaluation:
-        return evaluate_prepared(prepared, features, folds)
+    fitted = fit_folds(prepared, list(models.values()), folds)
+
+    def one(features: list[str], by_fold: dict[int, LogisticModel]) -> Evaluation:
+        return evaluate_prepared(prepared, features, folds, by_fold)
 
     with ThreadPoolExecutor(len(models)) as pool:
         shared = inheritable_thread_target(data.sparkSession)(one)
-        results = dict(zip(models, pool.map(shared, models.values())))
+        results = dict(zip(models, pool.map(shared, models.values(), fitted)))
     rows = [comparison_row(name, result) for name, result in results.items()]
     return M.best_first(reduce(DataFrame.unionByName, rows)), results
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from salmoura import names as N
 from salmoura.functions.columns import finite
 from salmoura.functions.quantiles import grouped
+from salmoura.session import materialise
 
 MONTHS_CARRIED = 2
 WELL_MONTH = [N.CODE, N.MONTH, N.WELL]
@@ -33,8 +34,9 @@ def well_months(tests: DataFrame) -> DataFrame:
         raise ValueError(f"water tests need their order in {N.INGEST_ORDER}")
     first_field = F.min_by(N.col(N.FIELD), F.when(N.col(N.FIELD).isNotNull(), N.col(N.INGEST_ORDER)))
     measured = [N.WATER_RATE, N.OIL_RATE, N.BSW, *_present(tests)]
+    wanted = [*WELL_MONTH, N.FIELD, N.INGEST_ORDER, *measured]
     return grouped(
-        _known_wells(tests),
+        _known_wells(tests).select(*[N.col(c) for c in wanted]),
         WELL_MONTH,
         [first_field.alias(N.FIELD)],
         {c: (c, 0.5) for c in measured},
@@ -129,9 +131,13 @@ def chemical_loads(months: DataFrame) -> DataFrame:
     })
 
 
+def dense_months(tests: DataFrame) -> DataFrame:
+    """Platform totals of every month of the calendar. The wells' months are written once: totals and the calendar's
+    span read them from there, and the tests are read by no other step."""
+    wells = materialise(well_months(tests))
+    return dense_calendar(platform_totals(wells), span=wells)
+
+
 def platform_months(tests: DataFrame) -> DataFrame:
     """Dense platform-month table of water tests."""
-    sparse = platform_totals(well_months(tests))
-    # months of the wells are months of the tests: read from the key columns of the source
-    dense = dense_calendar(sparse, span=_known_wells(tests))
-    return chemical_loads(carry_forward(dense))
+    return chemical_loads(carry_forward(dense_months(tests)))

@@ -43,9 +43,9 @@ def test_fit_matches_newton(spark, data):
     pdf = sample()
     fitted = L.train_final(data)
     weights, p = newton(np.log10(pdf[N.FEATURES].to_numpy()), pdf[N.TARGET].to_numpy())
-    np.testing.assert_allclose([*fitted.numbers.weights, fitted.numbers.intercept], weights, atol=2e-5)
+    np.testing.assert_allclose([*fitted.numbers.weights, fitted.numbers.intercept], weights, atol=1e-9)
     scored = S.score_batch(data, fitted.numbers).toPandas().set_index(N.PLATFORM)
-    np.testing.assert_allclose(scored.loc[pdf[N.PLATFORM], "PROB_NORM"], p, atol=1e-5)
+    np.testing.assert_allclose(scored.loc[pdf[N.PLATFORM], "PROB_NORM"], p, atol=1e-9)
     table = L.coefficients(spark, fitted.numbers).collect()
     assert [r.VARIAVEL for r in table] == N.FEATURES
     assert table[1].ODDS_RATIO == pytest.approx(np.exp(table[1].COEFICIENTE_PADRONIZADO))
@@ -89,7 +89,7 @@ def test_evaluate_against_numpy(spark, data):
         x = np.log10(train[N.FEATURES].to_numpy())
         b, _ = newton(x, train[N.TARGET].to_numpy())
         z = (np.log10(held[N.FEATURES].to_numpy()) - x.mean(0)) / x.std(0)
-        np.testing.assert_allclose(held.PROB_NORM, 1 / (1 + np.exp(-(z @ b[:-1] + b[-1]))), atol=1e-5)
+        np.testing.assert_allclose(held.PROB_NORM, 1 / (1 + np.exp(-(z @ b[:-1] + b[-1]))), atol=1e-9)
     pooled, folds = result.pooled.first(), result.per_fold.collect()
     assert pooled.VP + pooled.FP + pooled.VN + pooled.FN == 240 == sum(r.N_TESTE for r in folds)
     assert all(r.N_TREINO + r.N_TESTE == 240 for r in folds)
@@ -113,6 +113,38 @@ def test_compare_models(spark, data):
     assert set(results) == set(L.MODELS) and "±" in rows[0].AUC_MEDIA_DP
 
 
+def test_all_fits_of_a_comparison_together_equal_each_alone(spark, data):
+    prepared, folds = L.with_folds(data, 3)
+    lists = list(L.MODELS.values())
+    for features, together in zip(lists, L.fit_folds(prepared, lists, folds)):
+        for k in folds:
+            alone = L.fit(prepared.filter(F.col("FOLD") != k), features).numbers
+            np.testing.assert_allclose(
+                [*together[k].weights, together[k].intercept], [*alone.weights, alone.intercept], atol=1e-10)
+
+
+def test_extreme_tables_converge(spark):
+    """Separated classes, a constant feature, a rare class with an outlier: steps are halved where they overshoot."""
+    rng = np.random.default_rng(8)
+    for kind in ("separated", "constant", "rare"):
+        y = (np.arange(300) % (60 if kind == "rare" else 2) == 0).astype(int)
+        x = 10 ** (rng.normal(size=(300, 2)) * 0.1 + (4 * y[:, None] if kind == "separated" else 0))
+        if kind == "constant":
+            x[:, 1] = 3.0
+        if kind == "rare":
+            x[0] = (1e30, 1e-30)
+        df = materialise(spark.createDataFrame(pd.DataFrame({N.TARGET: y, "a": x[:, 0], "b": x[:, 1]})))
+        fitted = L.fit(df, ["a", "b"]).numbers
+        z = np.log10(x) - np.array(fitted.means)
+        z /= np.array(fitted.deviations)
+        n = len(y)
+        s = np.where(y == 1, n / (2 * y.sum()), n / (2 * (1 - y).sum()))
+        b = np.array([*fitted.weights, fitted.intercept])
+        p = 1 / (1 + np.exp(-(np.c_[z, np.ones(n)] @ b)))
+        gradient = np.c_[z, np.ones(n)].T @ (s * (p - y)) + np.array([1.0, 1.0, 0.0]) * b
+        assert np.abs(gradient).max() < 1e-6
+
+
 def test_guards(spark, data):
     with pytest.raises(ValueError, match="no valid rows"):
         L.evaluate(data.limit(0), N.FEATURES)

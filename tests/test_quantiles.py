@@ -31,9 +31,11 @@ def expected(pdf):
     })
 
 
-def test_matches_brute_force(spark):
+@pytest.mark.parametrize("large", [0, 50, 1_000, 100_000])
+def test_matches_brute_force(spark, large):
+    """All groups by histogram, some of them, the one that holds a third of the rows, none."""
     pdf = skewed()
-    got = grouped(frame(spark, pdf), ["k"], [F.count(F.lit(1)).alias("n")], WANTED)
+    got = grouped(frame(spark, pdf), ["k"], [F.count(F.lit(1)).alias("n")], WANTED, large)
     got, want = got.toPandas().set_index("k").sort_index(), expected(pdf)
     assert len(got) == len(want)
     for c in want:
@@ -52,29 +54,36 @@ def test_bands_keep_the_order_of_values(spark):
     assert nan > bands[-1]
 
 
-def test_a_large_group_spreads_over_the_tasks(spark):
-    """One group of most rows beside many small ones: same plan, and no task ranks the whole group."""
-    def table(large):
-        return spark.range(60_000).select(
-            F.when(F.col("id") < large, 0).otherwise(F.col("id")).alias("k"), (F.exp(F.rand(1) * 9)).alias("x")
-        )
+def test_a_group_that_holds_all_rows_spreads_over_the_tasks(spark):
+    """No sort or shuffle holds the whole group: what meets in one task are its bands, then the values of one band."""
+    df = spark.range(60_000).select(F.lit(0).alias("k"), F.exp(F.rand(1) * 9).alias("x"), F.lit(None).cast("double").alias("y"))
+    percentiles = {"m": ("x", 0.5), "y": ("y", 0.5)}
+    got = grouped(df, ["k"], [F.count("k").alias("n")], percentiles, large=1_000)
+    row = got.first()
+    assert row.m == pytest.approx(df.toPandas().x.median(), rel=1e-12) and row.n == 60_000 and row.y is None
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan.split("Union")[0] and plan.count("Window") == 3
+    values = df.select(band(F.col("x")).alias("b")).groupBy("b").count()
+    assert values.agg(F.max("count")).first()[0] < 60_000 / 100
 
-    plans = []
-    for large in (2, 55_000):
-        out = grouped(table(large), ["k"], [], {"m": ("x", 0.5)})
-        plans.append(out._jdf.queryExecution().optimizedPlan().toString().count("Window"))
-    assert plans[0] == plans[1]
-    values = table(55_000).filter("k = 0").select(band(F.col("x")).alias("b")).groupBy("b").count()
-    assert values.agg(F.max("count")).first()[0] < 55_000 / 100
 
+def test_small_groups_are_sent_once(spark):
+    df = spark.range(5_000).select((F.col("id") % 700).alias("k"), F.rand(2).alias("x"))
+    got = grouped(df, ["k"], [], {"m": ("x", 0.5), "q": ("x", 0.9)})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("Initial Plan")[-1]
+    assert initial.count("Exchange") == 1 and "Window" not in initial
 
-def test_group_of_equal_values_and_group_without_values(spark):
+
+@pytest.mark.parametrize("large", [10, 100_000])
+def test_group_of_equal_values_and_group_without_values(spark, large):
     df = spark.range(4_000).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 2 == 0, 7.5).alias("x"))
-    got = {r.k: (r.n, r.m) for r in grouped(df, ["k"], [F.count("k").alias("n")], {"m": ("x", 0.5)}).collect()}
+    got = {r.k: (r.n, r.m) for r in grouped(df, ["k"], [F.count("k").alias("n")], {"m": ("x", 0.5)}, large).collect()}
     assert got == {0: (2_000, 7.5), 1: (2_000, None)}
 
 
-def test_whole_table(spark):
+@pytest.mark.parametrize("large", [10, 100_000])
+def test_whole_table(spark, large):
     pdf = skewed()
-    row = whole_table(frame(spark, pdf), {"m": ("x", 0.5)}).first()
+    row = whole_table(frame(spark, pdf), {"m": ("x", 0.5)}, large).first()
     assert row.m == pytest.approx(pdf.x.median(), rel=1e-12)
