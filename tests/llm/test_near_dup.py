@@ -3,7 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
-from odd_tables import ROWS, documents
+from odd_tables import PROSE, ROWS, documents
 
 from salmoura.llm import near_dup
 from salmoura.llm.shingles import shingle_sets
@@ -95,3 +95,55 @@ def test_odd_rows(spark):
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
     assert sorted(i for i in ids if i is not None) == [1, 3, 4, 5, 6, 7, 8, 9, 10, 11]
     assert near_dup.first_of_each(df.limit(0)).count() == 0
+
+
+def edited(n, words, edits, seed=1):
+    """``n`` copies of one text, each with edits of its own."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randint(0, 5000)}" for _ in range(words)]
+    rows = []
+    for i in range(n):
+        text = list(base)
+        for _ in range(rng.choice(edits)):
+            text[rng.randrange(words)] = f"x{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("edits", [[7], [1, 4, 9], [3]])
+def test_groups_of_edited_copies_equal_brute_force(spark, edits):
+    """Copies that are near the hub, far from it, and both; where all differ too much nothing is linked."""
+    rows = edited(120, 150, edits)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(df).collect()}
+    assert found == brute(rows, 5)
+
+
+def test_few_pairs_of_edited_copies_are_compared(spark, monkeypatch):
+    """All of a group share keys and none is linked: of n (n - 1) / 2 pairs an eighth at most is looked at."""
+    compared, confirmed = [], near_dup._confirmed
+
+    def counting(texts, classes, pairs, words, percent):
+        compared.append(pairs.count())
+        return confirmed(texts, classes, pairs, words, percent)
+
+    monkeypatch.setattr(near_dup, "_confirmed", counting)
+    n = 200
+    df = spark.createDataFrame(edited(n, 400, [7]), "doc_id long, text string")
+    assert near_dup.near_duplicates(df).filter("kept").count() >= n - 2
+    assert compared[0] < n and compared[1] < n * (n - 1) / 16
+
+
+def test_one_row_of_each_group_stays(spark):
+    t, near, u = PROSE + " end of it", PROSE + " end of all", "all other words that nobody else has written down"
+    lone = "an entirely different string of words with no id at all"
+    rows = [(1, t, "a"), (2, t, "b"), (2, t, "b"), (2, u, "c"), (None, t, "d"), (None, lone, "e"), (None, lone, "e"),
+            (4, u, "f"), (5, near, "g"), (6, None, "h"), (6, None, "h"), (None, "", "i"), (None, "", "i"), (7, "lone", "j"), (7, "lone", "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, note string")
+    stays = sorted((tuple(r) for r in near_dup.first_of_each(df).collect()), key=repr)
+    notes = sorted(r[2] for r in stays)
+    assert notes[:-1] == ["a", "c", "e", "h", "h", "i", "i"] + (["g"] if "g" in notes else []) and notes[-1] in "jk"
+    found = near_dup.near_duplicates(df).collect()
+    assert len(found) == len(rows)
+    assert {r["component_id"] for r in found if r["doc_id"] == 4} == {2}
+    assert {r["component_id"] for r in found if r["doc_id"] is None and r["n_shingles"] == 7} == {None}
