@@ -53,8 +53,9 @@ def _write_production(spark: SparkSession, d: str, folder: str) -> None:
     ), f"{folder}/sigep.csv")
 
 
-def _write_water(spark: SparkSession, d: str, folder: str) -> None:
-    """One CSV file for each name, with three lines before its header; rows in the order of their keys."""
+def _write_water(spark: SparkSession, d: str, folder: str, odd: bool = False) -> None:
+    """One CSV file for each name, with three lines before its header; rows in the order of their keys. ``odd`` files
+    are Latin-1, with line breaks and quotes in the names of the fields."""
     tests = P.water(spark, d)
     keys = [f"{N.INGEST_ORDER}.{k}" for k in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")]
     cells = {
@@ -63,6 +64,8 @@ def _write_water(spark: SparkSession, d: str, folder: str) -> None:
         N.DATE: F.date_format(N.DATE, "yyyy-MM-dd HH:mm:ss"),
         **{c: N.col(c).cast("string") for c in (N.WATER_RATE, N.OIL_RATE, N.BSW, *N.CHEMISTRY)},
     }
+    if odd:
+        cells[N.FIELD] = F.concat(F.lit('"'), N.col(N.FIELD), F.lit('\nção ""x"""'))
     header = ",".join(f'"{WATER_HEADERS[c]}"' for c in cells)
     line = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in cells.values()])
     count = len(water_files.WATER_FILES)
@@ -75,7 +78,8 @@ def _write_water(spark: SparkSession, d: str, folder: str) -> None:
     )
     both = body.unionByName(top, allowMissingColumns=True).repartition(count, "file")
     names = [k.split(".")[1] for k in keys]
-    both.sortWithinPartitions("file", "at", *names).select("file", "value").write.partitionBy("file").text(f"{folder}/parts")
+    text = F.encode("value", "ISO-8859-1").cast("string") if odd else F.col("value")
+    both.sortWithinPartitions("file", "at", *names).select("file", text.alias("value")).write.partitionBy("file").text(f"{folder}/parts")
     system = spark._jvm.org.apache.hadoop.fs
     at = system.Path(folder)
     store = at.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -105,9 +109,20 @@ def from_files(sql: str) -> str:
 SELECT l_orderkey % 17 AS arquivo, plat, poco, campo, {D('dt')} AS data, {R('qw')} AS qw,
   {R('qo')} AS qo, {R('bsw')} AS bsw, {R('ba')} AS ba, {R('sr')} AS sr, {R('sal')} AS sal FROM water""")
 def _(spark, d):
+    return _water_read(spark, d, odd=False)
+
+
+@query("s2_s3_latin1_line_breaks", from_files(P.WITH_LINES[:-1]) + f""", {from_files(P.WATER_SQL)}
+SELECT l_orderkey % 17 AS arquivo, plat, poco, campo || chr(10) || 'ção "x"' AS campo, {D('dt')} AS data, {R('qw')} AS qw,
+  {R('qo')} AS qo, {R('bsw')} AS bsw, {R('ba')} AS ba, {R('sr')} AS sr, {R('sal')} AS sal FROM water""")
+def _(spark, d):
+    return _water_read(spark, d, odd=True)
+
+
+def _water_read(spark: SparkSession, d: str, odd: bool) -> DataFrame:
     folder = shared_folder(spark)
-    _write_water(spark, d, folder)
-    tests = water_files.read_water_tests(spark, folder)
+    _write_water(spark, d, folder, odd)
+    tests = water_files.read_water_tests(spark, folder, needed=water_files.NEEDED)
     names = F.array(*[F.lit(f + ".csv") for f in water_files.WATER_FILES])
     number = {c: r(N.col(c).cast("double")) for c in (N.WATER_RATE, N.OIL_RATE, N.BSW, *N.CHEMISTRY)}
     return shown(

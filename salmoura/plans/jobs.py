@@ -133,7 +133,7 @@ def water_job(
 ) -> DataFrame:
     # typed rows are written once; the medians pass over them several times
     tests = files.write_stage(
-        clean_water(water_files.read_water_tests(spark, raw, names, suffix)), out, WATER_TESTS
+        clean_water(water_files.read_water_tests(spark, raw, names, suffix, water_files.NEEDED)), out, WATER_TESTS
     )
     months = C.rename_columns(platform_months(tests), {N.CODE: N.PLATFORM})
     span = [F.min(N.MONTH).alias("first"), F.max(N.MONTH).alias("last")]

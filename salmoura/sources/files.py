@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from salmoura import names as N
 from salmoura.functions.columns import finite
+from salmoura.sources import records
 
 # fixed values: cell texts that mean "missing" in a CSV file
 MISSING_MARKERS = [
@@ -40,34 +41,44 @@ def missing_as_null(df: DataFrame, texts: bool = True) -> DataFrame:
     return df.withColumns({**text, **floating}) if text or floating else df
 
 
-def _checked_lines(spark: SparkSession, path: str) -> tuple[bool, bool]:
-    """(all lines are valid UTF-8, some line opens a quoted cell that it does not close), from the raw lines."""
-    line = F.col("value")
-    # what is left without doubled quotes and without all cells that are quoted as a whole; an opening quote there
-    # has no end
-    rest = F.regexp_replace(F.replace(line, F.lit('""'), F.lit("")), r'(^|,)"[^"]*"(?=,|\r?$)', "$1")
-    seen = spark.read.text(path).agg(
-        F.bool_and(F.is_valid_utf8(line)).alias("valid"), F.bool_or(rest.rlike(r'(^|,)"')).alias("open")
-    ).first()
-    return seen["valid"] is not False, bool(seen["open"])
-
-
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False,
+    ordered: bool = False,
 ) -> DataFrame:
     """CSV with a header. Text is read as UTF-8, or as Latin-1 where the file is no valid UTF-8.
 
     Without a schema all columns are text, to be coerced by name later on; with one, its names must be
-    those of the header. ``multi_line`` reads cells with line breaks, one task a file; without it large files are
-    split, and a cell that reaches over its line is an error.
+    those of the header. Files are split, also where cells hold line breaks; those are an error unless ``multi_line``
+    allows them. ``ordered`` adds the place of each row as ``_ordem``.
     """
-    valid, open_cell = _checked_lines(spark, path)
-    if open_cell and not multi_line:
+    known = records.facts(spark, path)
+    if known.open_cells and not multi_line:
         raise ValueError(f"cells with line breaks in {path}: read it with multi_line=True")
-    reader = spark.read.option("header", True).option("encoding", "UTF-8" if valid else "ISO-8859-1")
-    reader = reader.option("inferSchema", False).option("escape", '"').option("multiLine", multi_line)
-    reader = reader.option("enforceSchema", False)
-    return (reader.schema(schema) if schema is not None else reader).csv(path)
+    if known.open_cells:
+        return _read_records(spark, path, schema, known.utf8, ordered)
+    reader = spark.read.option("header", True).option("encoding", "UTF-8" if known.utf8 else "ISO-8859-1")
+    reader = reader.option("inferSchema", False).option("escape", '"').option("enforceSchema", False)
+    df = (reader.schema(schema) if schema is not None else reader).csv(path)
+    return df.withColumn(N.INGEST_ORDER, ingest_order()) if ordered else df
+
+
+def _read_records(
+    spark: SparkSession, path: str, schema: T.StructType | str | None, utf8: bool, ordered: bool
+) -> DataFrame:
+    found = records.records(spark, path, utf8)
+    names = records.headers(found)
+    if schema is None:
+        kinds = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+        seen = [n.lower() for n in names]
+        names = [f"{n}{i}" if seen.count(n.lower()) > 1 else n or f"_c{i}" for i, n in enumerate(names)]
+    else:
+        given = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        if given.fieldNames() != names:
+            raise ValueError(f"the header of {path} is {names}, not {given.fieldNames()}")
+        kinds = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(given)])
+    rows = records.parsed(found, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds), records.place())
+    df = rows.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], F.col("_place").alias(N.INGEST_ORDER))
+    return df if ordered else df.drop(N.INGEST_ORDER)
 
 
 def ingest_order() -> Column:
@@ -93,11 +104,10 @@ def read_table(
     """
     is_csv = _suffix(path) == ".csv"
     if is_csv:
-        df = read_csv(spark, path, schema, multi_line)
+        df = read_csv(spark, path, schema, multi_line, ordered)
     else:
         df = (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
-    if ordered:
-        df = df.withColumn(N.INGEST_ORDER, ingest_order())
+        df = df.withColumn(N.INGEST_ORDER, ingest_order()) if ordered else df
     return missing_as_null(df, texts=is_csv)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 import re
 from collections.abc import Sequence
 from functools import reduce
@@ -10,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from salmoura import names as N
+from salmoura.sources import records
 from salmoura.sources.files import missing_as_null
 
 PREAMBLE_LINES = 3
@@ -33,6 +33,7 @@ FIXED_HEADERS = {
 }
 CHEMISTRY_ALIASES = {"SALINIDADE DA ÁGUA (MG DE NACL/L)": "SALINIDADE"}
 NUMERIC = [N.WATER_RATE, N.OIL_RATE, N.BSW, *N.CHEMISTRY]
+NEEDED = [N.CODE, N.WELL, N.DATE]  # without them a test belongs to no well and month
 TARGETS = [*FIXED_HEADERS.values(), *N.CHEMISTRY]
 
 
@@ -72,35 +73,29 @@ def read_below_preamble(
 ) -> tuple[list[str], DataFrame]:
     """(headers, rows) of one CSV file (no folder) whose header follows ``skip`` other lines.
 
-    Rows have text columns ``c0, c1, ...`` and their position ``_ordem``. Lines are
-    numbered where they are read: the first split of a single file comes first, so the
-    first lines have the smallest numbers.
+    Rows have text columns ``c0, c1, ...`` and their place ``_ordem``. Text is UTF-8, or Latin-1 where the file is no
+    valid UTF-8; cells may hold line breaks. The file is read by splits.
     """
-    lines = spark.read.text(path).withColumn(N.INGEST_ORDER, F.monotonically_increasing_id())
+    known = records.facts(spark, path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
         raise ValueError(f"a single file is needed, not a folder: {path}")
-    top = lines.limit(skip + 1).collect()  # stops after the first lines
-    if len(top) <= skip:
-        raise ValueError(f"no header line in {path}")
-    headers = next(csv.reader([top[skip]["value"].rstrip("\r")]))
+    read = records.records if known.open_cells else records.plain_records
+    found = read(spark, path, known.utf8, skip)
+    try:
+        headers = records.headers(found)
+    except ValueError as none:
+        raise ValueError(f"no header line in {path}") from none
     schema = ", ".join(f"c{i} string" for i in range(len(headers)))
-    rows = (
-        lines.filter((F.col(N.INGEST_ORDER) > skip) & (F.trim("value") != ""))
-        .select(
-            N.INGEST_ORDER,
-            F.from_csv(F.rtrim("value", F.lit("\r")), schema, {"escape": '"'}).alias("_row"),
-        )
-        .select(N.INGEST_ORDER, "_row.*")
-    )
-    return headers, rows
+    return headers, records.parsed(found, schema, F.struct("block", "n")).withColumnRenamed("_place", N.INGEST_ORDER)
 
 
-def read_water_file(spark: SparkSession, path: str) -> DataFrame:
-    """Used columns of one water-test file, CSV or Parquet, all named as in the data model."""
+def read_water_file(spark: SparkSession, path: str, needed: Sequence[str] = ()) -> DataFrame:
+    """Used columns of one water-test file, CSV or Parquet, all named as in the data model. Without a header for
+    one of the ``needed`` columns it is an error."""
     if path.endswith(".parquet"):
         df = spark.read.parquet(path).withColumn(
-            N.INGEST_ORDER, F.monotonically_increasing_id()
+            N.INGEST_ORDER, F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
         )
         headers = [c for c in df.columns if c != N.INGEST_ORDER]
         source = {i: N.col(h) for i, h in enumerate(headers)}
@@ -110,6 +105,9 @@ def read_water_file(spark: SparkSession, path: str) -> DataFrame:
     else:
         raise ValueError(f"unsupported format: {path}")
     found = used_columns(headers)
+    absent = [c for c in needed if c not in found]
+    if absent:
+        raise ValueError(f"no header for {', '.join(absent)} in {path}: {headers}")
     used = [source[found[c]].alias(c) for c in TARGETS if c in found]
     return missing_as_null(df.select(*used, N.INGEST_ORDER), texts=path.endswith(".csv"))
 
@@ -119,13 +117,14 @@ def read_water_tests(
     folder: str,
     files: Sequence[str] = tuple(WATER_FILES),
     suffix: str = ".csv",
+    needed: Sequence[str] = (),
 ) -> DataFrame:
     """All water-test files as one table, tagged with their file; any missing file is an error.
 
     ``_ordem`` orders rows by file, then by position within the file.
     """
     parts = [
-        read_water_file(spark, f"{folder.rstrip('/')}/{name}{suffix}").withColumns({
+        read_water_file(spark, f"{folder.rstrip('/')}/{name}{suffix}", needed).withColumns({
             N.SOURCE_FILE: F.lit(name + suffix),
             N.INGEST_ORDER: F.struct(F.lit(i).alias("file"), F.col(N.INGEST_ORDER).alias("row")),
         })

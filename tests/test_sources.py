@@ -1,8 +1,11 @@
+import csv
+import random
+
 import pytest
 from pyspark.errors import AnalysisException
 
 from salmoura import names as N
-from salmoura.sources import files, water_files as WF
+from salmoura.sources import files, records, water_files as WF
 
 
 def test_suffix_and_missing_path(spark, tmp_path):
@@ -127,3 +130,59 @@ def test_files_are_joined_by_name(spark, tmp_path):
         WF.read_water_tests(spark, str(tmp_path), ["a", "c"]).count()
     with pytest.raises(ValueError):
         WF.read_water_file(spark, str(tmp_path / "a.xlsx"))
+
+
+def odd_table(rng, n):
+    """Cells with line breaks, quotes, commas and blanks, some of them empty or missing."""
+    parts = ["a", "é", "x y", '"', '""', ",", "\n", "\n\n", "\r\n", " ", "", 'end"', "1.5"]
+    return [["".join(rng.choice(parts) for _ in range(rng.randint(0, 6))) for _ in range(3)] + [str(i)] for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("encoding", ["utf-8", "latin-1"])
+def test_split_records_equal_one_reader(spark, tmp_path, seed, encoding):
+    """A file of many splits with line breaks in cells, read by several tasks, cell by cell as Python's reader does."""
+    rows = odd_table(random.Random(seed), 300)
+    with open(tmp_path / "t.csv", "w", encoding=encoding, newline="") as out:
+        csv.writer(out, lineterminator="\n").writerows([["um", "dois\nlinhas", "três", "n"], *rows])
+    key, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(key, "700")
+    try:
+        df = files.read_csv(spark, str(tmp_path / "t.csv"), multi_line=True, ordered=True)
+        assert df.columns[:4] == ["um", "dois\nlinhas", "três", "n"]
+        got = [[x or "" for x in r[:4]] for r in df.orderBy(N.INGEST_ORDER).collect()]
+        assert records._raw(spark, str(tmp_path / "t.csv")).select("block").distinct().count() > 5
+    finally:
+        spark.conf.set(key, before)
+    assert [r[3] for r in got] == [r[3] for r in rows]
+    assert got == rows
+
+
+def test_a_quote_within_an_unquoted_cell_opens_nothing(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('a,b\n5" pipe,1\n"x\ny",2\n6" pipe,3\n,"z\n"\n', encoding="utf-8")
+    got = [tuple(r) for r in files.read_csv(spark, str(tmp_path / "t.csv"), multi_line=True).collect()]
+    assert sorted(got, key=repr) == sorted([('5" pipe', "1"), ("x\ny", "2"), ('6" pipe', "3"), (None, "z\n")], key=repr)
+
+
+def test_folder_of_files_with_line_breaks(spark, tmp_path):
+    df = spark.range(40).selectExpr("cast(id as string) as id", "concat('a\nb', id) as texto").repartition(5)
+    files.write_csv(df, str(tmp_path / "t.csv"))
+    got = files.read_csv(spark, str(tmp_path / "t.csv"), "id string, texto string", multi_line=True)
+    assert got.exceptAll(df).isEmpty() and got.count() == 40
+    with pytest.raises(ValueError, match="the header of"):
+        files.read_csv(spark, str(tmp_path / "t.csv"), "id string, text string", multi_line=True)
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "latin-1"])
+def test_water_file_keeps_all_cells(spark, tmp_path, encoding):
+    head = 'Relatório,"de\n\n\nNome do Campo,Nome do Poço,Sigla da Plataforma,Data,Qw (m³/d),"Teor [BÁRIO]"\n'
+    body = '"Campo\nlongo",P1,"A ""x""",2020-01-01,"1,5",2\nCamp\xe3o,P2,B,2020-02-01,3,\n\n'
+    (tmp_path / "w.csv").write_bytes((head + body).encode(encoding))
+    rows = [tuple(r)[:-1] for r in WF.read_water_file(spark, str(tmp_path / "w.csv")).orderBy(N.INGEST_ORDER).collect()]
+    assert rows == [("Campo\nlongo", "P1", 'A "x"', "2020-01-01", "1,5", "2"), ("Camp\xe3o", "P2", "B", "2020-02-01", "3", None)]
+
+
+def test_water_file_without_needed_headers_is_an_error(spark, tmp_path):
+    (tmp_path / "w.csv").write_text("a\nb\nc\nNome do Campo,Data\nx,2020-01-01\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="no header for SIGLA, POCO"):
+        WF.read_water_file(spark, str(tmp_path / "w.csv"), WF.NEEDED)
