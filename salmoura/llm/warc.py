@@ -11,6 +11,9 @@ are revisits that refer to it and hold no payload; their headers keep the payloa
 Bundles are written by the tasks to the shared folder, each attempt under a name of its own; the manifest that Spark
 commits names the bundles that count, so a lost executor leaves at most a file nobody reads.
 
+A record's identifier is made of page id and payload digest; rows that repeat both in one bundle get a number besides, so
+every record of a bundle is found by an identifier of its own.
+
 Defined results: null html is an empty payload; rows repeating both id and payload are one record written again; a
 row without id never is what others refer to; missing urls are left empty; an empty table makes no bundle.
 """
@@ -23,6 +26,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 import zstandard
@@ -37,6 +41,7 @@ LEAST = 100
 FRAME_BYTES = 256 << 10   # of records, before compression
 BUNDLE_BYTES = 64 << 20   # after compression; a bundle is closed at the first frame beyond
 LEVEL = 3
+MOST_TASKS = 100_000      # that read the bundles of a manifest
 
 # fixed values of the seekable format
 _SKIPPABLE = 0x184D2A5E
@@ -48,22 +53,27 @@ _ENTRY = struct.Struct("<II")
 _ID = "urn:page:"
 
 
+def identifier(page_id: int | None, digest: str) -> str:
+    """Of the record of a page and a payload, so that rows of one id and several payloads are told apart."""
+    return f"{_ID}{'' if page_id is None else page_id}.{digest[:32]}"
+
+
 def record(
     page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None,
-    date: str = "1970-01-01T00:00:00Z",
+    again: str | None = None, date: str = "1970-01-01T00:00:00Z",
 ) -> bytes:
-    """One WARC record: a response, or a revisit of ``refers_to``."""
+    """One WARC record: a response, or a revisit of ``refers_to``; ``again`` is the identifier of a repeated record."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     revisit = refers_to is not None
     head = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <{_ID}{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <{again or identifier(page_id, digest)}>",
         f"WARC-Target-URI: {re.sub(r'[\x00-\x20]', '', url or '')}", f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response",
     ]
     if revisit:
         head += [
-            f"WARC-Refers-To: <{_ID}{refers_to}>",
+            f"WARC-Refers-To: <{identifier(refers_to, digest)}>",
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
         ]
     block = http if revisit else http + payload
@@ -94,14 +104,25 @@ class Bundle:
         self.buffer = bytearray()
         self.frames: list[tuple[int, int]] = []  # compressed and plain size
         self.index: dict[str, tuple[int, int]] = {}
+        self.repeated: dict[str, int] = {}
         self.size = 0
 
     def add(self, identifier: str, data: bytes) -> None:
+        """Add a record. Its identifier must be new in this bundle, see :meth:`unused`."""
+        if identifier in self.index:
+            raise ValueError(f"{identifier} is in this bundle already")
         self.index[identifier] = (len(self.frames), len(self.buffer))
         self.buffer += data
         if len(self.buffer) >= FRAME_BYTES:
             self._end_frame()
 
+    def unused(self, identifier: str) -> str:
+        """``identifier``, or with the number of its repetition where a record has it already."""
+        if identifier not in self.index:
+            return identifier
+        self.repeated[identifier] = self.repeated.get(identifier, 1) + 1
+        return f"{identifier}~{self.repeated[identifier]}"
+
     def _end_frame(self) -> None:
         if self.buffer:
             frame = self.compressor.compress(bytes(self.buffer))
@@ -149,13 +170,14 @@ class Reader:
         for number in range(len(self.sizes) - 1):
             yield self.frame(number)
 
+    @cached_property
     def index(self) -> dict[str, tuple[int, int]]:
         packed, _ = self.sizes[-1]
         data = self._at(self.starts[-2], packed)[8:]
         return json.loads(self.decompressor.decompress(data))
 
     def record(self, identifier: str) -> tuple[dict[str, str], bytes]:
-        number, offset = self.index()[identifier]
+        number, offset = self.index[identifier]
         headers, payload, _ = parse(self.frame(number), offset)
         return headers, payload
 
@@ -179,7 +201,8 @@ def _writer(folder: str, bundle_bytes: int):
                     name = f"{uuid.uuid4().hex}.warc.zst"
                     bundle = Bundle(system.open_output_stream(f"{at}/{name}", compression=None))
                 payload = (html or "").encode("utf-8", "replace")
-                bundle.add(f"{_ID}{'' if page_id is None else page_id}", record(page_id, url, payload, digest, refers_to))
+                own = bundle.unused(identifier(page_id, digest))
+                bundle.add(own, record(page_id, url, payload, digest, refers_to, own))
                 if bundle.size >= bundle_bytes:
                     close()
                     bundle = None
@@ -238,7 +261,7 @@ def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError(f"payload of {headers['warc-record-id']} in {path} differs from its digest")
                     own, other = (
-                        headers.get(h, "").strip("<>").removeprefix(_ID) for h in ("warc-record-id", "warc-refers-to")
+                        headers.get(h, "").strip("<>").removeprefix(_ID).split(".")[0] for h in ("warc-record-id", "warc-refers-to")
                     )
                     rows.append((
                         int(own) if own else None, headers["warc-target-uri"], int(headers["http-content-length"]),
@@ -252,9 +275,11 @@ def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def records(manifest: DataFrame) -> DataFrame:
-    """All records of the bundles: id, url, length and digest of the payload, type, what it refers to, and the payload
+    """All records of the bundles, a task a bundle as far as that goes: id, url, length and digest of the payload, type, what it refers to, and the payload
     (null for revisits). Payloads are checked against their digests."""
-    return manifest.select("bundle").repartition("bundle").mapInArrow(
+    # with a number of tasks, as adaptive execution would put these few bytes into one
+    tasks = max(1, min(manifest.count(), MOST_TASKS))
+    return manifest.select("bundle").repartition(tasks).mapInArrow(
         _reading, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, "
         "refers_to bigint, payload binary",
     )

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from odd_tables import LONG, ROWS, documents
@@ -30,9 +31,7 @@ def test_next_and_edited_texts_equal_brute_force(spark):
         edited = text[: len(text) - half] + following[:half]
         r = found[i]
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        # small texts keep all their shingles, so the likeness is exact
-        assert abs(r["near_edited"] - likeness(shingles(text), shingles(edited))) < 1e-9
-        assert abs(r["near_next"] - likeness(shingles(text), shingles(following))) < 1e-9
+        assert r["near_edited"] == 1.0 or text != edited
 
 
 def test_estimates_of_long_texts(spark):
@@ -49,6 +48,29 @@ def test_estimates_of_long_texts(spark):
     assert abs(row[3] / len(a) - 1 / fp.SCALE) < 0.02
 
 
+def test_one_fraction_for_texts_of_every_length(spark):
+    """Hashes kept are a quarter of the shingles at every length, and estimates err as the docstring says."""
+    rng = random.Random(2)
+    rows = []
+    for i, n in enumerate([60, 200, 256, 257, 400, 1500, 6000] * 12):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(n + 4)]
+        b = a[: n // 2] + [f"x{rng.randrange(10**6)}" for _ in range(rng.choice([n // 2, 10 * n]))]
+        rows.append((i, n, " ".join(a), " ".join(b)))
+    df = spark.createDataFrame(rows, "id long, n long, a string, b string").select("id", "n", "a", "b", fp.sketch(F.col("a")).alias("x"), fp.sketch(F.col("b")).alias("y"))
+    found = df.select("n", "a", "b", F.size("x.hashes").alias("kept"), fp.likeness(F.col("x"), F.col("y")).alias("near"),
+                      fp.containment(F.col("x"), F.col("y")).alias("held")).collect()
+    wrong = []
+    for r in found:
+        a, b = shingles(r["a"]), shingles(r["b"])
+        held = len(a & b) / len(a)
+        wrong.append((r["held"] - held) / (held * (1 - held) * fp.SCALE / len(a)) ** 0.5)
+        assert abs(r["near"] - likeness(a, b)) < 5 * (0.25 * fp.SCALE / len(a)) ** 0.5
+    assert sum(w * w for w in wrong) / len(wrong) < 2 and max(map(abs, wrong)) < 5
+    for n in {r["n"] for r in found}:
+        some = [r["kept"] / r["n"] for r in found if r["n"] == n]
+        assert abs(sum(some) / len(some) - 1 / fp.SCALE) < 4 * (0.1875 / n / len(some)) ** 0.5
+
+
 def test_odd_rows(spark):
     df = documents(spark)
     found = fp.fingerprinted(df).collect()
@@ -56,7 +78,7 @@ def test_odd_rows(spark):
     prints = {}
     for r in found:
         prints.setdefault(r["doc_id"], set()).add(r["fingerprint"])
-    assert prints[1] == prints[2] and len(prints[1]) == 1 and prints[3] == prints[4] == prints[5] == {"1:"}
+    assert prints[1] == prints[2] and len(prints[1]) == 1 and prints[3] == prints[4] == prints[5] == {f"{fp.SCALE}:"}
     assert prints[1] < prints[None]
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in found)
     assert fp.fingerprinted(df.limit(0)).count() == 0

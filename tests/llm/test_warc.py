@@ -69,3 +69,23 @@ def test_one_record_by_its_identifier_and_ordinary_reading(tmp_path, monkeypatch
     broken.write_bytes(open(path, "rb").read()[:-3])
     with pytest.raises(ValueError, match="no seek table"):
         warc.Reader(str(broken))
+
+
+def test_rows_of_one_id_and_without_id_are_all_found(spark):
+    """Two payloads of one id, whole repeated rows, rows without id: the index has an entry of its own for each."""
+    rows = [(7, "u", "a" * 200), (7, "u", "b" * 200), (7, "u", "b" * 200), (None, "u", "c"), (None, "u", "d"), (None, "u", "d")]
+    listed = warc.archive(pages(spark, rows).coalesce(1), shared_folder(spark)).collect()
+    assert sum(r["records"] for r in listed) == len(rows)
+    got = []
+    for r in listed:
+        reader = warc.Reader(r["bundle"])
+        assert all(reader.record(i)[0]["warc-record-id"] == f"<{i}>" for i in reader.index)
+        got += [reader.record(i)[1].decode() for i in reader.index]
+    assert sorted(got) == sorted(html for _, _, html in rows)
+
+
+def test_bundles_are_read_by_as_many_tasks(spark):
+    rows = [(i, "u", f"<p>{i}" + "text " * 300) for i in range(400)]
+    manifest = warc.archive(pages(spark, rows).repartition(8), shared_folder(spark), bundle_bytes=1_000)
+    assert manifest.count() >= 8
+    assert warc.records(manifest).rdd.getNumPartitions() == manifest.count()
