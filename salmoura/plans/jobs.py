@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
@@ -48,9 +48,16 @@ def observed(seen: Observation) -> dict:
         return {}
 
 
-def _staged(df: DataFrame, out: str, name: str, *more: Column) -> DataFrame:
+def _staged(
+    spark: SparkSession, build: Callable[[], DataFrame], out: str, name: str, *more: Column, run: int | None = None
+) -> DataFrame:
+    """The stage that ``build`` makes, written; what ``run`` has finished before is not made again."""
+    if run is not None and files.has_stage(spark, out, name, run):
+        log.info("%s: finished before", name)
+        return files.read_stage(spark, out, name)
+    df = build()
     watched, seen = counted(df, name, *more)
-    written = files.write_stage(watched, out, name)
+    written = files.write_stage(watched, out, name, run)
     log.info("%s: %s, %d columns", name, observed(seen), len(df.columns))
     return written
 
@@ -111,17 +118,25 @@ def clean_water(raw: DataFrame) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items()}) if missing else df
 
 
-def production_job(spark: SparkSession, raw: str, out: str, file: str = "sigep.csv") -> DataFrame:
-    source = files.read_table(spark, f"{raw}/{file}", ordered=True, multi_line=True)
-    return _staged(clean_production(source), out, PRODUCTION)
+def production_job(
+    spark: SparkSession, raw: str, out: str, file: str = "sigep.csv", run: int | None = None
+) -> DataFrame:
+    return _staged(spark, lambda: clean_production(
+        files.read_table(spark, f"{raw}/{file}", ordered=True, multi_line=True)), out, PRODUCTION, run=run)
 
 
-def waste_a_job(spark: SparkSession, raw: str, out: str, file: str = "sigre.csv") -> DataFrame:
-    return _staged(clean_waste_a(files.read_table(spark, f"{raw}/{file}", multi_line=True)), out, WASTE_A)
+def waste_a_job(
+    spark: SparkSession, raw: str, out: str, file: str = "sigre.csv", run: int | None = None
+) -> DataFrame:
+    return _staged(spark, lambda: clean_waste_a(
+        files.read_table(spark, f"{raw}/{file}", multi_line=True)), out, WASTE_A, run=run)
 
 
-def waste_b_job(spark: SparkSession, raw: str, out: str, file: str = "scr.csv") -> DataFrame:
-    return _staged(clean_waste_b(files.read_table(spark, f"{raw}/{file}", multi_line=True)), out, WASTE_B)
+def waste_b_job(
+    spark: SparkSession, raw: str, out: str, file: str = "scr.csv", run: int | None = None
+) -> DataFrame:
+    return _staged(spark, lambda: clean_waste_b(
+        files.read_table(spark, f"{raw}/{file}", multi_line=True)), out, WASTE_B, run=run)
 
 
 def water_job(
@@ -130,31 +145,30 @@ def water_job(
     out: str,
     names: Sequence[str] = tuple(water_files.WATER_FILES),
     suffix: str = ".csv",
+    run: int | None = None,
 ) -> DataFrame:
-    # typed rows are written once; the medians pass over them several times
-    tests = files.write_stage(
-        clean_water(water_files.read_water_tests(spark, raw, names, suffix, water_files.NEEDED)), out, WATER_TESTS
-    )
-    months = C.rename_columns(platform_months(tests), {N.CODE: N.PLATFORM})
+    # typed rows are a stage of their own
+    tests = _staged(spark, lambda: clean_water(
+        water_files.read_water_tests(spark, raw, names, suffix, water_files.NEEDED)), out, WATER_TESTS, run=run)
     span = [F.min(N.MONTH).alias("first"), F.max(N.MONTH).alias("last")]
-    return _staged(months, out, WATER, *span)
+    return _staged(
+        spark, lambda: C.rename_columns(platform_months(tests), {N.CODE: N.PLATFORM}), out, WATER, *span, run=run)
 
 
-def integrated_waste(spark: SparkSession, out: str) -> DataFrame:
+def integrated_waste(spark: SparkSession, out: str, run: int | None = None) -> DataFrame:
     """Both waste logs, cut over at the last month of the first one. The table is not sorted:
     nothing reads it in order."""
-    both = append_newer(
+    return _staged(spark, lambda: append_newer(
         files.read_stage(spark, out, WASTE_A), files.read_stage(spark, out, WASTE_B),
         ordered=False,
-    )
-    return _staged(both, out, WASTE)
+    ), out, WASTE, run=run)
 
 
-def clean_sources(spark: SparkSession, raw: str, out: str) -> None:
-    waste_a_job(spark, raw, out)
-    waste_b_job(spark, raw, out)
-    water_job(spark, raw, out)
-    integrated_waste(spark, out)
+def clean_sources(spark: SparkSession, raw: str, out: str, run: int | None = None) -> None:
+    waste_a_job(spark, raw, out, run=run)
+    waste_b_job(spark, raw, out, run=run)
+    water_job(spark, raw, out, run=run)
+    integrated_waste(spark, out, run)
 
 
 def analysis_job(
@@ -164,20 +178,25 @@ def analysis_job(
     mode: str = WINDOW,
     n_splits: int = 6,
     final_model: str = FINAL_MODEL,
+    resume: bool = False,
 ) -> dict[str, DataFrame]:
-    """Everything from raw files to metrics, coefficients and chart tables; all are written."""
+    """Everything from raw files to metrics, coefficients and chart tables; all are written.
+
+    ``resume`` goes on with the last run: stages that it finished are read, not made again.
+    """
     with scratch(spark):
-        production_job(spark, raw, out)
-        clean_sources(spark, raw, out)
+        run = files.begin_run(spark, out, resume)
+        production_job(spark, raw, out, run=run)
+        clean_sources(spark, raw, out, run)
         analysis = _staged(
-            analysis_table(
+            spark, lambda: analysis_table(
                 files.read_stage(spark, out, WASTE), files.read_stage(spark, out, WATER), mode
             ),
-            out, ANALYSIS, F.sum(N.TARGET).alias("contaminated"),
+            out, ANALYSIS, F.sum(N.TARGET).alias("contaminated"), run=run,
         )
-        data = files.write_stage(modelling.model_table(analysis), out, "base_modelo")
+        data = _staged(spark, lambda: modelling.model_table(analysis), out, "base_modelo", run=run)
         comparison, results = modelling.compare_models(data, n_splits)
-        comparison = files.write_stage(comparison, out, "comparacao_modelos")
+        comparison = files.write_stage(comparison, out, "comparacao_modelos", run)
         best = results[comparison.orderBy(F.desc("AUC"), "MODELO").first()["MODELO"]]
         chosen = results[final_model]
         scored = modelling.with_probability(analysis, chosen.predictions)
@@ -201,7 +220,7 @@ def analysis_job(
                 data, model.numbers, N.FEATURES
             ),
         }
-        written = {name: files.write_stage(df, out, name) for name, df in tables.items()}
+        written = {name: files.write_stage(df, out, name, run) for name, df in tables.items()}
         return {**written, ANALYSIS: analysis, "comparacao_modelos": comparison}
 
 
@@ -219,13 +238,15 @@ def training_job(
     out: str,
     mode: str = NEAREST,
     features: Sequence[str] = tuple(N.FEATURES),
+    resume: bool = False,
 ) -> modelling.Fitted:
-    """Clean, build the analysis table, fit on all of it and save the model."""
-    clean_sources(spark, raw, out)
+    """Clean, build the analysis table, fit on all of it and save the model. ``resume`` as in :func:`analysis_job`."""
+    run = files.begin_run(spark, out, resume)
+    clean_sources(spark, raw, out, run)
     analysis = analysis_table(
         files.read_stage(spark, out, WASTE), files.read_stage(spark, out, WATER), mode
     )
-    data = files.write_stage(modelling.model_table(analysis), out, "base_treino")
+    data = files.write_stage(modelling.model_table(analysis), out, "base_treino", run)
     model = modelling.train_final(data, features)
     files.save_model(model.pipeline, f"{out}/modelo_norm")
     return model
@@ -233,11 +254,10 @@ def training_job(
 
 def temporal_job(spark: SparkSession, out: str, batch_input: str) -> DataFrame:
     """Temporal validation table and the input of batch scoring, from the stage tables."""
-    table = temporal_table(
-        files.read_stage(spark, out, WATER), files.read_stage(spark, out, WASTE), ordered=False
-    )
     table = _staged(
-        table, out, TEMPORAL, F.sum(F.col("ELEGIVEL_MODELO").cast("long")).alias("eligible")
+        spark, lambda: temporal_table(
+            files.read_stage(spark, out, WATER), files.read_stage(spark, out, WASTE), ordered=False
+        ), out, TEMPORAL, F.sum(F.col("ELEGIVEL_MODELO").cast("long")).alias("eligible")
     )
     files.write_csv(scoring_input(table), batch_input)
     return table

@@ -119,19 +119,56 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def write_stage(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write a stage table as Parquet and go on from what was written."""
-    path = stage_path(folder, name)
+def _versions(spark: SparkSession, folder: str, name: str = "*") -> list[tuple[int, str, bool]]:
+    """(number, path, whether it is complete) of all versions of a stage, or of all stages."""
+    system = spark._jvm.org.apache.hadoop.fs
+    at = system.Path(f"{folder.rstrip('/')}/{name}.parquet/version=*")
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [entry.getPath() for entry in store.globStatus(at) or []]
+    # Spark writes this file after everything else
+    return [(int(f.getName().split("=")[1]), f.toString(), store.exists(system.Path(f, "_SUCCESS"))) for f in found]
+
+
+def begin_run(spark: SparkSession, folder: str, resume: bool = False) -> int:
+    """The version that a run gives its stages: a new one, or to resume the last run that one's."""
+    last = max((number for number, *_ in _versions(spark, folder)), default=0)
+    return max(last, 1) if resume else last + 1
+
+
+def has_stage(spark: SparkSession, folder: str, name: str, version: int) -> bool:
+    return any(number == version and complete for number, _, complete in _versions(spark, folder, name))
+
+
+def write_stage(df: DataFrame, folder: str, name: str, version: int | None = None) -> DataFrame:
+    """Write a stage table as Parquet and go on from what was written.
+
+    Each write makes a version of its own (``version`` or the next number). Readers see it once it is complete; until then,
+    and after a write that failed, they see the one before, which stays until the next version is complete.
+    """
+    spark = df.sparkSession
+    known = _versions(spark, folder, name)
+    if version is None:
+        version = max((number for number, *_ in known), default=0) + 1
+    path = f"{folder.rstrip('/')}/{name}.parquet/version={version}"
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    before = max((number for number, _, complete in known if complete and number < version), default=version)
+    for number, old, _ in known:
+        if number < before:
+            at = spark._jvm.org.apache.hadoop.fs.Path(old)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return spark.read.parquet(path)
 
 
 def read_stage(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(stage_path(folder, name))
+    """The last complete version of a stage."""
+    return spark.read.parquet(stage_path(spark, folder, name))
 
 
-def stage_path(folder: str, name: str) -> str:
-    return f"{folder.rstrip('/')}/{name}.parquet"
+def stage_path(spark: SparkSession, folder: str, name: str) -> str:
+    complete = [(number, path) for number, path, done in _versions(spark, folder, name) if done]
+    if not complete:
+        raise FileNotFoundError(f"no complete stage {name} in {folder}")
+    return max(complete)[1]
 
 
 def save_model(model: PipelineModel, path: str) -> None:

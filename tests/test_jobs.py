@@ -97,3 +97,42 @@ def test_training_uses_the_nearest_month(spark, raw, tmp_path):
 def test_missing_source(spark, tmp_path):
     with pytest.raises(Exception):
         jobs.production_job(spark, str(tmp_path), str(tmp_path / "out"))
+
+
+def test_a_broken_run_leaves_whole_stages_and_is_resumed(spark, raw, tmp_path, monkeypatch):
+    """Run 1 is whole. Run 2 breaks at the second stage: readers still see run 1's tables there. Resumed, it makes that stage
+    and all after it again, although run 1 has them, and no stage before it."""
+    out = str(tmp_path / "out")
+    jobs.clean_sources(spark, raw, out, files.begin_run(spark, out))
+    whole = files.read_stage(spark, out, jobs.WASTE).count()
+    clean_a, clean_b, made = jobs.clean_waste_a, jobs.clean_waste_b, []
+
+    def broken(df):
+        return clean_b(df).withColumn(N.MASS, F.raise_error(F.lit("broken")).cast("double"))
+
+    monkeypatch.setattr(jobs, "clean_waste_b", broken)
+    with pytest.raises(Exception, match="broken"):
+        jobs.clean_sources(spark, raw, out, files.begin_run(spark, out))
+    assert files.stage_path(spark, out, jobs.WASTE_A).endswith("version=2")
+    assert files.stage_path(spark, out, jobs.WASTE_B).endswith("version=1")
+    assert files.read_stage(spark, out, jobs.WASTE_B).count() == len(PLATFORMS)
+
+    monkeypatch.setattr(jobs, "clean_waste_a", lambda df: made.append("a") or clean_a(df))
+    monkeypatch.setattr(jobs, "clean_waste_b", lambda df: made.append("b") or clean_b(df))
+    jobs.clean_sources(spark, raw, out, files.begin_run(spark, out, resume=True))
+    assert made == ["b"]
+    for name in (jobs.WASTE_A, jobs.WASTE_B, jobs.WATER_TESTS, jobs.WATER, jobs.WASTE):
+        assert files.stage_path(spark, out, name).endswith("version=2")
+    assert files.read_stage(spark, out, jobs.WASTE).count() == whole
+
+
+def test_versions_of_a_stage(spark, tmp_path):
+    out = str(tmp_path)
+    with pytest.raises(FileNotFoundError, match="no complete stage t"):
+        files.read_stage(spark, out, "t")
+    for n in (1, 2, 3):
+        assert files.write_stage(spark.range(n), out, "t").count() == n
+    assert files.read_stage(spark, out, "t").columns == ["id"] and files.read_stage(spark, out, "t").count() == 3
+    assert sorted(p.name for p in (tmp_path / "t.parquet").iterdir()) == ["version=2", "version=3"]
+    (tmp_path / "t.parquet" / "version=3" / "_SUCCESS").unlink()  # as if its write had not ended
+    assert files.read_stage(spark, out, "t").count() == 2
