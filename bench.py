@@ -1,7 +1,7 @@
 """Time the headline queries; prints one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default 8) set scale and cores, BENCH_SHARED_DIR the
-folder for written tables where the session names none.
+folder for written tables (a fresh temporary one otherwise).
 Each query runs once to warm up, then once timed.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -43,7 +44,8 @@ HEADLINE = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    shared = os.environ.get("BENCH_SHARED_DIR", "/tmp/checkpoints")
+    # everything runs in this one process, so a folder of this machine is shared by all; a cluster names its own
+    shared = os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="bench-")
     spark = build_session(
         "bench", f"local[{cpus}]", spark__checkpoint__dir=shared,
         spark__sql__shuffle__partitions=cpus, spark__ui__enabled="false",
