@@ -143,6 +143,17 @@ def _(spark, d):
     ]).alias("usadas")).select(F.inline("usadas"))
 
 
+@query("s6_byte_order_mark", """SELECT p_partkey AS chave, p_name || ' é' AS nome, 'EFBBBF' AS marca FROM part""")
+def _(spark, d):
+    """The rows read back, next to the first bytes that all files have (more than one value is an error)."""
+    path = f"{shared_folder(spark)}/part.csv"
+    parts = P.table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(" é")).alias("p_name"))
+    files.write_csv(parts.repartition(3), path)
+    marks = spark.read.format("binaryFile").load(f"{path}/*.csv").select(F.hex(F.substring("content", 1, 3)).alias("marca")).distinct()
+    back = files.read_table(spark, path, "p_partkey long, p_name string")
+    return back.select(F.col("p_partkey").alias("chave"), F.col("p_name").alias("nome"), marks.scalar().alias("marca"))
+
+
 @query("s6_write_csv", """SELECT p_partkey AS chave, p_name AS nome, p_retailprice AS preco
 FROM part""")
 def _(spark, d):

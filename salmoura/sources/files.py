@@ -111,9 +111,15 @@ def read_table(
     return missing_as_null(df, texts=is_csv)
 
 
-def write_csv(df: DataFrame, path: str) -> str:
-    """Overwrite a folder of CSV part files with headers."""
-    writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+def write_csv(df: DataFrame, path: str, mark: bool = True) -> str:
+    """Overwrite a folder of CSV part files with headers. With ``mark`` each begins with the byte-order mark of UTF-8, by
+    which spreadsheet programs know the encoding; readers of this package and of Spark pass over it. A first column whose
+    name must be quoted cannot follow the mark and is an error."""
+    first, *others = df.columns
+    if mark and any(c in first for c in ',"\r\n'):
+        raise ValueError(f"the first column {first!r} must be quoted: rename it, or write without a byte-order mark")
+    marked = df.select(N.col(first).alias(f"\ufeff{first}"), *[N.col(c) for c in others]) if mark else df
+    writer = marked.write.mode("overwrite").option("header", True).option("escape", '"')
     blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     writer.options(**blanks).csv(path)
     return path

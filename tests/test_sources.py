@@ -186,3 +186,17 @@ def test_water_file_without_needed_headers_is_an_error(spark, tmp_path):
     (tmp_path / "w.csv").write_text("a\nb\nc\nNome do Campo,Data\nx,2020-01-01\n", encoding="utf-8")
     with pytest.raises(ValueError, match="no header for SIGLA, POCO"):
         WF.read_water_file(spark, str(tmp_path / "w.csv"), WF.NEEDED)
+
+
+def test_csv_files_begin_with_a_byte_order_mark(spark, tmp_path):
+    df = spark.createDataFrame([("é", 1), ("b\nc", 2)], "nome string, v int").repartition(2)
+    files.write_csv(df, str(tmp_path / "o.csv"))
+    parts = [p.read_bytes() for p in (tmp_path / "o.csv").glob("*.csv")]
+    assert parts and all(p.startswith(b"\xef\xbb\xbfnome,v") for p in parts)
+    assert spark.read.option("header", True).csv(str(tmp_path / "o.csv")).columns == ["nome", "v"]
+    back = files.read_csv(spark, str(tmp_path / "o.csv"), "nome string, v int", multi_line=True)
+    assert sorted(tuple(r) for r in back.collect()) == [("b\nc", 2), ("é", 1)]
+    files.write_csv(df, str(tmp_path / "o.csv"), mark=False)
+    assert all(p.read_bytes().startswith(b"nome,v") for p in (tmp_path / "o.csv").glob("*.csv"))
+    with pytest.raises(ValueError, match="must be quoted"):
+        files.write_csv(df.withColumnRenamed("nome", "a,b"), str(tmp_path / "o.csv"))
