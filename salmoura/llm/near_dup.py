@@ -368,10 +368,15 @@ def _components_of_texts(documents: DataFrame, doc_id: str, text: str, words: in
     mixed_keys = part.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("centre")
     ).filter("low <> high").select("key", "centre")
-    rest, rest_at = written(part.join(mixed_keys, "key").select("id", "component", "centre").distinct())
-    family, family_at = components(rest.select(F.col("id").alias("a"), F.col("centre").alias("b")))
+    # a member goes with the first of its centres, and each other centre of a member with that one: members of a group have
+    # the same few centres, so these are about as many edges as members, not a member's number of keys times as many
+    rest, rest_at = written(part.join(mixed_keys, "key").groupBy("id", "component").agg(
+        F.min("centre").alias("first"), F.collect_set("centre").alias("centres")))
+    edges = rest.select(F.col("id").alias("a"), F.col("first").alias("b")).union(
+        rest.select(F.explode("centres").alias("a"), F.col("first").alias("b")))
+    family, family_at = components(edges.filter("a <> b").distinct())
     undecided, undecided_at = written(
-        rest.select("id", "component").distinct().join(family.select("id", F.col("component").alias("family")), "id"))
+        rest.select("id", "component").join(family.select("id", F.col("component").alias("family")), "id"))
     more, more_at = _linked_in_families(texts, classes, undecided, words, percent)
     last_at = labels_at
     if not more.isEmpty():
