@@ -123,8 +123,9 @@ def coded_platform(c: Column) -> Column:
 
 
 def waste_platform(path: Column) -> Column:
-    """Platform code of a waste-log location path."""
-    return coded_platform(tidy_platform(platform_from_path(path)))
+    """Platform code of a waste-log location path. The name is the argument of a lambda, so that it is worked out once
+    a row; written into each condition of the codes, it would be worked out for each of them again."""
+    return F.transform(F.array(tidy_platform(platform_from_path(path))), coded_platform)[0]
 
 
 def waste_type(c: Column) -> Column:

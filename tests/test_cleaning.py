@@ -24,6 +24,13 @@ def test_production_platform(spark):
     assert texts(spark, list(cases), PN.production_platform) == list(cases.values())
 
 
+def test_waste_platform_works_out_the_name_once_a_row(spark):
+    rows = spark.createDataFrame([("UO/BS/P58",)], "path string").select(PN.waste_platform(F.col("path")).alias("p"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("regexp_extract(") <= 2  # twelve times when each condition had its own copy
+    assert rows.first().p == "P-58"
+
+
 def test_waste_platform(spark):
     cases = {
         "UO/BS/FPSO CIDADE DE SANTOS": "FPCST", "X/P58": "P-58", "X/P-58": "P-58",
