@@ -65,8 +65,8 @@ def read_csv(
 def _read_records(
     spark: SparkSession, path: str, schema: T.StructType | str | None, utf8: bool, ordered: bool
 ) -> DataFrame:
-    found = records.records(spark, path, utf8)
-    names = records.headers(found)
+    found, firsts = records.records(spark, path, utf8)
+    names = records.headers(firsts)
     if schema is None:
         kinds = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
         seen = [n.lower() for n in names]

@@ -81,9 +81,9 @@ def read_below_preamble(
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
         raise ValueError(f"a single file is needed, not a folder: {path}")
     read = records.records if known.open_cells else records.plain_records
-    found = read(spark, path, known.utf8, skip)
+    found, firsts = read(spark, path, known.utf8, skip)
     try:
-        headers = records.headers(found)
+        headers = records.headers(firsts)
     except ValueError as none:
         raise ValueError(f"no header line in {path}") from none
     schema = ", ".join(f"c{i} string" for i in range(len(headers)))

@@ -158,6 +158,25 @@ def test_split_records_equal_one_reader(spark, tmp_path, seed, encoding):
     assert got == rows
 
 
+@pytest.mark.parametrize("short", [0, 4096])
+def test_records_of_long_cells_are_read_without_sending_lines(spark, tmp_path, monkeypatch, short):
+    """Cells that reach over several splits; their parts come by the driver, or by a join of tables where they are long."""
+    rows = [[f"{i}", "\n".join(f"linha {j} de {i}" for j in range(400 if i % 7 == 3 else 2)), "x"] for i in range(60)]
+    with open(tmp_path / "t.csv", "w", newline="") as out:
+        csv.writer(out, lineterminator="\n").writerows([["n", "texto", "z"], *rows])
+    monkeypatch.setattr(records, "SHORT", short)
+    key, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(key, "900")
+    try:
+        df = files.read_csv(spark, str(tmp_path / "t.csv"), multi_line=True, ordered=True)
+        got = [list(r[:3]) for r in df.orderBy(N.INGEST_ORDER).collect()]
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert short == 0 or "Exchange" not in plan and "Window" not in plan
+    finally:
+        spark.conf.set(key, before)
+    assert got == rows
+
+
 def test_a_quote_within_an_unquoted_cell_opens_nothing(spark, tmp_path):
     (tmp_path / "t.csv").write_text('a,b\n5" pipe,1\n"x\ny",2\n6" pipe,3\n,"z\n"\n', encoding="utf-8")
     got = [tuple(r) for r in files.read_csv(spark, str(tmp_path / "t.csv"), multi_line=True).collect()]
