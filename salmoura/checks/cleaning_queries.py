@@ -95,10 +95,17 @@ def _water_files(spark: SparkSession, d: str) -> DataFrame:
         "_file", F.col(f"{N.INGEST_ORDER}.l_orderkey") % len(water_files.WATER_FILES)
     ).drop(N.MONTH, N.INGEST_ORDER)
     headed = lines.withColumnsRenamed(WATER_HEADERS).withColumn("Código do Ensaio", F.lit("x"))
+    headed.write.partitionBy("_file").parquet(f"{folder}/parts")  # the lines are joined once, not once a file
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    schema = headed.drop("_file").schema
     for i, file in enumerate(water_files.WATER_FILES):
-        part = headed.filter(F.col("_file") == i).drop("_file")
-        part = part.drop("[ESTRÔNCIO]") if file == "SPH" else part
-        part.write.parquet(f"{folder}/{file}.parquet")
+        part, to = f"{folder}/parts/_file={i}", f"{folder}/{file}.parquet"
+        if file == "SPH" or not store.exists(path(part)):
+            rows = spark.read.schema(schema).parquet(part) if store.exists(path(part)) else spark.createDataFrame([], schema)
+            (rows.drop("[ESTRÔNCIO]") if file == "SPH" else rows).write.parquet(to)
+        else:
+            store.rename(path(part), path(to))
     return water_files.read_water_tests(spark, folder, suffix=".parquet")
 
 
