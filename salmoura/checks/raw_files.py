@@ -76,7 +76,7 @@ def _write_water(spark: SparkSession, d: str, folder: str, odd: bool = False) ->
         F.col("id").cast("int").alias("file"),
         F.posexplode(F.array(*map(F.lit, ["Relatório", "", "Filtro,,", header]))).alias("at", "value"),
     )
-    both = body.unionByName(top, allowMissingColumns=True).repartition(count, "file")
+    both = body.unionByName(top, allowMissingColumns=True).repartitionById(count, F.col("file"))  # one file a task, where hashes put several into one
     names = [k.split(".")[1] for k in keys]
     text = F.encode("value", "ISO-8859-1").cast("string") if odd else F.col("value")
     both.sortWithinPartitions("file", "at", *names).select("file", text.alias("value")).write.partitionBy("file").text(f"{folder}/parts")
