@@ -253,7 +253,7 @@ def _(spark, d):
 @query("j8_probability_lookup", P.WITH_WINDOW + f"""
 SELECT a.plat, {R(PROB_SQL)} AS prob FROM analysis a LEFT JOIN model m ON a.plat = m.plat""")
 def _(spark, d):
-    table = analysis(spark, d)
+    table = materialise(analysis(spark, d))  # a stage in the jobs; both sides of the join read it
     scored = L.model_table(table).withColumn("PROB_NORM", GIVEN.probability())
     return shown(L.with_probability(table, scored), plat=N.PLATFORM, prob=r("PROB_NORM"))
 

@@ -14,12 +14,17 @@ from salmoura.session import shared_folder
 from salmoura.sources import files
 
 
+def _months(water: DataFrame) -> DataFrame:
+    return Wt.platform_months(water).withColumnRenamed(N.CODE, N.PLATFORM)
+
+
 def months(spark: SparkSession, d: str) -> DataFrame:
-    return Wt.platform_months(P.water(spark, d)).withColumnRenamed(N.CODE, N.PLATFORM)
+    return _months(P.water(spark, d))
 
 
 def analysis(spark: SparkSession, d: str, mode: str = A.WINDOW) -> DataFrame:
-    return A.analysis_table(P.waste(spark, d), months(spark, d), mode)
+    waste, water = P.waste_and_water(spark, d)
+    return A.analysis_table(waste, _months(water), mode)
 
 
 # ---- waste ----
@@ -168,10 +173,13 @@ def _cut_columns(df: DataFrame) -> DataFrame:
                  data_max=day("DATA_MAX"), qw=r(N.WATER_RATE), ba=r("BARIO"))
 
 
-def _dated(spark: SparkSession, d: str) -> DataFrame:
-    waste = P.waste(spark, d)
+def _with_periods(waste: DataFrame, water: DataFrame) -> DataFrame:
     periods = Ws.class_period(Ws.flagged_waste(waste, Ws.platform_flags(waste)))
-    return A.with_period(months(spark, d), periods)
+    return A.with_period(_months(water), periods)
+
+
+def _dated(spark: SparkSession, d: str) -> DataFrame:
+    return _with_periods(*P.waste_and_water(spark, d))
 
 
 @query("j3_with_period", P.WITH_BOTH + f"""
@@ -249,9 +257,9 @@ def _analysis_columns(df: DataFrame) -> DataFrame:
 
 @query("j6_a12_join_statistics", P.WITH_NEAREST + f"SELECT {ANALYSIS_OUT} FROM analysis")
 def _(spark, d):
-    waste = P.waste(spark, d)
+    waste, water = P.waste_and_water(spark, d)
     flags = Ws.platform_flags(waste)
-    stats = A.platform_statistics(A.monthly_by_platform(A.nearest_month(_dated(spark, d))))
+    stats = A.platform_statistics(A.monthly_by_platform(A.nearest_month(_with_periods(waste, water))))
     return _analysis_columns(A.join_statistics(flags, stats))
 
 
@@ -311,7 +319,8 @@ TEMPORAL_OUT = f"""plat, {D('mes')} AS mes, {R('sal', 4)} AS sal, {R('ba')} AS b
 
 
 def temporal(spark: SparkSession, d: str) -> DataFrame:
-    return T.temporal_table(months(spark, d), P.waste(spark, d), ordered=False)
+    waste, water = P.waste_and_water(spark, d)
+    return T.temporal_table(_months(water), waste, ordered=False)
 
 
 def _temporal_columns(df: DataFrame) -> DataFrame:
@@ -353,8 +362,9 @@ def _(spark, d):
 @query("s8_temporal_from_stages", TEMPORAL_SQL + f"SELECT {TEMPORAL_OUT} FROM temporal")
 def _(spark, d):
     folder = shared_folder(spark)
-    files.write_stage(months(spark, d), folder, jobs.WATER)
-    files.write_stage(P.waste(spark, d), folder, jobs.WASTE)
+    waste, water = P.waste_and_water(spark, d)
+    files.write_stage(_months(water), folder, jobs.WATER)
+    files.write_stage(waste, folder, jobs.WASTE)
     return _temporal_columns(T.temporal_table(
         files.read_stage(spark, folder, jobs.WATER), files.read_stage(spark, folder, jobs.WASTE)
     ))

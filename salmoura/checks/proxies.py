@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from salmoura import names as N
+from salmoura.session import materialise
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,8 +25,8 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def waste(spark: SparkSession, folder: str) -> DataFrame:
-    return _lines(spark, folder).select(
+def _waste(lines: DataFrame) -> DataFrame:
+    return lines.select(
         F.trunc("l_shipdate", "MM").alias(N.MONTH),
         F.col("s_name").alias(N.PLATFORM),
         F.expr("""CASE WHEN l_suppkey % 3 = 0 AND p_type = 'PROMO' THEN 'BORRA OLEOSA COM NORM'
@@ -35,8 +36,8 @@ def waste(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def water(spark: SparkSession, folder: str) -> DataFrame:
-    return _lines(spark, folder).select(
+def _water(lines: DataFrame) -> DataFrame:
+    return lines.select(
         F.col("s_name").alias(N.CODE),
         F.expr("'W' || (l_partkey % 5)").alias(N.WELL),
         F.col("p_brand").alias(N.FIELD),
@@ -54,6 +55,23 @@ def water(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def waste(spark: SparkSession, folder: str) -> DataFrame:
+    return _waste(_lines(spark, folder))
+
+
+def water(spark: SparkSession, folder: str) -> DataFrame:
+    return _water(_lines(spark, folder))
+
+
+def waste_and_water(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables, of lines that are joined and written once: waste is read by one step and water by two."""
+    lines = materialise(_lines(spark, folder).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount",
+        "p_brand", "p_type", "p_retailprice", "s_name",
+    ))
+    return _waste(lines), _water(lines)
+
+
 def scores(spark: SparkSession, folder: str) -> DataFrame:
     """Actual class ``y`` and a probability ``p`` with ties, per document."""
     labels, documents = (table(spark, folder, t) for t in ("labels", "documents"))

@@ -21,6 +21,7 @@ from salmoura.session import materialise
 
 BANDS = 1024      # per factor e of the values
 LARGE = 100_000   # rows of a group that one task still puts in order
+SLOTS = 1 << 16   # parts of the keys' hashes whose rows are counted first
 
 
 def _between(position: Column, a: Column, b: Column) -> Column:
@@ -123,8 +124,15 @@ def grouped(
     skipped and the result interpolates linearly. The keys of ``df`` are read once more, to count them.
     """
     by = [col(k) for k in keys]
+    # rows per slot of the keys' hash, a row a slot and task: where no slot is large, no group is
+    slot = F.pmod(F.xxhash64(*by), F.lit(SLOTS)).cast("int")
+    full = df.groupBy(slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > large)
+    slots = [r["_slot"] for r in full.select("_slot").collect()]  # at most all slots
+    if not slots:
+        return _in_order(df, keys, aggregates, percentiles)
     # at most rows / large groups
-    many = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > large).select(*by)
+    some = df if len(slots) > 1024 else df.filter(slot.isin(slots))
+    many = some.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > large).select(*by)
     if many.isEmpty():
         return _in_order(df, keys, aggregates, percentiles)
     many = materialise(many)

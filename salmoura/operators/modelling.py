@@ -225,6 +225,7 @@ def with_folds(
     Folds given by the caller are kept. They must be whole numbers in a row, each with both
     classes outside of it.
     """
+    data = materialise(data)  # counted, ranked and joined: what makes it runs once
     folds = fold_count(class_counts(data), n_splits)
     if "FOLD" not in data.columns:
         return materialise(assign_folds(data, folds, seed=seed)), list(range(1, folds + 1))
@@ -240,7 +241,7 @@ def with_folds(
     for r in rows:
         if r["one"] == ones or r["n"] - r["one"] == total - ones:
             raise ValueError(f"without fold {r['FOLD']} only one class is left")
-    return materialise(data), numbers
+    return data, numbers
 
 
 def fold_metrics(predictions: DataFrame, splits: Sequence[float] | None = None) -> DataFrame:

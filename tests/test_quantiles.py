@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from salmoura.functions import quantiles as Q
 from salmoura.functions.quantiles import band, grouped, whole_table
 
 
@@ -87,3 +88,18 @@ def test_whole_table(spark, large):
     pdf = skewed()
     row = whole_table(frame(spark, pdf), {"m": ("x", 0.5)}, large).first()
     assert row.m == pytest.approx(pdf.x.median(), rel=1e-12)
+
+
+def test_small_groups_are_not_counted_one_by_one(spark, monkeypatch):
+    """Where no slot of the keys' hashes is large, no group is; in slots that are, groups are counted by themselves."""
+    rows = [("big" if i % 3 else f"k{i % 50}", float((i * 7) % 23) if i % 5 else None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    seen = []
+    keep = Q._by_histogram
+    monkeypatch.setattr(Q, "_by_histogram", lambda df, *a: seen.append(df.select("k").distinct().count()) or keep(df, *a))
+    want = {r.k: r.m for r in df.groupBy("k").agg(F.median("v").alias("m")).collect()}
+    for slots, large, heavy in ((1 << 16, 900, []), (1 << 16, 100, [1]), (2, 100, [1]), (2, 900, [])):
+        monkeypatch.setattr(Q, "SLOTS", slots)
+        seen.clear()
+        got = {r.k: r.m for r in Q.grouped(df, ["k"], [], {"m": ("v", 0.5)}, large).collect()}
+        assert got == want and seen == heavy
