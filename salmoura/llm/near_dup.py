@@ -16,8 +16,11 @@ on (a bit set by chance sends a key that then meets nothing). Links are confirme
   that more than half of its members have, and each member is kept as its difference D from the hub. Two members differ by
   |D(A)| + |D(B)| - 2 |D(A) & D(B)| shingles: if the two differences are small enough they are linked whatever they hold (one
   link to the member nearest to the hub stands for all of these), else they must have some elements of D in common, and
-  the least number is known. Elements of one member alone cannot be among them. The rarest others are joined: a member
-  offers as many of them as leave too few for a link, singly, or three at a time where any two members need three.
+  the least number is known; and as sets of similarity s differ in at most |A| (1 - s) / s shingles, a link leaves out at
+  most that many elements of D(A). Elements of one member alone cannot be among the common ones, so members with too many
+  of those are linked with no other and go no further. Of the rest, elements of members of several components are counted
+  and put in order, and the rarest are joined: a member offers as many of them as leave too few for a link, singly, or
+  three at a time where any two members need three.
 
 What is left of the square of a family is the pairs that share rare differences, three of them where that many are needed: for
 copies that each have edits of their own these are chance meetings.
@@ -253,10 +256,6 @@ def _linked_in_families(
     ))
     # A and B are linked if and only if far(A) + far(B) <= 2 (100 + percent) |D(A) & D(B)|
     whole = 2 * (100 + percent)
-    elements = deltas.select("id", "family", F.explode("delta").alias("x"))
-    often = elements.groupBy("family", "x").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    ranked = elements.join(often, ["family", "x"]).groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("often", "x"))).alias("order"))
     facts = deltas.select(
         "id", "component", "family", "n", F.size("delta").alias("d"),
         (F.size("delta") * (100 + percent) - F.col("n") * (100 - percent)).alias("far"),
@@ -264,16 +263,32 @@ def _linked_in_families(
     three = F.col("far") > (100 + percent) * 2  # any two of these need three common elements
     nearest = facts.groupBy("family").agg(
         F.min(F.struct("far", "id")).alias("first"), F.min(F.when(three, F.col("far"))).alias("least_far"))
+
+    def least(other: str) -> Column:  # common elements that any link needs with a member as far as that, and with any member
+        own = (F.col("d") * percent - F.col("n") * (100 - percent)) / max(percent, 1)
+        return F.greatest(F.lit(1), F.ceil((F.col("far") + F.col(other)) / whole), F.ceil(own))
+
+    def elements(chosen: DataFrame) -> DataFrame:
+        return chosen.select("id", "component", "family", F.explode("delta").alias("x"))
+
+    lone = elements(deltas).groupBy("family", "x").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter(
+        "id = last").groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
+    placed, placed_at = written(
+        facts.join(nearest, "family").join(lone, "id", "left").withColumn("three", three)
+        .withColumn("able", F.col("d") - F.coalesce("lone", F.lit(0)) >= least("first.far")).drop("lone"))
+    certain = placed.filter((F.col("far") + F.col("first.far") <= 0) & (F.col("id") != F.col("first.id"))).select(
+        F.col("first.id").alias("a"), F.col("id").alias("b"))
+    able = placed.filter("able").drop("able")
+    left = elements(deltas.join(able.select("id"), "id"))
+    shared = left.groupBy("family", "x").agg(
+        F.count(F.lit(1)).alias("often"), F.min("component").alias("low"), F.max("component").alias("high")
+    ).filter("low <> high").select("family", "x", "often")
+    ranked = left.join(shared, ["family", "x"]).groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("often", "x"))).alias("order"))
     members, members_at = written(
-        facts.join(nearest, "family").join(ranked, "id", "left").withColumn("three", three).withColumn(
-            "order", F.coalesce(F.transform("order", lambda o: o["x"]), none))
+        able.join(ranked, "id", "left").withColumn("order", F.coalesce(F.transform("order", lambda o: o["x"]), none))
         .withColumn("alone", F.col("d") - F.size("order"))
     )
-    certain = members.filter((F.col("far") + F.col("first.far") <= 0) & (F.col("id") != F.col("first.id"))).select(
-        F.col("first.id").alias("a"), F.col("id").alias("b"))
-
-    def least(other: str) -> Column:  # common elements that any link needs with a member as far as that
-        return F.greatest(F.lit(1), F.ceil((F.col("far") + F.col(other)) / whole))
 
     def prefix(other: str, size: int) -> Column:
         return F.greatest(F.lit(0), F.col("d") - least(other) + size - F.col("alone")).cast("int")
@@ -305,7 +320,7 @@ def _linked_in_families(
     pairs, pairs_at = written(pairs.distinct())
     links, links_at = _confirmed(texts, classes, pairs, words, percent)
     result, path = written(links.unionByName(certain))
-    forget(spark, sets_at, deltas_at, members_at, pairs_at, links_at)
+    forget(spark, sets_at, deltas_at, placed_at, members_at, pairs_at, links_at)
     return result, path
 
 

@@ -134,6 +134,51 @@ def test_few_pairs_of_edited_copies_are_compared(spark, monkeypatch):
     assert compared[0] < n and compared[1] < n * (n - 1) / 16
 
 
+def with_a_common_line(n, seed=1):
+    """``n`` texts that begin with one line and go on with words of their own, each with a cut or lengthened copy."""
+    rng = random.Random(seed)
+    line, rows = [f"c{i}" for i in range(30)], []
+    for i in range(0, 2 * n, 2):
+        own = [f"w{rng.randint(0, 150)}" for _ in range(rng.randint(20, 60))]
+        cut = len(own) - rng.randint(0, len(own) // 2)
+        more = [f"w{rng.randint(0, 150)}" for _ in range(rng.choice([0, 0, 3, 9]))]
+        rows += [(i, " ".join(line + own)), (i + 1, " ".join(line + own[:cut] + more))]
+    return rows
+
+
+@pytest.mark.parametrize("words", [2, 5])
+def test_texts_with_a_common_line_equal_brute_force(spark, words):
+    rows = with_a_common_line(120, words)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(df, words=words).collect()}
+    assert found == brute(rows, words)
+
+
+def test_members_that_can_meet_no_other_are_not_ranked(spark, monkeypatch):
+    """Texts that share a line with all others and the rest with none; a few have a copy with edits."""
+    ranked, written = [], near_dup.written
+
+    def watching(df):
+        result = written(df)
+        if "order" in df.columns:
+            ranked.extend((r["id"], len(r["order"])) for r in result[0].select("id", "order").collect())
+        return result
+
+    monkeypatch.setattr(near_dup, "written", watching)
+    rng = random.Random(3)
+    line, rows = [f"c{i}" for i in range(30)], []
+    for i in range(200):
+        rows.append((i, line + [f"w{rng.randint(0, 150)}" for _ in range(40)]))
+    for i in range(5):
+        rows.append((200 + i, [*rows[i][1][:50], f"x{i}", *rows[i][1][51:]]))
+    rows = [(i, " ".join(text)) for i, text in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(df, words=2).collect()}
+    assert found == brute(rows, 2)
+    # all have words of the family that others have too: 7 of 40 in the mean
+    assert len(ranked) <= 20 and sum(n for _, n in ranked) <= 400
+
+
 def test_one_row_of_each_group_stays(spark):
     t, near, u = PROSE + " end of it", PROSE + " end of all", "all other words that nobody else has written down"
     lone = "an entirely different string of words with no id at all"
