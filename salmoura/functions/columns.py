@@ -17,12 +17,18 @@ def finite(c: Column) -> Column:
     return F.when(F.abs(c) < F.lit(INFINITY), c)
 
 
-def to_number(c: Column, text: bool = True) -> Column:
-    """Double or null. Java literals such as ``1d`` or ``2F`` are no numbers here."""
+def as_double(c: Column, text: bool = True) -> Column:
+    """Double, NaN and infinities among them, or null. Java literals such as ``1d`` or ``2F`` are no numbers here; a text that
+    ends in a digit is none of them."""
     value = c.try_cast("double")
     if text:
-        value = F.when(~c.rlike(r"[dDfF]\s*$"), value)
-    return finite(value)
+        value = F.when(F.substring(c, -1, 1).isin(*"0123456789") | ~c.rlike(r"[dDfF]\s*$"), value)
+    return value
+
+
+def to_number(c: Column, text: bool = True) -> Column:
+    """Finite double or null."""
+    return finite(as_double(c, text))
 
 
 def _all(conditions: Iterable[Column]) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from salmoura.names import col
 
 # ---- fixed values: full platform name -> code, production log ----
 PRODUCTION_CODES = {
@@ -101,11 +103,9 @@ def production_platform(c: Column) -> Column:
 
 def platform_from_path(path: Column) -> Column:
     """Platform named in the last part of a ``/`` path, upper-cased and trimmed."""
-    tail = F.element_at(F.split(path, "/"), -1)
-    found = F.nullif(F.regexp_extract(tail, PLATFORM_IN_PATH, 1), F.lit(""))
-    return F.regexp_replace(
-        F.upper(F.coalesce(found, F.lit(UNKNOWN_PLATFORM))), r"(?U)^\s+|\s+$", ""
-    )
+    found = F.regexp_extract(F.substring_index(path, "/", -1), PLATFORM_IN_PATH, 1)
+    named = F.coalesce(F.regexp_replace(found, "^$", UNKNOWN_PLATFORM), F.lit(UNKNOWN_PLATFORM))
+    return F.regexp_replace(F.upper(named), r"(?U)^\s+|\s+$", "")
 
 
 def tidy_platform(c: Column) -> Column:
@@ -128,5 +128,11 @@ def waste_platform(path: Column) -> Column:
     return F.transform(F.array(tidy_platform(platform_from_path(path))), coded_platform)[0]
 
 
+def with_waste_platform(df: DataFrame, path: str, name: str) -> DataFrame:
+    """Add :func:`waste_platform` of the column ``path`` as ``name``, in two selects of generated code."""
+    named = df.withColumn(name, tidy_platform(platform_from_path(col(path))))
+    return named.withColumn(name, coded_platform(col(name)))
+
+
 def waste_type(c: Column) -> Column:
     return F.when(c.isin(CONTAMINATED_LABELS), CONTAMINATED).otherwise(c)

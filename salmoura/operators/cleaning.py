@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from salmoura import names as N
-from salmoura.functions.columns import complete, finite, to_number
+from salmoura.functions.columns import as_double, complete, finite
 
 # fixed values: date patterns tried, in this order, on the first value of a text column; one letter of day,
 # month, hour, minute or second reads one or two digits
@@ -16,6 +16,7 @@ _TIMES = ["", " H:m:s", " H:m:s.SSSSSSSSS", " H:m", "'T'H:m:s", "'T'H:m:s.SSSSSS
 DATE_PATTERNS = [day + time for day in _DAYS for time in _TIMES]
 MONTH_PATTERN = "yyyy/M"
 EARLIEST_DATE = "2000-01-01"
+FIRST_ROWS = 1000  # a column with a value in these is not counted
 
 
 def _parsed(c: Column, pattern: str) -> Column:
@@ -58,11 +59,18 @@ def parse_dates(
 
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:
-    """Drop the columns without any value, found in one pass."""
+    """Drop the columns without any value. One value is enough to keep a column, and most show one in the first rows;
+    those that do not are counted over all rows, in one pass."""
     if not df.columns:
         return df
-    counts = df.agg(*[F.count(N.col(c)).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
-    return df.select(*[N.col(c) for i, c in enumerate(df.columns) if counts[i] > 0])
+    known = [N.col(c).isNotNull().alias(f"n{i}") for i, c in enumerate(df.columns)]
+    first = df.select(*known).head(FIRST_ROWS)
+    left = [c for i, c in enumerate(df.columns) if not any(r[i] for r in first)]
+    if not left:
+        return df
+    counts = df.agg(*[F.count(N.col(c)).alias(f"n{i}") for i, c in enumerate(left)]).first()
+    empty = {c for c, n in zip(left, counts) if n == 0}
+    return df.select(*[N.col(c) for c in df.columns if c not in empty])
 
 
 def drop_missing(df: DataFrame, subset: Sequence[str]) -> DataFrame:
@@ -96,13 +104,18 @@ def numeric_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Those of the columns that exist, as finite doubles; other text becomes null."""
     kinds = dict(df.dtypes)
     present = [c for c in columns if c in kinds]
-    return df.withColumns({c: to_number(N.col(c), kinds[c] == "string") for c in present})
+    # in two steps, so that a text is read as a number once, not once to compare it and once more for its value
+    read = df.withColumns({c: as_double(N.col(c), kinds[c] == "string") for c in present})
+    return read.withColumns({c: finite(N.col(c)) for c in present})
 
 
 def drop_invalid_dates(
     df: DataFrame, column: str = N.DATE, earliest: str = EARLIEST_DATE
 ) -> DataFrame:
-    return df.filter(N.col(column) >= F.to_date(F.lit(earliest)))
+    """Rows dated on or after ``earliest``. The column goes through a generator: what makes it (a parsed text) is worked
+    out once, while a plain filter would be moved below it, with a copy of its own."""
+    kept = [F.explode(F.array(N.col(c))).alias(c) if c == column else N.col(c) for c in df.columns]
+    return df.select(*kept).filter(N.col(column) >= F.to_date(F.lit(earliest)))
 
 
 def project(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from salmoura import names as N
-from salmoura.functions.platform_names import production_platform, waste_platform, waste_type
+from salmoura.functions.platform_names import production_platform, waste_type, with_waste_platform
 from salmoura.operators import charts, cleaning as C, hull, modelling, scoring
 from salmoura.operators.analysis import NEAREST, WINDOW, analysis_table
 from salmoura.operators.temporal import scoring_input, temporal_table
@@ -91,10 +91,8 @@ def clean_waste_a(raw: DataFrame, pattern: str | None = C.MONTH_PATTERN) -> Data
     df = C.rename_columns(C.drop_empty_columns(C.project(raw, used)), {
         "Dt. Geração": N.PERIOD, "Resíduo": N.WASTE_TYPE, "Qtd. Recebida (kg)": N.MASS,
     })
-    df = C.numeric_columns(C.parse_dates(df, pattern=pattern), [N.MASS]).withColumns({
-        N.PLATFORM: waste_platform(N.col("L. de Atuação da Geradora")),
-        N.WASTE_TYPE: waste_type(N.col(N.WASTE_TYPE)),
-    })
+    df = C.numeric_columns(C.parse_dates(df, pattern=pattern), [N.MASS])
+    df = with_waste_platform(df, "L. de Atuação da Geradora", N.PLATFORM).withColumn(N.WASTE_TYPE, waste_type(N.col(N.WASTE_TYPE)))
     return C.project(df, [N.MANIFEST, *WASTE_COLUMNS])
 
 

@@ -51,7 +51,7 @@ def read_csv(
     those of the header. Files are split, also where cells hold line breaks; those are an error unless ``multi_line``
     allows them. ``ordered`` adds the place of each row as ``_ordem``.
     """
-    known = records.facts(spark, path)
+    (known,) = records.facts(spark, path)
     if known.open_cells and not multi_line:
         raise ValueError(f"cells with line breaks in {path}: read it with multi_line=True")
     if known.open_cells:

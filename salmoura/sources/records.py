@@ -17,6 +17,7 @@ from __future__ import annotations
 import csv
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,21 +53,37 @@ def _opens(line: Column) -> Column:
     return rest.rlike(r'(^|,)"')
 
 
-def _ends(value: Column) -> tuple[Column, Column]:
-    """State (1: inside) at the end of a line that begins outside, and of one that begins inside."""
-    line = F.replace(value, F.lit('""'), F.lit(""))
-    first = F.instr(line, '"')
-    after = F.concat(F.lit("x"), F.substring(line, first + 1, F.length(line)))
-    return _opens(line).cast("int"), F.when(first == 0, 1).otherwise(_opens(after).cast("int"))
+def _with_ends(lines: DataFrame) -> DataFrame:
+    """Add the state (1: inside) at the end of a line that begins outside, ``_o``, and of one that begins inside, ``_i``.
+    Lines with no quote, or with one, need no regular expression."""
+    named = [*lines.columns]
+    lines, none, one, opens = _quotes(lines)
+    inside = F.when(none, 1).when(one, 0).otherwise(_opens(F.concat(F.lit("x"), F.col("_after"))).cast("int"))
+    return lines.select(*named, opens.cast("byte").alias("_o"), inside.cast("byte").alias("_i"))
 
 
-def facts(spark: SparkSession, path: str) -> Facts:
+def _quotes(lines: DataFrame) -> tuple[DataFrame, Column, Column, Column]:
+    """Lines with what stands ``_after`` their first quote; whether they have none or one, doubled ones aside; and whether
+    they open a cell, begun outside of quotes, and do not close it."""
+    line, first = F.col("_line"), F.col("_first")
+    # a select each: what the next one uses several times is worked out once
+    lines = lines.select("*", F.replace("value", F.lit('""'), F.lit("")).alias("_line"))
+    lines = lines.select("*", F.instr(line, '"').alias("_first"))
+    lines = lines.select("*", F.substring(line, first + 1, F.length(line)).alias("_after"))
+    none, one = first == 0, ~F.contains("_after", F.lit('"'))
+    begins = (first == 1) | (F.substring(line, first - 1, F.lit(1)) == ",")
+    return lines, none, one, F.when(none, False).when(one, begins).otherwise(_opens(line))
+
+
+def facts(spark: SparkSession, *paths: str) -> list[Facts]:
+    """What each of the paths holds, by one pass over all of them."""
     line = F.col("value")
-    seen = spark.read.text(path).agg(
-        F.bool_and(F.is_valid_utf8(line)).alias("valid"),
-        F.bool_or(_opens(F.replace(line, F.lit('""'), F.lit("")))).alias("open"),
-    ).first()
-    return Facts(seen["valid"] is not False, bool(seen["open"]))
+    lines = reduce(DataFrame.union, [spark.read.text(path).select(F.lit(i).alias("at"), "value") for i, path in enumerate(paths)])
+    # quotes are looked for character by character: not before invalid text has been made valid
+    lines, _, _, opens = _quotes(lines.select("at", F.is_valid_utf8(line).alias("valid"), F.make_valid_utf8(line).alias("value")))
+    seen = {r["at"]: r for r in lines.groupBy("at").agg(
+        F.bool_and("valid").alias("valid"), F.bool_or(opens).alias("open")).collect()}  # a row a path
+    return [Facts(i not in seen or seen[i]["valid"] is not False, i in seen and bool(seen[i]["open"])) for i in range(len(paths))]
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int] | None, pa.RecordBatch | None]]:
@@ -176,8 +193,7 @@ def records(spark: SparkSession, path: str, utf8: bool = True, skip: int = 0) ->
         top = lines.limit(skip).collect()
         last = max((r["row"] for r in top), default=-1)
         lines = lines.filter((F.col("block") > 0) | (F.col("row") > last))
-    outside, inside = _ends(F.col("value"))
-    lines = lines.withColumn("value", _text(utf8)).select(*SPLIT, "value", outside.alias("_o"), inside.alias("_i"))
+    lines = _with_ends(lines.select(*SPLIT, _text(utf8).alias("value")))
     told = lines.mapInArrow(_told, "file string, block bigint, end0 int, end1 int, begins boolean, head string, first string")
     short = F.octet_length("head") <= SHORT
     seen = told.select(
@@ -239,9 +255,10 @@ def headers(firsts: list[str]) -> list[str]:
 
 
 def parsed(found: DataFrame, schema: str, order: Column) -> DataFrame:
-    """The records below the headers, parsed into the columns of ``schema``, and their place as ``_place``."""
+    """The records below the headers, parsed into the columns of ``schema``, and their place as ``_place``. Each is parsed
+    once: a generator, as a filter on a column would be moved below a plain select, with a parser of its own."""
     body = found.filter("block > 0 OR n > 1")
-    return body.select(order.alias("_place"), F.from_csv("text", schema, {"escape": '"'}).alias("_row")).select("_place", "_row.*")
+    return body.select(order.alias("_place"), F.inline(F.array(F.from_csv("text", schema, {"escape": '"'}))))
 
 
 def place() -> Column:

@@ -69,14 +69,14 @@ def used_columns(headers: Sequence[str]) -> dict[str, int]:
 
 
 def read_below_preamble(
-    spark: SparkSession, path: str, skip: int = PREAMBLE_LINES
+    spark: SparkSession, path: str, skip: int = PREAMBLE_LINES, known: records.Facts | None = None
 ) -> tuple[list[str], DataFrame]:
     """(headers, rows) of one CSV file (no folder) whose header follows ``skip`` other lines.
 
     Rows have text columns ``c0, c1, ...`` and their place ``_ordem``. Text is UTF-8, or Latin-1 where the file is no
-    valid UTF-8; cells may hold line breaks. The file is read by splits.
+    valid UTF-8; cells may hold line breaks. The file is read by splits. ``known`` is what is known of the file already.
     """
-    known = records.facts(spark, path)
+    known = records.facts(spark, path)[0] if known is None else known
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
         raise ValueError(f"a single file is needed, not a folder: {path}")
@@ -93,6 +93,11 @@ def read_below_preamble(
 def read_water_file(spark: SparkSession, path: str, needed: Sequence[str] = ()) -> DataFrame:
     """Used columns of one water-test file, CSV or Parquet, all named as in the data model. Without a header for
     one of the ``needed`` columns it is an error."""
+    return missing_as_null(_used(spark, path, needed), texts=path.endswith(".csv"))
+
+
+def _used(spark: SparkSession, path: str, needed: Sequence[str], known: records.Facts | None = None) -> DataFrame:
+    """As :func:`read_water_file`, with missing markers left as they are."""
     if path.endswith(".parquet"):
         df = spark.read.parquet(path).withColumn(
             N.INGEST_ORDER, F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
@@ -100,7 +105,7 @@ def read_water_file(spark: SparkSession, path: str, needed: Sequence[str] = ())
         headers = [c for c in df.columns if c != N.INGEST_ORDER]
         source = {i: N.col(h) for i, h in enumerate(headers)}
     elif path.endswith(".csv"):
-        headers, df = read_below_preamble(spark, path)
+        headers, df = read_below_preamble(spark, path, known=known)
         source = {i: F.col(f"c{i}") for i in range(len(headers))}
     else:
         raise ValueError(f"unsupported format: {path}")
@@ -109,7 +114,7 @@ def read_water_file(spark: SparkSession, path: str, needed: Sequence[str] = ())
     if absent:
         raise ValueError(f"no header for {', '.join(absent)} in {path}: {headers}")
     used = [source[found[c]].alias(c) for c in TARGETS if c in found]
-    return missing_as_null(df.select(*used, N.INGEST_ORDER), texts=path.endswith(".csv"))
+    return df.select(*used, N.INGEST_ORDER)
 
 
 def read_water_tests(
@@ -119,15 +124,19 @@ def read_water_tests(
     suffix: str = ".csv",
     needed: Sequence[str] = (),
 ) -> DataFrame:
-    """All water-test files as one table, tagged with their file; any missing file is an error.
+    """All water-test files as one table, tagged with their file; any missing file is an error. CSV files are all looked
+    through in one pass.
 
     ``_ordem`` orders rows by file, then by position within the file.
     """
+    paths, csv = [f"{folder.rstrip('/')}/{name}{suffix}" for name in files], suffix.endswith(".csv")
+    known = records.facts(spark, *paths) if csv and paths else [None] * len(paths)
     parts = [
-        read_water_file(spark, f"{folder.rstrip('/')}/{name}{suffix}", needed).withColumns({
+        (_used(spark, path, needed, k) if csv else read_water_file(spark, path, needed)).withColumns({
             N.SOURCE_FILE: F.lit(name + suffix),
             N.INGEST_ORDER: F.struct(F.lit(i).alias("file"), F.col(N.INGEST_ORDER).alias("row")),
         })
-        for i, name in enumerate(files)
+        for i, (name, path, k) in enumerate(zip(files, paths, known))
     ]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    tests = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return missing_as_null(tests) if csv else tests

@@ -148,3 +148,32 @@ def test_an_unknown_first_date_is_an_error(spark):
     with pytest.raises(ValueError, match="no known date pattern"):
         C.parse_dates(spark.createDataFrame([("soon",)], "d string"), "d", None)
     assert C.parse_dates(spark.createDataFrame([(None,)], "d string"), "d", None).first().d is None
+
+
+def test_a_column_with_a_value_in_the_first_rows_is_not_counted(spark):
+    df = spark.range(0, 20_000, 1, 1).select(
+        F.when(F.col("id") == 19_000, F.raise_error(F.lit("counted")).cast("int")).otherwise(1).alias("full"),
+        F.when(F.col("id") == 19_999, 1).alias("late"), F.lit(None).cast("int").alias("never"),
+    )
+    assert C.drop_empty_columns(df).columns == ["full", "late"]
+    assert C.drop_empty_columns(df.limit(0)).columns == []
+    assert C.drop_empty_columns(df.select("late", "full")).columns == ["late", "full"]
+
+
+def test_a_text_is_read_as_a_number_once(spark):
+    values = ["1.5", "1.", "2F ", "3D", "0x1p3", "Infinity", "1e999", "٣", "7\t", "", " "]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").repartition(1)
+    rows = C.numeric_columns(df, ["v"])
+    assert rows._jdf.queryExecution().executedPlan().toString().count("try_cast(") == 1
+    assert [r.v for r in rows.orderBy("i").collect()] == [1.5, 1.0, None, None, 8.0, None, None, None, 7.0, None, None]
+
+
+def test_waste_platform_in_generated_code(spark):
+    paths = ["UO/BS/FPSO CIDADE DE SANTOS", "X/P58", "X/none", "", "X/", None, "X/FPSO XPTO (MV29)", "X/FPSO  NITEROI ", "X/FP", "P-1/P-2"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(paths)], "i int, p string").repartition(1)
+    both = PN.with_waste_platform(df, "p", "q").withColumn("r", PN.waste_platform(F.col("p")))
+    rows = both.orderBy("i").collect()
+    assert [r.q for r in rows] == [r.r for r in rows]
+    assert [r.q for r in rows] == ["FPCST", "P-58", "OUTROS", "OUTROS", "OUTROS", "OUTROS", "FPSO XPTO ", "FPCNI", "OUTROS", "P-2"]
+    plan = PN.with_waste_platform(df, "p", "q")._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and plan.count("regexp_extract(") == 1

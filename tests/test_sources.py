@@ -5,6 +5,7 @@ import pytest
 from pyspark.errors import AnalysisException
 
 from salmoura import names as N
+from salmoura.plans import jobs
 from salmoura.sources import files, records, water_files as WF
 
 
@@ -219,3 +220,34 @@ def test_csv_files_begin_with_a_byte_order_mark(spark, tmp_path):
     assert all(p.read_bytes().startswith(b"nome,v") for p in (tmp_path / "o.csv").glob("*.csv"))
     with pytest.raises(ValueError, match="must be quoted"):
         files.write_csv(df.withColumnRenamed("nome", "a,b"), str(tmp_path / "o.csv"))
+
+
+def test_water_lines_are_parsed_once_and_files_looked_through_together(spark, tmp_path, monkeypatch):
+    head = "x\ny\nz\nSigla da Plataforma,Nome do Poço,Data,[BÁRIO]\n"
+    for name in "ab":
+        (tmp_path / f"{name}.csv").write_text(head + f"{name},NA,1999-12-31,1\n{name},w,2000-01-01,nan\n{name},w,,3\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_bytes((head + "ç,w,2001-01-01,4\n").encode("latin-1"))
+    asked, facts = [], records.facts
+    monkeypatch.setattr(records, "facts", lambda spark, *paths: asked.append(len(paths)) or facts(spark, *paths))
+    tests = jobs.clean_water(WF.read_water_tests(spark, str(tmp_path), ["a", "b", "c"], needed=WF.NEEDED))
+    assert asked == [3]
+    plan = tests._jdf.queryExecution().executedPlan().toString()
+    # the date's filter had a parser and a date of its own
+    assert plan.count("from_csv(") == plan.count("gettimestamp(") == 3
+    got = [(r.SIGLA, r.POCO, r["BÁRIO"], r._arquivo) for r in tests.orderBy(N.INGEST_ORDER).collect()]
+    assert got == [("a", "w", None, "a.csv"), ("b", "w", None, "b.csv"), ("ç", "w", 4.0, "c.csv")]
+
+
+def test_a_quote_after_a_latin1_letter_closes_its_cell(spark, tmp_path):
+    (tmp_path / "t.csv").write_bytes('a,b\n"x\nç",1\n"y\né",2\nç,3\n'.encode("latin-1"))
+    got = [tuple(r) for r in files.read_csv(spark, str(tmp_path / "t.csv"), multi_line=True).collect()]
+    assert sorted(got) == [("x\nç", "1"), ("y\né", "2"), ("ç", "3")]
+
+
+def test_states_of_lines(spark):
+    """Lines with no quote or one are told without a regular expression, and as those with more are."""
+    lines = {"": (0, 1), "a,b": (0, 1), '"a': (1, 0), 'a,"b': (1, 0), 'a"b': (0, 0), 'b",c': (0, 0), 'b","c': (1, 1), '"a",b': (0, 0),
+             '""': (0, 1), '""a': (0, 1), 'a""",b': (0, 0), '5" x,"y': (1, 1), 'é"\r': (0, 0), 'x,"a","b\r': (1, 1)}
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(lines)], "i int, value string")
+    got = records._with_ends(df).orderBy("i").collect()
+    assert {r.value: (r._o, r._i) for r in got} == lines
