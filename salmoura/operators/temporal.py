@@ -28,7 +28,8 @@ CONTEXT_COLUMNS = [
 def _classed_months(waste: DataFrame) -> DataFrame:
     """As :func:`monthly_class`, with one row more for the undated records of a platform."""
     kind = N.col(N.WASTE_TYPE)
-    classed = waste.filter(is_contaminated(kind) | is_oily(kind)).dropna(subset=[N.PLATFORM])
+    oily = F.coalesce(F.upper(kind).contains("BORRA OLEOSA"), F.lit(False))  # either class; asked first, as most rows fail it
+    classed = waste.filter(oily & (is_contaminated(kind) | is_oily(kind))).dropna(subset=[N.PLATFORM])
     return classed.groupBy(N.col(N.PLATFORM), N.MONTH).agg(
         F.max(is_contaminated(kind).cast("int")).alias("TEM_NORM_MES")
     )
@@ -59,14 +60,19 @@ def temporal_table(months: DataFrame, waste: DataFrame, ordered: bool = True) ->
     contaminated month. Months without a classed record keep a missing class.
 
     The join by platform comes first: the series is partitioned by platform already. Both
-    class tables stand on the same aggregate of the waste, which is shuffled once.
+    class tables stand on the same aggregate of the waste, which is made and shuffled once: the join by month
+    takes equal missing months for equal, since Spark would otherwise drop them below one of the two aggregates.
     """
     series = months.select(*[N.col(c) for c in SERIES_COLUMNS if c in months.columns])
     month, first = F.col(N.MONTH), F.col("DATA_PRIMEIRO_NORM")
+    classes = _classed_months(waste).select(
+        N.col(N.PLATFORM).alias("_platform"), month.alias("_month"), F.col("TEM_NORM_MES").alias("_class"))
     table = (
         series.withColumn(N.RATIO, ratio(F.col("BARIO"), F.col("ESTRONCIO")))
         .join(platform_class(waste), N.PLATFORM, "left")
-        .join(_classed_months(waste), [N.PLATFORM, N.MONTH], "left")
+        .join(classes, (N.col(N.PLATFORM) == F.col("_platform")) & month.eqNullSafe(F.col("_month")), "left")
+        .withColumn("TEM_NORM_MES", F.when(month.isNotNull(), F.col("_class")))
+        .drop("_platform", "_month", "_class")
         .withColumns({
             "PRIMEIRO_NORM": same_month_flag(month, first),
             "MESES_ATE_NORM": months_between(first, month),

@@ -209,3 +209,22 @@ def test_temporal_table(waste, series):
     batch = T.scoring_input(T.temporal_table(full, waste)).collect()
     assert len(batch) == 9 and batch[0].PLATAFORMA == "A"
     assert [(r.PLATAFORMA, r.Mes) for r in batch] == sorted((r.PLATAFORMA, r.Mes) for r in batch)
+
+
+def test_temporal_table_sums_up_the_waste_once(spark, tmp_path):
+    """One aggregate serves both joins; an undated record counts for its platform, but for no month, missing or not."""
+    oily, norm = "BORRA OLEOSA", "BORRA OLEOSA COM NORM"
+    waste = spark.createDataFrame([
+        ("A", date(2020, 1, 1), oily), ("A", date(2020, 2, 1), norm), ("A", None, norm), ("B", None, norm), (None, date(2020, 1, 1), norm),
+        ("C", date(2020, 1, 1), "OUTROS"),
+    ], f"`{N.PLATFORM}` string, {N.MONTH} date, `{N.WASTE_TYPE}` string")
+    waste.write.parquet(str(tmp_path / "w"))
+    months = spark.createDataFrame([
+        ("A", date(2020, 1, 1)), ("A", date(2020, 2, 1)), ("A", None), ("B", date(2020, 1, 1)), ("C", date(2020, 1, 1)), (None, date(2020, 1, 1)),
+    ], f"`{N.PLATFORM}` string, {N.MONTH} date").withColumns({c: F.lit(1.0) for c in N.FEATURES})
+    table = T.temporal_table(months, spark.read.parquet(str(tmp_path / "w")), ordered=False)
+    got = {(r[N.PLATFORM], r[N.MONTH] and r[N.MONTH].month): (r.TEM_NORM, r.TEM_NORM_MES, r.PRIMEIRO_NORM) for r in table.collect()}
+    assert got == {("A", 1): (1, 0, 0), ("A", 2): (1, 1, 1), ("A", None): (1, None, 0), ("B", 1): (1, None, 0), ("C", 1): (None, None, 0),
+                   (None, 1): (None, None, 0)}
+    assert table.columns[-6:] == ["TEM_NORM", "DATA_PRIMEIRO_NORM", "TEM_NORM_MES", "PRIMEIRO_NORM", "MESES_ATE_NORM", "ELEGIVEL_MODELO"]
+    assert "ReusedExchange" in table._jdf.queryExecution().executedPlan().toString()
